@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, licenses, toxicity
+from . import chat, decontaminate, langid, licenses, pieces, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_texts(_table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(_table(spark, sf_dir, "conversations"))
 
@@ -43,5 +47,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("detections")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_decontaminate, op5_language_id, op7_chat_format, op10_license_scan,)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_decontaminate, op5_language_id, op6_sentencepiece, op7_chat_format, op10_license_scan,)}
 ORACLES: dict[str, str] = {"op7_chat_format": chat.SQL}
