@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, licenses, pieces, substrings, toxicity
+from . import chat, decontaminate, langid, licenses, lm, pieces, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored, totals = lm.score_texts(_table(spark, sf_dir, "documents"))
+    held_out = toxicity.held_out(F.col("doc_id"), 1).alias("held_out")
+    return scored.select("doc_id", held_out, "n_tokens", "n_known", F.lit(totals.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -51,5 +57,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("detections")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_substring_dedup, op4_decontaminate, op5_language_id, op6_sentencepiece, op7_chat_format, op10_license_scan,)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_score, op3_substring_dedup, op4_decontaminate, op5_language_id, op6_sentencepiece, op7_chat_format, op10_license_scan,)}
 ORACLES: dict[str, str] = {"op7_chat_format": chat.SQL}
