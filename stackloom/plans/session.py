@@ -1,4 +1,4 @@
-"""Making this package known to Python workers, and the shared folder for intermediate tables."""
+"""Making this package known to Python workers, and intermediate tables in the folder that all executors share."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[2]
 _SHIPPED: set[str] = set()
@@ -24,13 +24,17 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(shutil.make_archive(f"{folder}/stackloom", "zip", ROOT, "stackloom"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir, which all executors share; a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else None
-    if not base:
-        base = Path(tempfile.mkdtemp(prefix="stackloom-")).as_uri()
-        spark.sparkContext.setCheckpointDir(base)
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read from there; a folder is set only where none is."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or Path(tempfile.mkdtemp(prefix="stackloom-")).as_uri())
+    return df.checkpoint()
+
+
+def table_folder(spark: SparkSession) -> str:
+    """A new folder for one intermediate table, below the checkpoint folder that all executors share."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    base = sc.getConf().get("spark.checkpoint.dir") or (held.get() if held.isDefined() else Path(tempfile.mkdtemp(prefix="stackloom-")).as_uri())
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
