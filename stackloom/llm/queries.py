@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, licenses, lm, pieces, spotsigs, substrings, toxicity
+from . import chat, decontaminate, langid, licenses, lm, ngram_join, pieces, spotsigs, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,9 +57,14 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprint_with_neighbours(_table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = ngram_join.link_texts(_table(spark, sf_dir, "documents"), k=4, least=85, of=100)
+    return linked.select("doc_id", "n_shingles", "component_id")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("detections")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_score, op3_substring_dedup, op4_decontaminate, op5_language_id, op6_sentencepiece, op7_chat_format, op8_fingerprints, op10_license_scan,)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_score, op3_substring_dedup, op4_decontaminate, op5_language_id, op6_sentencepiece, op7_chat_format, op8_fingerprints, op9_ngram_join, op10_license_scan,)}
 ORACLES: dict[str, str] = {"op7_chat_format": chat.SQL}
