@@ -87,6 +87,13 @@ class Texts:
     def raw(self, i: int) -> bytes:
         return self.bytes[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
+    def rows(self, first: int, end: int) -> Texts:
+        """The texts from number `first` to before `end`."""
+        out = object.__new__(Texts)
+        at = self.offsets[first : end + 1]
+        out.offsets, out.bytes = at - at[0], self.bytes[at[0] : at[-1]]
+        return out
+
     def n_chars(self) -> np.ndarray:
         """Code points of each text."""
         heads = np.concatenate(([0], np.cumsum((self.bytes & 0xC0) != 0x80)))

@@ -28,6 +28,8 @@ from .columnar import LOWER, U64, WORD_BY_ALNUM, Texts, Words, slices
 WIDTH, STRIDE = 32, 16
 POSITIVES, NEGATIVES, WINDOWS_PER_TEXT = 1200, 2400, 256
 STEPS = 360
+#: Where a cut is set in the gap between clean and toxic texts of the sample; over a half to spare clean texts.
+MARGIN = 0.7
 WORD_BITS, GRAM_BITS, DIM, HIDDEN = 14, 15, 8, 8
 BLOCK = 1 << 20
 
@@ -64,6 +66,22 @@ class Inputs:
         self.gram = ((code * np.uint32(2654435761)) >> np.uint32(32 - GRAM_BITS)).astype(np.int32)
         self.gram_at = np.concatenate(([0], np.cumsum(words.ends - words.starts)))
 
+    @staticmethod
+    def of_many(texts: Texts, most: int = BLOCK) -> Inputs:
+        """Built from pieces of about `most` bytes, which keeps the temporary arrays small."""
+        parts, row = [], 0
+        while row < len(texts):
+            end = min(len(texts), max(row + 1, int(np.searchsorted(texts.offsets, texts.offsets[row] + most))))
+            parts.append(Inputs(texts.rows(row, end)))
+            row = end
+        out = parts[0]
+        if len(parts) > 1:
+            out.word, out.gram = np.concatenate([p.word for p in parts]), np.concatenate([p.gram for p in parts])
+            for k in ("at", "gram_at"):
+                sizes = np.concatenate([np.diff(getattr(p, k)) for p in parts])
+                setattr(out, k, np.concatenate(([0], np.cumsum(sizes))))
+        return out
+
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, first word, words) of all windows; an empty text has one without words."""
         n = np.diff(self.at)
@@ -189,8 +207,9 @@ class Network:
         x[mask] = self.embed(inputs, live) if vectors is None else vectors[live]
         return x, mask, live
 
-    def score_windows(self, inputs: Inputs, first: np.ndarray, size: np.ndarray, block: int = 2048) -> np.ndarray:
-        vectors = self.embed(inputs, slice(None))
+    def score_windows(self, inputs: Inputs, first: np.ndarray, size: np.ndarray, block: int = 2048, together: bool = True) -> np.ndarray:
+        """together: the vectors of all words are made at once, not window by window."""
+        vectors = self.embed(inputs, slice(None)) if together else None
         out = [self.logits(*self.window_inputs(inputs, first[i : i + block], size[i : i + block], vectors)[:2]) for i in range(0, len(first), block)]
         return np.concatenate(out) if out else np.zeros(0, np.float32)
 
@@ -212,7 +231,7 @@ def fit(texts: list[str | None], toxic: list[int], steps: int = STEPS, seed: int
     if len(set(toxic)) < 2:
         return float(y.mean()) if len(y) else 0.0
     r, net = np.random.default_rng(seed), Network(seed)
-    inputs = Inputs(Texts(pa.array(texts, pa.large_string())))
+    inputs = Inputs.of_many(Texts(pa.array(texts, pa.large_string())))
     text, first, size = inputs.windows()
     at = np.searchsorted(text, np.arange(len(y) + 1))
     classes = [np.flatnonzero(y == 0), np.flatnonzero(y == 1)]
@@ -220,7 +239,7 @@ def fit(texts: list[str | None], toxic: list[int], steps: int = STEPS, seed: int
     for step in range(steps):
         if step and step % (steps // 3) == 0:  # the highest window of each clean text
             own = np.flatnonzero(y[text] == 0)
-            logit = net.score_windows(inputs, first[own], size[own])
+            logit = net.score_windows(inputs, first[own], size[own], together=False)
             order = np.lexsort((logit, text[own]))
             top = order[np.append(text[own][order][1:] != text[own][order][:-1], True)]
             hard = own[top[np.argsort(-logit[top])[: max(32, len(top) // 4)]]]
@@ -237,19 +256,20 @@ def fit(texts: list[str | None], toxic: list[int], steps: int = STEPS, seed: int
             more = r.choice(hard, 32)
             some, label = np.concatenate((some, more)), np.concatenate((label, np.zeros(32, np.float32)))
         net.train_on(inputs, first[some], size[some], label, 0.05 if step < steps * 2 // 3 else 0.02)
-    logit = np.maximum.reduceat(net.score_windows(inputs, first, size), at[:-1])
+    logit = np.maximum.reduceat(net.score_windows(inputs, first, size, together=False), at[:-1])
     net.p["bo"] = net.p["bo"] - np.float32(threshold(logit, y))
     return net
 
 
 def threshold(score: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the first gap between scores at which a cut makes the fewest errors, both kinds weighed alike."""
+    """A point in the first gap between scores at which a cut makes the fewest errors, both kinds weighed alike."""
     order = np.argsort(score, kind="stable")
     score, y = score[order].astype(np.float64), y[order]
     missed = np.concatenate(([0], np.cumsum(y))) / max(y.sum(), 1)
     false = ((1 - y).sum() - np.concatenate(([0], np.cumsum(1 - y)))) / max((1 - y).sum(), 1)
     cut = int(np.argmin(missed + false))
-    return float(score[max(cut - 1, 0)] + score[min(cut, len(score) - 1)]) / 2
+    below, above = score[max(cut - 1, 0)], score[min(cut, len(score) - 1)]
+    return float(below + MARGIN * (above - below))
 
 
 def score_texts(net: Network | float, texts: Texts) -> np.ndarray:
