@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columnar import U64, WORD_BY_ALNUM, Texts, Words, slices
+from .schema import with_fields
 
 WINDOW = 10
 BLOCK_WORDS = 1 << 20
@@ -195,7 +196,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("
     """For each text: n_words, hit word spans, items with occurring windows, and the longest match with each item."""
     spark = docs.sparkSession
     source = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    fields = source.schema.fields[:-1]
 
     def pass_over(test: TestSuffixes) -> DataFrame:
         sent = spark.sparkContext.broadcast(test)
@@ -205,7 +206,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("
                 names = [c for c in part.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *_digest(part, sent.value)], names=[*names, "n_words", "spans", "items", "longest"])
 
-        return source.mapInArrow(run, f"{kinds}, {SCHEMA}")
+        return source.mapInArrow(run, with_fields(fields, SCHEMA))
 
     blocks = [pass_over(test) for test in _benchmark_blocks(benchmark, window, block_words)]
     return blocks[0] if len(blocks) == 1 else _merged(blocks, keep)

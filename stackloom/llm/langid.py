@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columnar import LOWER, Texts, Words, slices
+from .schema import with_fields
 from .toxicity import held_out
 
 SAMPLE, BITS, SMOOTHING, PENALTY, LARGEST_SET, ROUNDS = 3000, 15, 0.5, 2.0, 4, 6
@@ -118,7 +119,7 @@ def identify(docs: DataFrame, model: Languages, keep: tuple[str, ...] = ("doc_id
     """The columns `keep`, lang_pred, score, and the chosen languages with their shares."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    fields = source.schema.fields[:-1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = sent.value.names
@@ -141,4 +142,4 @@ def identify(docs: DataFrame, model: Languages, keep: tuple[str, ...] = ("doc_id
             mixed = pa.array(mix, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(lang, pa.string()), pa.array(score), mixed], names=[*kept, "lang_pred", "score", "mixture"])
 
-    return source.mapInArrow(run, f"{kinds}, lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
+    return source.mapInArrow(run, with_fields(fields, "lang_pred string, score double, mixture array<struct<lang:string,share:double>>"))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columnar import WORD_BY_ALNUM, Texts, Words, slices
+from .schema import with_fields
 
 # The base phrases and their labels.
 BASE = {
@@ -274,5 +275,5 @@ def _scan_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def scan_licenses(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns `keep` and, for each row, word count, base phrases and settled detections (byte spans)."""
     source = docs.select(*keep, F.col(text).cast("string").alias("text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(_scan_batches, f"{kinds}, {SCHEMA}")
+    fields = source.schema.fields[:-1]
+    return source.mapInArrow(_scan_batches, with_fields(fields, SCHEMA))

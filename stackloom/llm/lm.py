@@ -30,6 +30,7 @@ from ..plans.session import checkpointed
 from .columnar import LOWER, U64, WORD_BY_SPACE, Texts, Words, slices
 from .exchange import buckets_for, packed, scatter, unpack, whole_groups
 from .groups import deal, in_order
+from .schema import renamed, with_fields
 from .toxicity import held_out
 
 TOP, SUFFIXES, DIM, NOISE, BATCH, STEPS = 127, 64, 24, 12, 1024, 1500
@@ -246,6 +247,5 @@ def score_texts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), remainder:
         out = {f"k_{i}": table.column(f"k_{i}") for i in range(len(keep))}
         return pa.table(out | {"n_tokens": pa.array(words.counts + 1), "n_known": pa.array(np.bincount(doc, n > 0, count).astype(np.int64) + (n_texts > 0)), "base_score": pa.array(base), "score": pa.array(model)})
 
-    kinds = [f"k_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
-    scored = texts.cogroup(answers.where("grp >= 0").select("grp", "bucket", "n").groupBy("grp")).applyInArrow(score, ", ".join([*kinds, SCHEMA]))
+    scored = texts.cogroup(answers.where("grp >= 0").select("grp", "bucket", "n").groupBy("grp")).applyInArrow(score, with_fields(renamed(docs, keep), SCHEMA))
     return scored.select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)], *[c for c in scored.columns if not c.startswith("k_")]), vocabulary

@@ -34,6 +34,7 @@ from .columnar import U64, WORD_BY_SPACE, Texts, Words, mix64
 from .components import components
 from .exchange import buckets_for, packed, scatter, unpack, whole_groups
 from .groups import deal, in_order
+from .schema import renamed, with_fields
 
 FRAGMENTS = 8
 
@@ -266,8 +267,7 @@ def link_texts(docs: DataFrame, k: int = 5, least: int = 80, of: int = 100, keep
 
     asked = texts.applyInArrow(ask, ASKED).repartition(partitions, "bucket").sortWithinPartitions("bucket")
     answers = asked.mapInArrow(_classes, ANSWERS)
-    kinds = [f"k_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(fields)]
-    ordered = checkpointed(texts.cogroup(answers.groupBy("grp")).applyInArrow(order, ", ".join([*kinds, SETS])))
+    ordered = checkpointed(texts.cogroup(answers.groupBy("grp")).applyInArrow(order, with_fields(renamed(docs, fields), SETS)))
     posting = ordered.where(F.octet_length("posted_h") > 0).select("sid", "n", "posted_h", "posted_at", "tokens")
     sets = checkpointed(posting.dropDuplicates(["sid"]))
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columnar import U64, Texts, mix64, powers, slices
+from .schema import with_fields
 
 SPACE = 0x2581
 LONG_WORD = 256
@@ -284,7 +285,7 @@ def encode_texts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: st
     """The columns `keep`, ids, n_tokens, and round_trip: whether decoding the ids gives the text back."""
     sent = docs.sparkSession.sparkContext.broadcast(Pieces.load(model or default_model()))
     source = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    fields = source.schema.fields[:-1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, most=BLOCK):
@@ -300,14 +301,14 @@ def encode_texts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: st
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], lists, pa.array(np.diff(at)), pa.array(same)], names=[*kept, "ids", "n_tokens", "round_trip"])
 
-    return source.mapInArrow(run, f"{kinds}, ids array<int>, n_tokens long, round_trip boolean")
+    return source.mapInArrow(run, with_fields(fields, "ids array<int>, n_tokens long, round_trip boolean"))
 
 
 def decode_ids(rows: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: str | None = None) -> DataFrame:
     """The columns `keep` and the text of `ids`; bytes that are no UTF-8 become replacement characters."""
     sent = rows.sparkSession.sparkContext.broadcast(Pieces.load(model or default_model()))
     source = rows.select(*keep, F.col("ids").cast("array<int>").alias("ids"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    fields = source.schema.fields[:-1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -318,4 +319,4 @@ def decode_ids(rows: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: str
             kept = [c for c in part.schema.names if c != "ids"]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(out, pa.string())], names=[*kept, "text"])
 
-    return source.mapInArrow(run, f"{kinds}, text string")
+    return source.mapInArrow(run, with_fields(fields, "text string"))

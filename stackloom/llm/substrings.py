@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .columnar import U64, WORD_BY_SPACE, Texts, Words
 from .exchange import buckets_for
 from .groups import deal, in_order
+from .schema import renamed, with_fields
 from .repeats import PROBES, places, probes, repeated_places
 
 WINDOW = 35
@@ -125,8 +126,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), window:
         out |= {"n_words": pa.array(words.counts), "n_removed": pa.array(np.diff(lost)), "kept_sha256": pa.array(sha, pa.string())}
         return pa.table(out | ({"text": pa.array([t if v is not None else None for t, v in zip(left, table.column("text").to_pylist(), strict=True)], pa.string())} if with_text else {}))
 
-    kinds = [f"k_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
-    schema = ", ".join([*kinds, "n_words long, n_removed long, kept_sha256 string", *(["text string"] if with_text else [])])
+    schema = with_fields(renamed(docs, keep), "n_words long, n_removed long, kept_sha256 string" + (", text string" if with_text else ""))
     texts = dealt.groupBy("grp")
     anchors = repeated_places(texts.applyInArrow(send_anchors, PROBES), partitions)
     windows = repeated_places(texts.cogroup(anchors.groupBy("grp")).applyInArrow(send_windows, PROBES), partitions)

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columnar import LOWER, U64, WORD_BY_ALNUM, Texts, Words, slices
+from .schema import with_fields
 
 WIDTH, STRIDE = 32, 16
 POSITIVES, NEGATIVES, WINDOWS_PER_TEXT = 1200, 2400, 256
@@ -319,14 +320,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(fit(*training_sample(docs, labels)))
     source = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    fields = source.schema.fields[:-1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, most=BLOCK):
             names = [c for c in part.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(score_texts(sent.value, Texts(part.column("text"))), pa.float64())], names=[*names, "score"])
 
-    return source.mapInArrow(run, f"{kinds}, score double")
+    return source.mapInArrow(run, with_fields(fields, "score double"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
