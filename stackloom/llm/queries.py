@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, langid, licenses, lm, ngram_join, pieces, spotsigs, substrings, toxicity
+from .oracles import ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,4 +68,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_score, op3_substring_dedup, op4_decontaminate, op5_language_id, op6_sentencepiece, op7_chat_format, op8_fingerprints, op9_ngram_join, op10_license_scan,)}
-ORACLES: dict[str, str] = {"op7_chat_format": chat.SQL}
+
+__all__ = ["ORACLES", "QUERIES"]
