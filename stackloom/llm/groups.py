@@ -13,14 +13,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GROUP_BYTES, LEAST_GROUPS = 4 << 20, 384
+GROUP_BYTES, MOST_BYTES, LEAST_GROUPS = 4 << 20, 32 << 20, 384
 
 
-def deal(docs: DataFrame, keep: tuple[str, ...], bytes_each: int = GROUP_BYTES) -> tuple[DataFrame, int]:
-    """(rows grp, rid, keep..., text in groups of about bytes_each; number of groups)."""
+def deal(docs: DataFrame, keep: tuple[str, ...], bytes_each: int | None = None) -> tuple[DataFrame, int]:
+    """(rows grp, rid, keep..., text in groups of about bytes_each; number of groups).
+
+    Groups have 4 MB of text, and up to 32 MB where a shuffle partition would hold many of them: the larger a group,
+    the more of its keys share a packed row, and the fewer times a common key is sent.
+    """
     text = F.col("text").cast("string")
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    groups = max(LEAST_GROUPS, -(-total // bytes_each))
+    share = total // (16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    groups = max(LEAST_GROUPS, -(-total // (bytes_each or min(MOST_BYTES, max(GROUP_BYTES, share)))))
     rid = F.xxhash64(F.col("doc_id"), text)
     dealt = docs.select(F.pmod(F.xxhash64(rid, F.lit("deal")), F.lit(groups)).cast("int").alias("grp"), rid.alias("rid"), *[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], text.alias("text"))
     return dealt, groups

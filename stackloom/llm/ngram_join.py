@@ -21,7 +21,7 @@ are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -216,10 +216,12 @@ def verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     return counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared")).where(F.col("shared") * t.of >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * t.least).select("a", "b")
 
 
-def link_texts(docs: DataFrame, k: int = 5, least: int = 80, of: int = 100, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def link_texts(
+    docs: DataFrame, k: int = 5, least: int = 80, of: int = 100, keep: tuple[str, ...] = ("doc_id",), sets: Callable[[Texts], tuple[np.ndarray, np.ndarray]] | None = None
+) -> DataFrame:
     """keep, n_shingles, sid (the set), comp (the smallest sid reachable) and component_id, the smallest doc_id there.
 
-    sid and comp are null for empty sets.
+    sid and comp are null for empty sets. sets: makes other sets than k-word shingles from texts, as `shingles` does.
     """
     spark = docs.sparkSession
     partitions, buckets = int(spark.conf.get("spark.sql.shuffle.partitions")), buckets_for(spark)
@@ -231,8 +233,8 @@ def link_texts(docs: DataFrame, k: int = 5, least: int = 80, of: int = 100, keep
     texts = dealt.groupBy("grp")
 
     def sets_of(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
-        words = Words(Texts(table.column("text")), WORD_BY_SPACE, True)
-        return len(words.texts), *shingles(words, k)
+        content = Texts(table.column("text"))
+        return len(content), *(sets(content) if sets else shingles(Words(content, WORD_BY_SPACE, True), k))
 
     def ask(table: pa.Table) -> pa.Table:
         _, _, h = sets_of(in_order(table))
@@ -269,16 +271,16 @@ def link_texts(docs: DataFrame, k: int = 5, least: int = 80, of: int = 100, keep
     answers = asked.mapInArrow(_classes, ANSWERS)
     ordered = checkpointed(texts.cogroup(answers.groupBy("grp")).applyInArrow(order, with_fields(renamed(docs, fields), SETS)))
     posting = ordered.where(F.octet_length("posted_h") > 0).select("sid", "n", "posted_h", "posted_at", "tokens")
-    sets = checkpointed(posting.dropDuplicates(["sid"]))
+    distinct = checkpointed(posting.dropDuplicates(["sid"]))
 
-    met = _post(sets, partitions, buckets, t, False).groupBy("a", "b").agg(F.sum("times").alias("times"))
+    met = _post(distinct, partitions, buckets, t, False).groupBy("a", "b").agg(F.sum("times").alias("times"))
     best = met.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
-    links = checkpointed(verified(checkpointed(best), sets, t))
+    links = checkpointed(verified(checkpointed(best), distinct, t))
     first = components(links)
-    labelled = sets.join(first, F.col("sid") == F.col("node"), "left").select("sid", "n", "posted_h", "posted_at", F.coalesce("comp", "sid").alias("comp"))
+    labelled = distinct.join(first, F.col("sid") == F.col("node"), "left").select("sid", "n", "posted_h", "posted_at", F.coalesce("comp", "sid").alias("comp"))
     more = checkpointed(_post(labelled, partitions, buckets, t, True).select("a", "b").distinct())
     if not more.isEmpty():
-        links = checkpointed(links.unionByName(verified(more, sets, t)))
+        links = checkpointed(links.unionByName(verified(more, distinct, t)))
         # Links between components of the first round, on top of its labels.
         to = first.select(F.col("node").alias("of"), F.col("comp").alias("c"))
         up = links.join(to, F.col("a") == F.col("of"), "left").select(F.coalesce("c", "a").alias("a"), "b")

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .columnar import U64, WORD_BY_ALNUM, Texts, Words, mix64, slices
 from .groups import LEAST_GROUPS
+from .ngram_join import link_texts
 
 CHAIN = 2
 #: Texts of fewer words have each word for a signature, too.
@@ -99,6 +100,22 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     return shared / (len(both) - shared)
 
 
+def signature_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of all signatures, sorted, for the set join."""
+    sigs, at = signatures(texts)
+    doc, h = np.repeat(np.arange(len(texts)), np.diff(at)), mix64(sigs.astype(U64))
+    order = np.lexsort((h, doc))
+    return doc[order], h[order]
+
+
+def near_duplicates(docs: DataFrame, least: int = 80, of: int = 100, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Components of documents whose signature sets have Jaccard least / of or more: keep, n_shingles (set length), component_id.
+
+    Sets are met by their rarest signatures and compared only within the bounds that their lengths leave.
+    """
+    return link_texts(docs, least=least, of=of, keep=keep, sets=signature_sets)
+
+
 _FIELDS = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 SCHEMA = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 

@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 
 from stackloom.llm import chat, components, decontaminate, langid, licenses, lm, ngram_join, pieces, spotsigs, substrings, toxicity
 
-from .test_columns import ALNUM, SPACED, lower
+from .test_columns import ALNUM, SPACED, lower, texts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, labels string, grp int, rid long"
 LONG = " ".join(f"w{i}" for i in range(40))
 
 
 def odd_rows():
-    texts = [LONG, LONG, f"start {LONG} end", None, "", " \n", "one", "MIT License and more", "日本 text", "x" * 3000]
-    rows = [(i, t, "aa" if i % 2 else "bb", "s", len(t or ""), 0.5, "l", 7, 8) for i, t in enumerate(texts)]
+    values = [LONG, LONG, f"start {LONG} end", None, "", " \n", "one", "MIT License and more", "日本 text", "x" * 3000]
+    rows = [(i, t, "aa" if i % 2 else "bb", "s", len(t or ""), 0.5, "l", 7, 8) for i, t in enumerate(values)]
     return [*rows, rows[2], (None, "no id here", None, None, None, None, None, None, None), (2, "other text, same id", "aa", "s", 1, 0.1, "", 0, 0)]
 
 
@@ -135,6 +135,23 @@ def test_ngram_join(spark, odd, none):
     assert (1, 0) in twice and (3, 3) in twice and (None, None) in twice
 
 
+def test_signature_join(spark):
+    r = random.Random(2)
+    rows = []
+    for _ in range(6):
+        words = [r.choice(["the", "of", "and", f"x{r.randint(0, 500)}"]) for _ in range(80)]
+        rows += [(len(rows) + i, " ".join(w if r.random() > 0.02 else "new" for w in words)) for i in range(5)]
+    got = {x.doc_id: x.component_id for x in spotsigs.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sigs, at = spotsigs.signatures(texts(*[t for _, t in rows]))
+    comp = {d: d for d, _ in rows}
+    for a in comp:
+        for b in comp:
+            if spotsigs.likeness(sigs[at[a] : at[a + 1]], sigs[at[b] : at[b + 1]]) >= 0.8 and comp[a] != comp[b]:
+                low, high = sorted((comp[a], comp[b]))
+                comp = {d: low if c == high else c for d, c in comp.items()}
+    assert got == comp and len(set(comp.values())) < len(rows)
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)]
