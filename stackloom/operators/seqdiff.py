@@ -249,10 +249,25 @@ def diff_pairs(sequences: DataFrame, pairs: DataFrame) -> DataFrame:
     return _paired(sequences, pairs, "seq").select("p", "q", "seq_a", "seq_b").mapInPandas(run, "p long, q long, ops array<struct<op:int,seq:array<int>>>, score int, achievable int, most int")
 
 
+def _whole(trees: DataFrame) -> DataFrame:
+    """One row a process: depths and functions in order."""
+    whole = trees.groupBy("process").agg(F.array_sort(F.collect_list(F.struct("i", "depth", "function"))).alias("t"))
+    return whole.select("process", F.col("t.depth").alias("d"), F.col("t.function").alias("f"))
+
+
+def long_match_pairs(trees: DataFrame, pairs: DataFrame, least: int = 10_000) -> DataFrame:
+    """p, q, path, children_p, children_q: matched nodes whose lists of children have at least `least` entries together."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(r.p, r.q, path, n, m) for r in part.itertuples() for path, n, m in long_matches(Tree.of(r.d_a, r.f_a), Tree.of(r.d_b, r.f_b), least)]
+            yield pd.DataFrame(rows, columns=["p", "q", "path", "children_p", "children_q"])
+
+    return _paired(_whole(trees), pairs, "d", "f").select("p", "q", "d_a", "f_a", "d_b", "f_b").mapInPandas(run, "p long, q long, path array<int>, children_p int, children_q int")
+
+
 def diff_trees(trees: DataFrame, pairs: DataFrame) -> DataFrame:
     """p, q, rows (op, pos_path, function), score, achievable and most of the tree difference of each pair."""
-    whole = trees.groupBy("process").agg(F.array_sort(F.collect_list(F.struct("i", "depth", "function"))).alias("t"))
-    whole = whole.select("process", F.col("t.depth").alias("d"), F.col("t.function").alias("f"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -262,7 +277,7 @@ def diff_trees(trees: DataFrame, pairs: DataFrame) -> DataFrame:
                 rows.append((r.p, r.q, [{"op": o, "pos_path": w, "function": f} for o, w, f in tree_diff(a, b)], *tree_scores(a, b)))
             yield pd.DataFrame(rows, columns=["p", "q", "rows", "score", "achievable", "most"])
 
-    return _paired(whole, pairs, "d", "f").select("p", "q", "d_a", "f_a", "d_b", "f_b").mapInPandas(run, "p long, q long, rows array<struct<op:int,pos_path:array<int>,function:int>>, score int, achievable int, most int")
+    return _paired(_whole(trees), pairs, "d", "f").select("p", "q", "d_a", "f_a", "d_b", "f_b").mapInPandas(run, "p long, q long, rows array<struct<op:int,pos_path:array<int>,function:int>>, score int, achievable int, most int")
 
 
 def diff_trees_steve(*_: object) -> None:

@@ -116,6 +116,14 @@ FROM s GROUP BY function ORDER BY exc_weighted_median DESC, function""",
   UNION ALL SELECT 3, 1 + row_number() OVER (ORDER BY n_nationkey DESC), n_name FROM nation
 ), f AS (SELECT name, min(row(trace_id, token)) AS pos FROM names GROUP BY name), ids AS (SELECT name, row_number() OVER (ORDER BY pos) AS function FROM f)
 SELECT CAST(trace_id AS INTEGER) AS trace_id, CAST(token AS INTEGER) AS token, CAST(function AS INTEGER) AS function FROM names JOIN ids USING (name)""",
+    "unified_members": """WITH f AS (
+  SELECT 1 AS trace_id, n_nationkey + 1 AS token, n_name AS name, n_regionkey + 1 AS grp FROM nation
+  UNION ALL SELECT 2, n_nationkey + 1, n_name, (n_regionkey + n_nationkey % 2) % 5 + 1 FROM nation
+), ids AS (SELECT name, row_number() OVER (ORDER BY min(row(trace_id, token))) AS function FROM f GROUP BY name),
+g AS (SELECT r_regionkey + 1 AS grp, row_number() OVER (ORDER BY r_regionkey) AS group_id FROM region)
+SELECT CAST(function AS INTEGER) AS function, CAST(arg_max(group_id, row(trace_id, token)) AS INTEGER) AS grp, count(DISTINCT group_id) > 1 AS conflict
+FROM f JOIN ids USING (name) JOIN g USING (grp) GROUP BY function""",
+    "lattice_metrics": SUPPLIERS + "SELECT (SELECT count(*) FROM attrs) AS attributes, (SELECT count(*) FROM intents) AS objects, (SELECT count(DISTINCT intent) FROM intents) AS groups, (SELECT count(*) FROM nodes) AS nodes",
     "sim_jaccard": PAIR_SETS + """, s AS (SELECT x.p, y.p AS q, count(*) AS c FROM m x JOIN m y USING (caller, callee) GROUP BY ALL)
 SELECT a.p, b.p AS q, coalesce(c, 0)::DOUBLE / (a.n + b.n - coalesce(c, 0)) AS value FROM n a CROSS JOIN n b LEFT JOIN s ON s.p = a.p AND s.q = b.p""",
     "sim_functions": CALLS + """, m AS (SELECT DISTINCT process AS p, function AS f FROM calls), n AS (SELECT p, count(*) AS n FROM m GROUP BY ALL), s AS (SELECT x.p, y.p AS q, count(*) AS c FROM m x JOIN m y USING (f) GROUP BY ALL)

@@ -121,6 +121,18 @@ def unified_functions(spark, sf_dir):
     return unifier.unify(_names(spark, sf_dir))
 
 
+@query
+def unified_members(spark, sf_dir):
+    """Nations as functions of two traces, in groups that differ for some of them."""
+    nation = _read(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).alias("token"), F.col("n_name").alias("name"), "n_regionkey", "n_nationkey")
+    group = (F.col("n_regionkey") + 1, (F.col("n_regionkey") + F.col("n_nationkey") % 2) % 5 + 1)
+    traces = [nation.select(F.lit(i + 1).alias("trace_id"), "token", "name", g.alias("grp")) for i, g in enumerate(group)]
+    functions = traces[0].unionByName(traces[1])
+    region = _read(spark, sf_dir, "region").select((F.col("r_regionkey") + 1).alias("token"), F.col("r_name").alias("name"))
+    groups = region.select(F.lit(1).alias("trace_id"), "token", "name").unionByName(region.select(F.lit(2).alias("trace_id"), "token", "name"))
+    return unifier.unify_members(functions, unifier.unify(functions), unifier.unify(groups))
+
+
 @query
 def sim_jaccard(spark, sf_dir):
     return similarity.simple_call_matrix(_calls(spark, sf_dir))
@@ -205,6 +217,21 @@ def lattice_group_subsumption(spark, sf_dir):
     return lattice.group_matrix(_suppliers(spark, sf_dir), "subsumption")
 
 
+@query
+def lattice_metrics(spark, sf_dir):
+    ctx = _suppliers(spark, sf_dir)
+    counted = ctx.agg(F.countDistinct("attr").alias("attributes"), F.countDistinct("object").alias("objects"))
+    groups = context.equality_groups(ctx).agg(F.count(F.lit(1)).alias("groups"))
+    return counted.crossJoin(groups).crossJoin(lattice.concepts(ctx).agg(F.count(F.lit(1)).alias("nodes")))
+
+
+@query
+def long_sequences(spark, sf_dir):
+    """Matched nodes of neighbouring processes with at least ten children together."""
+    long = seqdiff.long_match_pairs(seqdiff.tree_sequences(_calls(spark, sf_dir, True)), _neighbours(spark, sf_dir), 10)
+    return long.select("p", "q", _joined(F.col("path").cast("array<string>"), ">").alias("path"), "children_p", "children_q")
+
+
 @query
 def cxt_rows(spark, sf_dir):
     return render.cross_table(_suppliers(spark, sf_dir))

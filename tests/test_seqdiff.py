@@ -92,3 +92,12 @@ def test_round_trip_and_length(monkeypatch):
                 for j, y in enumerate(b):
                     table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
             assert flat_scores(ops)[0] == table[-1][-1]
+
+
+def test_long_matches():
+    a, b = tree([(1, (2,), (2,), (3, (4,)))]), tree([(1, (2,), (3, (4,), (4,)))])
+    assert sorted(seqdiff.long_matches(a, b, 3)) == [([1], 3, 2), ([1, 3], 1, 2)]
+
+
+def test_canonical_form():
+    assert seqdiff.canonical([(1, [2]), (-1, [1]), (0, []), (1, [3]), (0, [4]), (0, [5])]) == [(-1, [1]), (1, [2, 3]), (0, [4, 5])]
