@@ -9,7 +9,7 @@ Texts with equal n-gram sets form one set; links are sought between different se
 3. Among the sets that post an n-gram, the one that has it foremost is the pivot; every other one is paired with the
    pivot it meets most often. That takes one pair a set, however large a family of near copies is.
 4. Pairs are verified on vertical fragments: the n-gram order is cut into `FRAGMENTS` ranges, overlaps are counted
-   range by range and summed per pair.
+   range by range and summed per pair. Small sets are one range to each other.
 5. Verified links give components. All posted pairs that still join two different components and pass the size and
    position bounds are verified, too; with those links the components are final, and no link was left out that could
    change them.
@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ from .groups import deal, in_order
 from .schema import renamed, with_fields
 
 FRAGMENTS = 8
+#: Sets of up to so many n-grams are one fragment, -1, to each other.
+SMALL = 512
 
 
 @dataclass(frozen=True)
@@ -49,9 +52,14 @@ class Threshold:
     def prefix(self, n: np.ndarray) -> np.ndarray:
         return n - -(-self.least * n // self.of) + 1
 
-    def slack(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-        """The most elements that may be in one set only, of sets of n and m."""
-        return n + m - 2 * -(-self.least * (n + m) // (self.least + self.of))
+    def overlap(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """The fewest elements that linked sets of n and m share."""
+        return -(-self.least * (n + m) // (self.least + self.of))
+
+    def possible(self, n: np.ndarray, at_n: np.ndarray, m: np.ndarray, at_m: np.ndarray) -> np.ndarray:
+        """Whether sets whose first common element has these places can be linked: neither shares what comes before."""
+        fewest = self.overlap(n, m)
+        return (at_n + fewest <= n) & (at_m + fewest <= m)
 
     def linked(self, shared: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
         return self.of * shared >= self.least * (n + m - shared)
@@ -112,7 +120,7 @@ def _pairs(h: np.ndarray, sid: np.ndarray, n: np.ndarray, at: np.ndarray, t: Thr
     first = np.append(True, h[1:] != h[:-1])
     start = np.flatnonzero(first)
     pivot = np.repeat(start, np.diff(np.append(start, len(h))))
-    ok = (sid != sid[pivot]) & (at + at[pivot] <= t.slack(n, n[pivot]))
+    ok = (sid != sid[pivot]) & t.possible(n, at, n[pivot], at[pivot])
     both = np.stack((sid[ok], sid[pivot][ok]), 1)
     if not len(both):
         return (np.zeros(0, np.int64),) * 3
@@ -131,7 +139,7 @@ def _cross(h: np.ndarray, sid: np.ndarray, n: np.ndarray, at: np.ndarray, comp:
         for a in range(s, s + m - 1, 512):  # each against all that stand after it
             rows = np.arange(a, min(a + 512, s + m - 1))
             cols = np.arange(a + 1, s + m)
-            ok = (comp[rows][:, None] != comp[cols]) & (rows[:, None] < cols) & (at[rows][:, None] + at[cols] <= t.slack(n[rows][:, None], n[cols]))
+            ok = (comp[rows][:, None] != comp[cols]) & (rows[:, None] < cols) & t.possible(n[rows][:, None], at[rows][:, None], n[cols], at[cols])
             i, j = np.nonzero(ok)
             found.append(np.stack((np.maximum(sid[rows[i]], sid[cols[j]]), np.minimum(sid[rows[i]], sid[cols[j]])), 1))
             held += len(i)
@@ -178,16 +186,26 @@ def _post(sets: DataFrame, partitions: int, buckets: int, t: Threshold, with_com
     return dealt.mapInArrow(meet, "a long, b long, times long")
 
 
-def _fragments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each set's n-grams cut into ranges of the order key."""
-    for batch in batches:
-        h, each = unpack(batch.column("tokens"), U64)
-        row = np.repeat(np.arange(batch.num_rows), each)
-        part = (h >> U64(61)).astype(np.int64)
-        key = row * FRAGMENTS + part
-        at = np.searchsorted(key, np.arange(batch.num_rows * FRAGMENTS + 1))
-        sid, n = (np.repeat(batch.column(c).to_numpy(), FRAGMENTS) for c in ("sid", "n"))
-        yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(n), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), batch.num_rows)), packed(at, h)], names=["sid", "n", "part", "tokens"])
+def _cutter(t: Threshold) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cuts each set's n-grams into ranges of the order key; small sets stay whole and are cut only for larger partners."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["sid", "n", "part", "tokens"]
+        for batch in batches:
+            small = batch.filter(pc.less_equal(batch.column("n"), SMALL))
+            if small.num_rows:
+                yield pa.RecordBatch.from_arrays([small.column("sid"), small.column("n"), pa.array(np.full(small.num_rows, -1, np.int32)), small.column("tokens")], names=names)
+            large = batch.filter(pc.greater(batch.column("n"), SMALL * t.least // t.of))
+            if not large.num_rows:
+                continue
+            h, each = unpack(large.column("tokens"), U64)
+            row = np.repeat(np.arange(large.num_rows), each)
+            key = row * FRAGMENTS + (h >> U64(61)).astype(np.int64)
+            at = np.searchsorted(key, np.arange(large.num_rows * FRAGMENTS + 1))
+            sid, n = (np.repeat(large.column(c).to_numpy(), FRAGMENTS) for c in ("sid", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(n), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), large.num_rows)), packed(at, h)], names=names)
+
+    return cut
 
 
 def _overlap(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,11 +225,12 @@ def _overlap(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     """The pairs (a, b) that reach the threshold: partial overlaps of each fragment, summed per pair."""
     named = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    cut = sets.join(named, "sid", "left_semi").mapInArrow(_fragments, "sid long, n long, part int, tokens binary")
+    cut = sets.join(named, "sid", "left_semi").mapInArrow(_cutter(t), "sid long, n long, part int, tokens binary")
     cut = checkpointed(cut)
     left = cut.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), "part", F.col("tokens").alias("x"))
     right = cut.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), "part", F.col("tokens").alias("y"))
-    met = pairs.join(left, "a").join(right, ["b", "part"]).select("a", "b", "n_a", "n_b", "x", "y")
+    whole = (F.col("n_a") <= SMALL) & (F.col("n_b") <= SMALL)
+    met = pairs.join(left, "a").join(right, ["b", "part"]).where((F.col("part") < 0) | ~whole).select("a", "b", "n_a", "n_b", "x", "y")
     counted = met.mapInArrow(_overlap, "a long, b long, n_a long, n_b long, shared long")
     return counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared")).where(F.col("shared") * t.of >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * t.least).select("a", "b")
 

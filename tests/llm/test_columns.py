@@ -67,7 +67,7 @@ def test_shingles_and_threshold():
             for shared in range(min(n, m) + 1):
                 linked = 100 * shared >= 85 * (n + m - shared)
                 assert bool(th.linked(shared, n, m)) == linked
-                assert not linked or (n + m - 2 * shared <= th.slack(np.array(n), np.array(m)) and shared > n - th.prefix(np.array(n)))
+                assert not linked or (shared >= th.overlap(np.array(n), np.array(m)) and shared > n - th.prefix(np.array(n)))
 
 
 def test_suffix_search_against_windows():
