@@ -6,8 +6,8 @@ benchmark suffix that starts a window is then binary-searched in the shard: the
 places of the window, and comparing onwards gives the longest match from each place. Shards are independent, so a
 lost task is simply run again.
 
-The benchmark is broadcast in blocks of at most `BLOCK_WORDS` words; a larger benchmark is searched block by block
-and the findings of each text are merged.
+The benchmark is broadcast in blocks of about `BLOCK_WORDS` words; all blocks are searched in one pass over the texts,
+each shard block by block, so findings of one row never meet those of another and a worker holds one block at a time.
 
 Defined cases: null texts have no words; empty tables give empty or unmarked results; an item without words has no
 window; a null item_id is listed as the empty string; repeated rows are searched one by one; extra columns stay out.
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,13 +121,12 @@ def search(text: np.ndarray, order: np.ndarray, test: TestSuffixes) -> tuple[np.
     return which, place, length
 
 
-def _find(part: pa.RecordBatch, test: TestSuffixes) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a shard, and window number, word number and match length of each occurrence."""
-    words = Words(Texts(part.column("text")), WORD_BY_ALNUM, True)
+def _find(words: Words, h: np.ndarray, test: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Window number, word number and match length of each occurrence in a shard; h: hashes of its words."""
     none = np.zeros(0, np.int64)
     if not len(test.starts) or not len(words):
-        return words, none, none, none
-    number = test.numbers(words.hashes())
+        return none, none, none
+    number = test.numbers(h)
     # Stretches of known words within one text, at least as long as the shortest window.
     stop = number == 0
     start_of = np.zeros(len(number), bool)
@@ -136,22 +136,39 @@ def _find(part: pa.RecordBatch, test: TestSuffixes) -> tuple[Words, np.ndarray,
     long_enough = ends_at - begins >= test.lengths.min()
     begins, sizes = begins[long_enough], (ends_at - begins)[long_enough]
     if not len(begins):
-        return words, none, none, none
+        return none, none, none
     where = np.repeat(begins - np.concatenate(([0], np.cumsum(sizes + 1)[:-1])), sizes + 1) + np.arange((sizes + 1).sum())
     text = np.where(np.repeat(begins + sizes, sizes + 1) > where, number[np.minimum(where, len(number) - 1)], 0)
     which, place, length = search(text, suffix_array(text, int(test.lengths.max())), test)
-    return words, which, where[place], length
+    return which, where[place], length
 
 
 SCHEMA = "n_words long, spans array<struct<first:long,last:long>>, items array<string>, longest array<struct<item_id:string,item_word:long,doc_word:long,n_words:long>>"
 
 
-def _digest(part: pa.RecordBatch, test: TestSuffixes) -> list[pa.Array]:
-    words, which, at, length = _find(part, test)
-    n = len(words.texts)
+def _digest(part: pa.RecordBatch, tests: TestSuffixes | Iterable[TestSuffixes]) -> list[pa.Array]:
+    """The columns of SCHEMA: findings of one or several benchmark blocks in each text of a shard."""
+    words = Words(Texts(part.column("text")), WORD_BY_ALNUM, True)
+    h, n = words.hashes(), len(words.texts)
     edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + test.lengths[which], -1)
+    items: list[set] = [set() for _ in range(n)]
+    longest: list[list[dict]] = [[] for _ in range(n)]
+    for test in [tests] if isinstance(tests, TestSuffixes) else tests:
+        which, at, length = _find(words, h, test)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + test.lengths[which], -1)
+        firsts = np.concatenate(([0], np.flatnonzero(test.tokens == 0) + 1))
+        where = np.searchsorted(words.at, at, "right") - 1
+        best: dict[int, dict] = {}
+        for d, w, a, k in zip(where.tolist(), which.tolist(), (at - words.at[where]).tolist(), length.tolist(), strict=True):
+            i = int(test.items[w])
+            items[d].add(test.ids[i])
+            own = best.setdefault(d, {})
+            old = own.get(i)
+            if old is None or (k, -a) > (old["n_words"], -old["doc_word"]):
+                own[i] = {"item_id": test.ids[i], "item_word": int(test.starts[w] - firsts[i]), "doc_word": a, "n_words": k}
+        for d, own in best.items():
+            longest[d] += [own[i] for i in sorted(own)]
     hit = np.cumsum(edge[:-1]) > 0
     heads = np.zeros(len(words), bool)
     heads[words.at[:-1][words.at[:-1] < len(words)]] = True
@@ -161,22 +178,12 @@ def _digest(part: pa.RecordBatch, test: TestSuffixes) -> list[pa.Array]:
     spans: list[list] = [[] for _ in range(n)]
     for d, a, b in zip(doc.tolist(), (first - words.at[doc]).tolist(), (last - words.at[doc]).tolist(), strict=True):
         spans[d].append({"first": a, "last": b})
-    items: list[set] = [set() for _ in range(n)]
-    longest: list[dict] = [{} for _ in range(n)]
-    firsts = np.concatenate(([0], np.flatnonzero(test.tokens == 0) + 1))
-    where = np.searchsorted(words.at, at, "right") - 1
-    for d, w, a, k in zip(where.tolist(), which.tolist(), (at - words.at[where]).tolist(), length.tolist(), strict=True):
-        i = int(test.items[w])
-        items[d].add(test.ids[i])
-        old = longest[d].get(i)
-        if old is None or (k, -a) > (old["n_words"], -old["doc_word"]):
-            longest[d][i] = {"item_id": test.ids[i], "item_word": int(test.starts[w] - firsts[i]), "doc_word": a, "n_words": k}
     match = pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64())])
     return [
         pa.array(words.counts),
         pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
         pa.array([sorted(x) for x in items], pa.list_(pa.string())),
-        pa.array([[x[k] for k in sorted(x)] for x in longest], pa.list_(match)),
+        pa.array(longest, pa.list_(match)),
     ]
 
 
@@ -198,37 +205,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("
     source = docs.select(*keep, F.col("text").cast("string").alias("text"))
     fields = source.schema.fields[:-1]
 
-    def pass_over(test: TestSuffixes) -> DataFrame:
-        sent = spark.sparkContext.broadcast(test)
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in slices(batches):
-                names = [c for c in part.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *_digest(part, sent.value)], names=[*names, "n_words", "spans", "items", "longest"])
+    sent = [spark.sparkContext.broadcast(test) for test in _benchmark_blocks(benchmark, window, block_words)]
 
-        return source.mapInArrow(run, with_fields(fields, SCHEMA))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            names = [c for c in part.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], *_digest(part, _values(sent))], names=[*names, "n_words", "spans", "items", "longest"])
 
-    blocks = [pass_over(test) for test in _benchmark_blocks(benchmark, window, block_words)]
-    return blocks[0] if len(blocks) == 1 else _merged(blocks, keep)
+    return source.mapInArrow(run, with_fields(fields, SCHEMA))
 
 
-def _merged(blocks: list[DataFrame], keep: tuple[str, ...]) -> DataFrame:
-    """Findings of several benchmark blocks as one row a text. Rows that agree in `keep` and n_words hold the same text."""
-    union = blocks[0]
-    for other in blocks[1:]:
-        union = union.unionByName(other)
-    merged = union.groupBy(*keep, "n_words").agg(
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.flatten(F.collect_list("longest")).alias("longest"),
-    )
-    joined = F.expr(
-        "aggregate(spans, cast(array() as array<struct<first:long,last:long>>), (done, s) -> CASE"
-        " WHEN size(done) > 0 AND s.first <= element_at(done, -1).last + 1"
-        " THEN concat(slice(done, 1, size(done) - 1), array(named_struct('first', element_at(done, -1).first, 'last', greatest(element_at(done, -1).last, s.last))))"
-        " ELSE concat(done, array(s)) END)"
-    )
-    return merged.withColumn("spans", joined)
+def _values(sent: list[Broadcast]) -> Iterator[TestSuffixes]:
+    """The blocks one after another; one of several is let go before the next and is read again from its file if need be."""
+    for block in sent:
+        yield block.value
+        if len(sent) > 1 and getattr(block, "_path", None):
+            block.__dict__.pop("_value", None)
 
 
 def n_hit() -> Column:
@@ -241,10 +233,10 @@ def items_digest() -> Column:
     return F.sha2(F.array_join("items", ",").cast("binary"), 256)
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs without any occurrence of a benchmark window."""
     columns = tuple(docs.columns)
     others = tuple(c for c in columns if c != "text")
     carried = docs.select(*others, "text", F.col("text").alias("__text"))
-    found = find_leaks(carried, benchmark, (*others, "__text"), window)
+    found = find_leaks(carried, benchmark, (*others, "__text"), window, block_words)
     return found.where(F.size("items") == 0).select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in columns])

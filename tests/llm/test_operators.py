@@ -70,6 +70,21 @@ def test_benchmark_blocks_agree(odd):
     assert rows() == rows(block_words=5)
 
 
+def test_benchmark_blocks_keep_rows_apart(spark):
+    """Repeated rows, and texts that agree in doc_id (or have none) and word count, each keep their own findings."""
+    one, two, clean = (" ".join(f"{c}{i}" for i in range(12)) for c in "abc")
+    rows = [(1, one), (1, one), (1, two), (1, clean), (None, two), (None, clean), (2, clean), (2, clean), (3, f"{one} {two}"), (4, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([("x", one), ("y", two), ("w", "b11")], "item_id string, text string")
+    found = lambda **k: Counter((r.doc_id, r.n_words, tuple(map(tuple, r.spans)), tuple(r.items), tuple(map(tuple, r.longest))) for r in decontaminate.find_leaks(docs, bench, **k).collect())
+    whole = found()
+    assert sum(whole.values()) == len(rows) and found(block_words=5) == whole
+    items = Counter((d, i) for (d, _, _, i, _), n in whole.items() for _ in range(n))
+    assert items == Counter([(1, ("x",))] * 2 + [(1, ("w", "y")), (1, ()), (None, ("w", "y")), (None, ()), (2, ()), (2, ()), (3, ("w", "x", "y")), (4, ()), (4, ())])
+    kept = Counter(tuple(r) for r in decontaminate.remove_leaks(docs, bench, block_words=5).collect())
+    assert kept == Counter((d, t) for d, t in rows if t is None or t == clean)
+
+
 def brute_cut(rows, k):
     words = [SPACED.findall(t or "") for _, t in rows]
     seen = Counter(tuple(w[i : i + k]) for w in words for i in range(len(w) - k + 1))
