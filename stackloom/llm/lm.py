@@ -8,8 +8,10 @@ unknown words, so the probabilities of all tokens sum to one.
 Counting covers all training texts. Each group of texts sends its distinct words with their counts to buckets, which
 sum them and answer each group in the order it asked: one packed exchange serves both as the corpus count and as the
 join of counts back to texts, and a frequent word is sent once a group. The model is trained by noise-contrastive
-estimation in numpy, on class trigrams drawn by their counts over all training texts; matrix products over all
-contexts then give the normalised log-probabilities, a table of bounded size.
+estimation in numpy, on the class trigrams counted over all training texts: every pass weighs each of them by its
+count and takes the expectation over the noise instead of drawing it, so no training token is left out at any size.
+Matrix products over all contexts then give the normalised log-probabilities, a table of bounded size. The classes
+are as many at every size: a word within a suffix class is not told from its fellows by the context.
 
 Defined cases: a null text is empty and has the end only; a null doc_id is in the training part; without training
 texts both scores are finite and nothing is known; repeated rows are counted and scored one by one; extra columns are
@@ -33,7 +35,9 @@ from .groups import deal, in_order
 from .schema import renamed, with_fields
 from .toxicity import held_out
 
-TOP, SUFFIXES, DIM, NOISE, BATCH, STEPS = 127, 64, 24, 12, 1024, 1500
+TOP, SUFFIXES, DIM, NOISE = 127, 64, 24, 12
+#: Passes over all counted contexts, contexts taken up at once, and steps at least (where there are few contexts).
+PASSES, BATCH, LEAST_STEPS = 60, 256, 1500
 CLASSES = TOP + SUFFIXES + 1
 END, START = CLASSES - 1, CLASSES  # the start is a context only
 CONTEXTS = CLASSES + 1
@@ -158,35 +162,40 @@ def _trigram_counts(docs: DataFrame, vocabulary: Vocabulary, partitions: int) ->
     return out
 
 
-def train(counts: np.ndarray, steps: int = STEPS, seed: int = 11) -> np.ndarray:
-    """log10 P(class | two classes before) as a table over all contexts, by noise-contrastive estimation."""
+def train(counts: np.ndarray, steps: int | None = None, seed: int = 11) -> np.ndarray:
+    """log10 P(class | two classes before) as a table over all contexts, by noise-contrastive estimation.
+
+    A step takes up BATCH contexts with all their tokens; without `steps`, each context has its turn PASSES times or more.
+    """
     r = np.random.default_rng(seed)
-    share = counts.reshape(-1, CLASSES).sum(0) + 0.5
+    table = counts.reshape(-1, CLASSES)
+    share = table.sum(0) + 0.5
     noise = share / share.sum()
     f = lambda *shape, scale: (r.standard_normal(shape) * scale).astype(np.float32)
     p = {"r": f(CONTEXTS, DIM, scale=0.1), "q": f(CLASSES, DIM, scale=0.1), "c1": f(DIM, DIM, scale=0.2), "c2": f(DIM, DIM, scale=0.2), "b": np.log(noise).astype(np.float32)}
     square = {k: np.full_like(v, 1e-4) for k, v in p.items()}
-    cells = np.flatnonzero(counts)
-    sums = np.cumsum(counts[cells])
-    log_noise, noise_sums = np.log(noise * NOISE), np.cumsum(noise)
-    for step in range(steps if len(cells) else 0):
-        cell = cells[np.searchsorted(sums, r.integers(0, sums[-1], BATCH), "right")]
-        two, one, own = cell // (CLASSES * CONTEXTS), cell // CLASSES % CONTEXTS, cell % CLASSES
-        word = np.concatenate((own[:, None], np.minimum(np.searchsorted(noise_sums, r.random((BATCH, NOISE))), CLASSES - 1)), 1)
+    tokens = table.sum(1)
+    live, all_tokens = np.flatnonzero(tokens), int(tokens.sum())
+    log_noise, drawn = np.log(noise * NOISE).astype(np.float32), (noise * NOISE).astype(np.float32)
+    batches = -(-len(live) // BATCH)
+    steps = (max(PASSES * batches, LEAST_STEPS) if steps is None else steps) if batches else 0
+    for step in range(steps):
+        if step % batches == 0:
+            mixed = r.permutation(live)
+        own = mixed[step % batches * BATCH :][:BATCH]
+        two, one = own // CONTEXTS, own % CONTEXTS
+        n = (table[own] * (len(live) / len(own) / all_tokens)).astype(np.float32)
         context = p["r"][one] @ p["c1"] + p["r"][two] @ p["c2"]
-        delta = np.einsum("bd,bkd->bk", context, p["q"][word]) + p["b"][word] - log_noise[word]
-        slope = 1 / (1 + np.exp(-np.clip(delta, -30, 30)))
-        slope[:, 0] -= 1  # data against noise
-        slope = (slope / BATCH).astype(np.float32)
-        d_context = np.einsum("bk,bkd->bd", slope, p["q"][word])
-        d_word = (slope[:, :, None] * context[:, None, :]).reshape(-1, DIM)
-        g = {"c1": p["r"][one].T @ d_context, "c2": p["r"][two].T @ d_context, "b": np.bincount(word.ravel(), slope.ravel(), CLASSES)}
-        g["q"] = np.stack([np.bincount(word.ravel(), d_word[:, i], CLASSES) for i in range(DIM)], 1)
-        d_one, d_two = d_context @ p["c1"].T, d_context @ p["c2"].T
-        g["r"] = np.stack([np.bincount(one, d_one[:, i], CONTEXTS) + np.bincount(two, d_two[:, i], CONTEXTS) for i in range(DIM)], 1)
+        delta = context @ p["q"].T + p["b"] - log_noise
+        chance = 1 / (1 + np.exp(-np.clip(delta, -30, 30)))
+        slope = n * (chance - 1) + n.sum(1, keepdims=True) * drawn * chance  # data against expected noise
+        d_context = slope @ p["q"]
+        g = {"c1": p["r"][one].T @ d_context, "c2": p["r"][two].T @ d_context, "b": slope.sum(0), "q": slope.T @ context, "r": np.zeros_like(p["r"])}
+        np.add.at(g["r"], one, d_context @ p["c1"].T)
+        np.add.at(g["r"], two, d_context @ p["c2"].T)
         rate = 0.15 * (1 - 0.8 * step / steps)
         for k, v in g.items():
-            square[k] += (v * v).astype(np.float32)
+            square[k] += v * v
             p[k] -= (rate * v / np.sqrt(square[k])).astype(np.float32)
     out = np.empty((CONTEXTS * CONTEXTS, CLASSES), np.float32)
     first, second = p["r"] @ p["c1"], p["r"] @ p["c2"]

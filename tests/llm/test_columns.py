@@ -143,6 +143,17 @@ def test_class_table_is_normalised():
     assert np.isfinite(lm.train(np.zeros(lm._CELLS, np.int64))).all()
 
 
+def test_class_table_weighs_every_counted_token():
+    """A hundred of a billion tokens, moved from one context to another, are learned from."""
+    r = np.random.default_rng(1)
+    counts = np.zeros((lm.CONTEXTS**2, lm.CLASSES), np.int64)
+    counts[np.repeat(np.arange(50), 20), r.integers(0, lm.CLASSES, 1000)] = 1_000_000
+    moved = counts.copy()
+    counts[10, 5], counts[11, 5], moved[10, 5], moved[11, 5] = 100, 1, 1, 100
+    a, b = (lm.train(c.ravel(), steps=60).reshape(-1, lm.CLASSES) for c in (counts, moved))
+    assert b[11, 5] - b[10, 5] > a[11, 5] - a[10, 5]
+
+
 def test_signatures():
     t = texts("the red fox of the north", "THE red fox of the north", "", None, "!!!", "red fox")
     sigs, at = spotsigs.signatures(t)
