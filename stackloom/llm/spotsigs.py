@@ -1,7 +1,9 @@
 """SpotSigs fingerprints: chains of content words that follow common words.
 
 Every common word of a text (and its start) anchors a signature: the anchor and the next `CHAIN` words that are not
-common. The set of signatures is the fingerprint, written as base64 of the sorted 32-bit hashes. Likeness is the
+common. Where `RUN` words or more follow each other without a common one, as in other languages, lists and tables,
+each of them is an anchor, too: no stretch of a text goes without signatures, and an edit changes only those around
+it. The set of signatures is the fingerprint, written as base64 of the sorted 32-bit hashes. Likeness is the
 Jaccard coefficient of two sets; comparing is pruned by the sets' lengths, which bound it from above.
 
 A text is also fingerprinted after an edit that replaces its end by the beginning of the next document. For that,
@@ -31,6 +33,8 @@ from .ngram_join import link_texts
 CHAIN = 2
 #: Texts of fewer words have each word for a signature, too.
 BRIEF = 24
+#: Words in a row without a common one, from which on each is an anchor.
+RUN = 8
 
 # Common words of four languages.
 COMMON = """
@@ -52,6 +56,18 @@ def _common() -> np.ndarray:
 _COMMON = _common()
 
 
+def _in_long_runs(content: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Which words stand in runs of at least RUN content words; heads: the first words of texts."""
+    begins = content.copy()
+    begins[1:] &= ~content[:-1]
+    begins[heads] = content[heads]
+    first = np.flatnonzero(begins)
+    number = np.cumsum(begins)[content] - 1  # the run of each content word
+    out = np.zeros(len(content), bool)
+    out[content] = np.bincount(number, minlength=len(first))[number] >= RUN
+    return out
+
+
 def signatures(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct signatures of all texts, where each text's signatures start)."""
     words = Words(texts, WORD_BY_ALNUM, True)
@@ -59,11 +75,12 @@ def signatures(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     at = np.minimum(np.searchsorted(_COMMON, h), len(_COMMON) - 1)
     common = _COMMON[at] == h
     content = np.flatnonzero(~common)
-    # Anchors: the common words, and each text's start (just before its first word).
+    # Anchors: the common words, those of long runs without one, and each text's start (just before its first word).
     texts_with_words = np.flatnonzero(words.counts)
-    place = np.concatenate((np.flatnonzero(common), words.at[:-1][texts_with_words] - 1))
-    owner = np.concatenate((doc[common], texts_with_words))
-    value = np.concatenate((h[common], np.full(len(texts_with_words), 1, U64)))
+    own = common | _in_long_runs(~common, words.at[:-1][texts_with_words])
+    place = np.concatenate((np.flatnonzero(own), words.at[:-1][texts_with_words] - 1))
+    owner = np.concatenate((doc[own], texts_with_words))
+    value = np.concatenate((h[own], np.full(len(texts_with_words), 1, U64)))
     next_ = np.searchsorted(content, place, "right")
     for k in range(CHAIN):
         word = content[np.minimum(next_ + k, max(len(content) - 1, 0))] if len(content) else np.zeros(len(place), np.int64)

@@ -165,6 +165,20 @@ def test_signatures():
     assert spotsigs.likeness(a[:1], b, least=0.5) == 0
 
 
+def test_signatures_without_common_words():
+    """Texts of other languages and lists are known by all their words, not by the first two."""
+    words = [f"w{i}" for i in range(60)]
+    edited, other = ["first", *words[1:]], [*words[:2], *(f"x{i}" for i in range(58))]
+    mixed = ["the", "red", "fox", *words, "of", "north"]
+    t = texts(*(" ".join(w) for w in (words, edited, other, words[:40], mixed, [*mixed[:30], "new", *mixed[31:]], words[:7])))
+    sigs, at = spotsigs.signatures(t)
+    own = [sigs[at[i] : at[i + 1]] for i in range(len(t))]
+    assert len(own[0]) >= 60 and spotsigs.likeness(own[0], own[1]) > 0.9 and spotsigs.likeness(own[0], own[2]) < 0.1
+    assert 0.55 < spotsigs.likeness(own[0], own[3]) < 0.7 and 0.85 < spotsigs.likeness(own[4], own[5]) < 1
+    alone = [spotsigs.signatures(t.rows(i, i + 1))[0] for i in range(len(t))]
+    assert all(a.tolist() == b.tolist() for a, b in zip(own, alone, strict=True))
+
+
 @pytest.mark.parametrize(
     ("text", "labels"),
     [
