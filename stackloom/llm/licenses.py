@@ -1,7 +1,8 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
 Each license family contributes rules for its SPDX tag, grant sentence, name and address. A rule runs on a text only
-if its keywords all occur there. Overlapping detections are settled by priority, then length, then position: a detection
+if its keywords all occur there. Keywords are read off the rule's own pattern: stretches of literal letters that every
+match holds, so a text without them can't match, however it is wrapped, hyphenated or spelt. Overlapping detections are settled by priority, then length, then position: a detection
 that lies within the interval of an accepted one is suppressed.
 
 Besides the rules, the base phrases are located word by word. Defined cases: a null text counts as empty and has no
@@ -14,6 +15,8 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from re import _constants as sre
+from re import _parser
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,8 @@ BASE = {
     "mit license": "mit",
 }
 
-# Hand-written families: label; keywords (any of them); SPDX identifier; name; address. A dash leaves a rule out. S stands for white
-# space or hyphens, V for an optional "version" word; keywords and texts are in lower case.
+# Hand-written families: label; words to find it by (for the reader); SPDX identifier; name; address. A dash leaves a rule out. S stands
+# for white space or hyphens, V for an optional "version" word; patterns and texts are in lower case.
 FAMILIES = r"""
 gpl-1.0 | general public | gpl-1\.0(?:-only|-or-later|\+)? | gnuSgeneralSpublicSlicen[cs]e,?SV1(?:\.0)?\b | gnu\.org/licenses/(?:old-licenses/)?gpl-1\.0
 gpl-2.0 | general public | gpl-2\.0(?:-only|-or-later|\+)? | gnuSgeneralSpublicSlicen[cs]e,?SV2(?:\.0)?\b | gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0
@@ -109,7 +112,7 @@ mulan-psl-2.0 | mulan | mulanpsl-2\.0 | mulanSpermissiveSsoftwareSlicen[cs]e | l
 openrail | responsible ai | - | (?:openSresponsibleSaiSlicen[cs]e|(?:bigscience|creativeml)SopenSrail(?:-m)?) | -
 """
 
-# Hand-written single rules: label | keyword | pattern | priority.
+# Hand-written single rules: label | words to find it by (for the reader) | pattern | priority.
 SINGLE = r"""
 gpl-2.0 | either version 2 | eitherSversionS2SofStheSlicen[cs]e | 70
 gpl-3.0 | either version 3 | eitherSversionS3SofStheSlicen[cs]e | 70
@@ -136,7 +139,7 @@ trial | evaluation | forSevaluationS(?:purposesS)?only | 35
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keywords: tuple[bytes, ...]
+    keywords: tuple[frozenset[bytes], ...]  # alternatives, each of keywords that must all occur
     pattern: re.Pattern
     priority: int
     weight: float
@@ -145,6 +148,52 @@ class Rule:
 def _pattern(text: str) -> re.Pattern:
     return re.compile(text.replace("SV", r"(?:[\s-]+v(?:ersion|\.)?)?[\s-]*").replace("S", r"(?:[\s-]+)").encode())
 
+#: Alternatives of keywords a rule has at most; keywords of each, and letters of them in all from which on no more are taken.
+_ALTERNATIVES, _KEYWORDS, _LETTERS = 24, 5, 14
+
+
+def _literals(items: Iterable, before: bytes = b"") -> list[frozenset[bytes]]:
+    """For a parsed pattern: sets of literals, one of which is found as a whole in every match. before: what leads up to it."""
+    out, run = [frozenset()], bytearray(before)
+
+    def also(choices: list[frozenset[bytes]]) -> None:
+        nonlocal out
+        both = list(dict.fromkeys(a | b for a in out for b in choices))
+        out = both if len(both) <= _ALTERNATIVES else out
+
+    def cut() -> None:
+        if run:
+            also([frozenset([bytes(run)])])
+            run.clear()
+
+    for op, arg in items:
+        if op is sre.LITERAL:
+            run.append(arg)
+            continue
+        lead = bytes(run)
+        cut()
+        if op is sre.SUBPATTERN:
+            also(_literals(arg[-1], lead))
+        elif op is sre.BRANCH:
+            also(list(dict.fromkeys(x for branch in arg[1] for x in _literals(branch, lead))))
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] > 0:
+            also(_literals(arg[2]))
+    cut()
+    return out
+
+
+def keywords_of(pattern: re.Pattern) -> tuple[frozenset[bytes], ...]:
+    """Alternatives of the longest literals; each text with a match holds all keywords of one of them."""
+    out = []
+    for found in _literals(_parser.parse(pattern.pattern)):
+        best = sorted((k for k in found if not any(k != x and k in x for x in found)), key=lambda k: (-len(k), k))
+        enough = next((n for n in range(2, _KEYWORDS) if sum(map(len, best[:n])) >= _LETTERS), _KEYWORDS)
+        out.append(frozenset(best[:enough]))
+    return tuple(a for a in dict.fromkeys(out) if not any(b < a for b in out))
+
+
+def _rule(label: str, pattern: re.Pattern, priority: int, weight: float) -> Rule:
+    return Rule(label, keywords_of(pattern), pattern, priority, weight)
 
 
 @lru_cache(maxsize=1)
@@ -152,27 +201,25 @@ def rules() -> tuple[Rule, ...]:
     """All rules, the most specific first."""
     out = []
     for line in FAMILIES.strip().splitlines():
-        label, keyword, spdx, name, url = re.split(r" \| ", line.strip())
-        fixed = re.sub(r"\(\?:[^()]*\)\?", "", name)
-        needed = ("licen",) if "licen[cs]e" in fixed else ()
-        words = [tuple(x.encode() for x in (k, *needed)) for k in keyword.split(";")]
+        label, _, spdx, name, url = re.split(r" \| ", line.strip())
         specific = 2 * bool(re.search(r"\d", label)) + (label.count("-") > 1)
         if spdx != "-":
-            out.append(Rule(label, (b"spdx-license-identifier",), re.compile(rf"spdx-license-identifier:\s*(?:[\w.+() -]*\b(?:or|and)\s+)?\(?(?P<id>{spdx})(?![\w.+-])".encode()), 95 + specific, 1.0))
-            out.append(Rule(label, (b"license",), re.compile(rf"licen[cs]e\s*[:=]\s*[\"']?(?:{spdx})(?![\w.+-])".encode()), 60 + specific, 0.9))
+            out.append(_rule(label, re.compile(rf"spdx-license-identifier:\s*(?:[\w.+() -]*\b(?:or|and)\s+)?\(?(?P<id>{spdx})(?![\w.+-])".encode()), 95 + specific, 1.0))
+            out.append(_rule(label, re.compile(rf"licen[cs]e\s*[:=]\s*[\"']?(?:{spdx})(?![\w.+-])".encode()), 60 + specific, 0.9))
         if name != "-":
-            out += [Rule(label, k, p, n, w) for p, n, w in ((_pattern(rf"(?:licen[cs]ed|released|distributed|available|published)S(?:underS)(?:theS)?(?:termsSofStheS)?(?:{name})"), 85 + specific, 0.95), (_pattern(rf"\b(?:{name})"), 70 + specific, 0.8)) for k in words]
+            out.append(_rule(label, _pattern(rf"(?:licen[cs]ed|released|distributed|available|published)S(?:underS)(?:theS)?(?:termsSofStheS)?(?:{name})"), 85 + specific, 0.95))
+            out.append(_rule(label, _pattern(rf"\b(?:{name})"), 70 + specific, 0.8))
         if url != "-":
-            out.append(Rule(label, (url.split("\\")[0].split("(")[0].encode(),), re.compile(url.encode()), 90 + specific, 1.0))
+            out.append(_rule(label, re.compile(url.encode()), 90 + specific, 1.0))
     for line in SINGLE.strip().splitlines():
-        label, keyword, pattern, priority = re.split(r" \| ", line.strip())
-        out.append(Rule(label, (keyword.encode(),), _pattern(pattern), int(priority), 0.4 + int(priority) / 200))
+        label, _, pattern, priority = re.split(r" \| ", line.strip())
+        out.append(_rule(label, _pattern(pattern), int(priority), 0.4 + int(priority) / 200))
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
 @lru_cache(maxsize=1)
 def all_keywords() -> tuple[bytes, ...]:
-    return tuple(sorted({k for r in rules() for k in r.keywords}))
+    return tuple(sorted({k for r in rules() for a in r.keywords for k in a}))
 
 
 @dataclass(frozen=True)
@@ -197,7 +244,7 @@ def scan(text: bytes, keywords: set[bytes] | None = None) -> list[Detection]:
     """Detections in a lower-cased text. keywords: those known to occur; found here if not given."""
     if keywords is None:
         keywords = {k for k in all_keywords() if k in text}
-    return settle([Detection(r.label, *m.span("id" if "id" in r.pattern.groupindex else 0), r.priority, r.weight) for r in rules() if keywords.issuperset(r.keywords) for m in r.pattern.finditer(text)])
+    return settle([Detection(r.label, *m.span("id" if "id" in r.pattern.groupindex else 0), r.priority, r.weight) for r in rules() if any(keywords.issuperset(a) for a in r.keywords) for m in r.pattern.finditer(text)])
 
 
 def keyword_texts(blob: bytes, offsets: np.ndarray, keywords: Iterable[bytes]) -> dict[int, set[bytes]]:

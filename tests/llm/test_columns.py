@@ -196,6 +196,55 @@ def test_license_rules(text, labels):
     assert len(licenses.rules()) > 300
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("GNU General\nPublic License, version 3", {"gpl-3.0"}),
+        ("GNU Free\n  Documentation-Licence", {"gfdl"}),
+        ("Permission is hereby\ngranted, free of charge, to any person obtaining a copy", {"mit"}),
+        ("Redistribution\nand use in source and binary forms", {"bsd"}),
+        ("Licence: MIT", {"mit"}),
+        ("under GPL-2.0+", {"gpl"}),
+        ("LGPL 3", {"lgpl"}),
+        ("AGPL-3.0", {"agpl-3.0"}),
+        ("Creative-Commons Attribution", {"cc-by"}),
+    ],
+)
+def test_license_rules_on_wrapped_and_british_forms(text, labels):
+    assert {d.label for d in licenses.scan(text.lower().encode())} == labels
+
+
+def example(items, r, space):
+    """A random string that a parsed pattern matches, its white space and hyphens given by `space`."""
+    out = ""
+    for op, arg in items:
+        kind = str(op)
+        if kind == "LITERAL":
+            out += chr(arg)
+        elif kind == "IN":
+            chosen, what = r.choice(arg)
+            spaced = any(str(k) == "CATEGORY" and "SPACE" in str(v) for k, v in arg)
+            out += space if spaced else chr(what) if str(chosen) == "LITERAL" else chr(what[0]) if str(chosen) == "RANGE" else "a"
+        elif kind == "MAX_REPEAT":
+            out += "".join(example(arg[2], r, space) for _ in range(r.randint(arg[0], min(arg[1], arg[0] + 1))))
+        elif kind == "SUBPATTERN":
+            out += example(arg[-1], r, space)
+        elif kind == "BRANCH":
+            out += example(r.choice(arg[1]), r, space)
+    return out
+
+
+def test_license_keywords_follow_from_the_patterns():
+    """Every rule finds the same with the keyword filter as without, on all forms that its pattern allows."""
+    r, tried, every = random.Random(7), 0, set(licenses.all_keywords())
+    for rule in licenses.rules():
+        for space in (" ", "\n", "-", "\n\t ") * 2:
+            text = example(re._parser.parse(rule.pattern.pattern), r, space).encode()
+            tried += rule.pattern.search(text) is not None
+            assert licenses.scan(text) == licenses.scan(text, every), (rule.label, text)
+    assert tried > 2000
+
+
 def test_license_suppression():
     d = licenses.Detection
     kept = licenses.settle([d("a", 0, 10, 50, 1), d("b", 2, 8, 90, 1), d("c", 3, 5, 40, 1), d("a", 0, 10, 50, 1)])
