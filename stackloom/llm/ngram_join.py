@@ -3,20 +3,26 @@
 Texts with equal n-gram sets form one set; links are sought between different sets only.
 
 1. The global n-gram order is by frequency class, then hash. Each group of texts sends its n-grams to the buckets of
-   their order key and is answered with the classes; only the key's leading bits are sent, as any order will do.
+   their order key and is answered with the classes; only the key's leading bits are sent, as any order will do. From
+   then on an n-gram is one number, its place in the global order: the class in the top bits, the hash below.
 2. In that order, two sets that reach the threshold share an n-gram among their first ones (prefix). N-grams that
-   occur once have no partner; a set whose prefix holds only such is done. The others post their prefix.
+   occur once have no partner and are not sent; a set whose prefix holds only such is done. The others post their prefix.
 3. Among the sets that post an n-gram, the one that has it foremost is the pivot; every other one is paired with the
    pivot it meets most often. That takes one pair a set, however large a family of near copies is.
-4. Pairs are verified on vertical fragments: the n-gram order is cut into `FRAGMENTS` ranges, overlaps are counted
-   range by range and summed per pair. Small sets are one range to each other.
+4. Pairs are verified on vertical fragments: the global order is cut into `FRAGMENTS` ranges at its measured quantiles,
+   the overlap within each range is counted by itself, and the partial counts are summed per pair. The fragments of a
+   set travel in sheets: all in one row up to `SHEET` n-grams, else a row for each fragment, so that no row grows with
+   the text.
 5. Verified links give components. All posted pairs that still join two different components and pass the size and
    position bounds are verified, too; with those links the components are final, and no link was left out that could
-   change them.
+   change them. A posting list of any length is compared in blocks of `BLOCK`, which are dealt out as separate work.
+
+A set is known by two 64-bit sums over its n-grams; should the first ones of two sets collide, they are told apart by
+the second (`_apart`).
 
 Defined cases: texts without words have an empty set and are linked with nothing; fewer words than the n-gram make
-one n-gram; repeated rows are copies of each other; a null doc_id takes part and is never the smallest; extra columns
-are not read.
+one n-gram; repeated rows are copies of each other; a null doc_id takes part and is never the smallest; very long texts
+are cut into rows by fragment; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -38,8 +44,12 @@ from .groups import deal, in_order
 from .schema import renamed, with_fields
 
 FRAGMENTS = 8
-#: Sets of up to so many n-grams are one fragment, -1, to each other.
-SMALL = 512
+#: Sets of up to so many n-grams that others may have carry all their fragments in one row.
+SHEET = 4096
+#: Sets of a posting list that are compared with as many others at a time.
+BLOCK = 4096
+#: Copies of a set are first thinned out within so many parts, so that one of many copies meets few rows in a task.
+SALT = 16
 
 
 @dataclass(frozen=True)
@@ -61,6 +71,13 @@ class Threshold:
         fewest = self.overlap(n, m)
         return (at_n + fewest <= n) & (at_m + fewest <= m)
 
+    def bands(self, most: int) -> np.ndarray:
+        """Where bands of set lengths begin: linked sets are in the same or in neighbouring bands."""
+        out = [1]
+        while out[-1] <= most:
+            out.append(out[-1] * self.of // self.least + 1)
+        return np.array(out)
+
     def linked(self, shared: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
         return self.of * shared >= self.least * (n + m - shared)
 
@@ -112,7 +129,12 @@ def _classes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([table.column("src").combine_chunks(), table.column("bucket").combine_chunks(), packed(np.concatenate(([0], np.cumsum(sizes))), kind)], names=["grp", "bucket", "kind"])
 
 
-SETS = "sid long, n long, posted_h binary, posted_at binary, tokens binary"
+SETS = "sid long, sid2 long, n long, posted binary, posted_at binary, tokens binary"
+
+
+def ordered(kind: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places in the global n-gram order: 6 bits of frequency class, 58 of hash."""
+    return kind.astype(U64) << U64(58) | h >> U64(6)
 
 
 def _pairs(h: np.ndarray, sid: np.ndarray, n: np.ndarray, at: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,79 +150,149 @@ def _pairs(h: np.ndarray, sid: np.ndarray, n: np.ndarray, at: np.ndarray, t: Thr
     return pair[:, 0], pair[:, 1], times
 
 
-def _cross(h: np.ndarray, sid: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray, t: Threshold) -> np.ndarray:
-    """Pairs of sets of different components that post the same n-gram and pass the bounds, blockwise."""
-    start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    size = np.diff(np.append(start, len(h)))
-    mixed = np.maximum.reduceat(comp, start) != np.minimum.reduceat(comp, start)
+def _cross(x: np.ndarray, y: np.ndarray, t: Threshold) -> np.ndarray:
+    """Pairs (greater, smaller set) of different components between two blocks of one posting list; rows: set, size, place, component."""
     found = [np.zeros((0, 2), np.int64)]
-    held = 0
-    for s, m in zip(start[mixed].tolist(), size[mixed].tolist(), strict=True):
-        for a in range(s, s + m - 1, 512):  # each against all that stand after it
-            rows = np.arange(a, min(a + 512, s + m - 1))
-            cols = np.arange(a + 1, s + m)
-            ok = (comp[rows][:, None] != comp[cols]) & (rows[:, None] < cols) & t.possible(n[rows][:, None], at[rows][:, None], n[cols], at[cols])
-            i, j = np.nonzero(ok)
-            found.append(np.stack((np.maximum(sid[rows[i]], sid[cols[j]]), np.minimum(sid[rows[i]], sid[cols[j]])), 1))
-            held += len(i)
-        if held > 1 << 20:
-            found, held = [np.unique(np.concatenate(found), axis=0)], 0
-    return np.unique(np.concatenate(found), axis=0)
+    for a in range(0, len(x), 512):
+        sid, n, at, comp = (c[:, None] for c in x[a : a + 512].T)
+        i, j = np.nonzero((comp != y[:, 3]) & t.possible(n, at, y[:, 1], y[:, 2]))
+        one, other = x[a : a + 512][i, 0], y[j, 0]
+        found.append(np.stack((np.maximum(one, other), np.minimum(one, other)), 1))
+    return np.concatenate(found)
 
 
-def _post(sets: DataFrame, partitions: int, buckets: int, t: Threshold, with_comp: bool) -> DataFrame:
-    """Candidate pairs from the posted n-grams: of sets and pivots, or of different components."""
+def _blocks(h: np.ndarray, rows: np.ndarray, t: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Blocks of each posting list to be crossed, and whether they are all of the list; lists of one component have none."""
+    start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    size = np.diff(np.append(start, len(h)))
+    mixed = np.maximum.reduceat(rows[:, 3], start) != np.minimum.reduceat(rows[:, 3], start)
+    for s, m in zip(start[mixed].tolist(), size[mixed].tolist(), strict=True):
+        own = rows[s : s + m]
+        if m <= BLOCK:
+            yield own, own, True
+            continue
+        own = own[np.argsort(own[:, 1], kind="stable")]
+        parts = [own[a : a + BLOCK] for a in range(0, m, BLOCK)]
+        for i, x in enumerate(parts):
+            for y in parts[i:]:  # of greater sets; too great ones end the row
+                if t.overlap(x[-1, 1], y[0, 1]) > x[-1, 1]:
+                    break
+                yield x, y, False
+
+
+def _posted(sets: DataFrame, partitions: int, buckets: int, t: Threshold, with_comp: bool, banded: bool) -> DataFrame:
+    """Postings, met by n-gram; banded: by band of set length and n-gram."""
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
                 part = batch.slice(a, 2000)
-                h, each = unpack(part.column("posted_h"), U64)
+                h, each = unpack(part.column("posted"), U64)
                 if not len(h):
                     continue
                 at = unpack(part.column("posted_at"), np.uint32)[0]
                 rep = lambda c: np.repeat(part.column(c).to_numpy(), each)  # noqa: B023, E731
-                sid = rep("sid")
-                _, once = np.unique(np.stack((h.view(np.int64), sid), 1), axis=0, return_index=True)
-                cols = {"h": h, "sid": sid, "n": rep("n").astype(np.uint32), "at": at} | ({"comp": rep("comp")} if with_comp else {})
-                out = scatter((h[once] >> U64(20)) % U64(buckets), {k: v[once] for k, v in cols.items()})
-                yield pa.RecordBatch.from_pydict(out)
+                cols = {"sid": rep("sid"), "n": rep("n").astype(np.uint32), "at": at} | ({"comp": rep("comp")} if with_comp else {})
+                if banded:  # a set posts to its own band and, as the smaller one, to the next
+                    band = np.searchsorted(t.bands(int(cols["n"].max())), cols["n"], "right").astype(U64)
+                    cols = {k: np.concatenate((v, v)) for k, v in cols.items()}
+                    h = mix64(np.concatenate((h, h)) ^ mix64(np.concatenate((band, band + U64(1)))))
+                yield pa.RecordBatch.from_pydict(scatter((h >> U64(20)) % U64(buckets), {"h": h} | cols))
+
+    columns = ["bucket int", "h binary", "sid binary", "n binary", "at binary", *(["comp binary"] if with_comp else [])]
+    return sets.mapInArrow(send, ", ".join(columns)).repartition(partitions, "bucket").sortWithinPartitions("bucket")
+
+
+def _postings(table: pa.Table, *more: str) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams, rows of set, size, place and more) by n-gram and place, each set once an n-gram."""
+    h = unpack(table.column("h"), U64)[0]
+    kinds = {"sid": np.int64, "n": np.uint32, "at": np.uint32, "comp": np.int64}
+    rows = np.stack([unpack(table.column(c), kinds[c])[0].astype(np.int64) for c in ("sid", "n", "at", *more)], 1)
+    order = np.lexsort((rows[:, 0], rows[:, 2], h))
+    h, rows = h[order], rows[order]
+    one = np.append(True, (h[1:] != h[:-1]) | (rows[1:, 0] != rows[:-1, 0])) if len(h) else np.zeros(0, bool)
+    return h[one], rows[one]
+
+
+def _with_pivots(sets: DataFrame, partitions: int, buckets: int, t: Threshold, banded: bool) -> DataFrame:
+    """Candidate pairs of sets and pivots, and how often they meet."""
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, most=16 << 20):
-            h, sid, n, at = (unpack(table.column(c), k)[0] for c, k in (("h", U64), ("sid", np.int64), ("n", np.uint32), ("at", np.uint32)))
-            order = np.lexsort((sid, at, h))
-            h, sid, n, at = h[order], sid[order], n[order].astype(np.int64), at[order].astype(np.int64)
-            # Copies of a set post the same places; they stand side by side.
-            one = np.append(True, (h[1:] != h[:-1]) | (sid[1:] != sid[:-1]))
-            if with_comp:
-                comp = unpack(table.column("comp"), np.int64)[0][order][one]
-                both = _cross(h[one], sid[one], n[one], at[one], comp, t)
-                a, b, times = both[:, 0], both[:, 1], np.ones(len(both), np.int64)
-            else:
-                a, b, times = _pairs(h[one], sid[one], n[one], at[one], t)
+            h, rows = _postings(table)
+            a, b, times = _pairs(h, rows[:, 0], rows[:, 1], rows[:, 2], t)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(times)], names=["a", "b", "times"])
 
-    columns = ["bucket int", "h binary", "sid binary", "n binary", "at binary", *(["comp binary"] if with_comp else [])]
-    dealt = sets.mapInArrow(send, ", ".join(columns)).repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(meet, "a long, b long, times long")
+    return _posted(sets, partitions, buckets, t, False, banded).mapInArrow(meet, "a long, b long, times long")
 
 
-def _cutter(t: Threshold) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Cuts each set's n-grams into ranges of the order key; small sets stay whole and are cut only for larger partners."""
+def _between_components(sets: DataFrame, partitions: int, buckets: int, t: Threshold, banded: bool) -> DataFrame:
+    """Candidate pairs of sets of different components. Blocks of long posting lists are dealt out and crossed by other tasks."""
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("unit", pa.int64()), ("x", pa.binary()), ("y", pa.binary())])
+        unit = 0
+        for table in whole_groups(batches, most=16 << 20):
+            found, held = [np.zeros((0, 2), np.int64)], 0
+            for x, y, whole in _blocks(*_postings(table, "comp"), t):
+                if whole:
+                    found.append(_cross(x, y, t))
+                    held += len(found[-1])
+                else:
+                    unit += 1
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([unit], pa.int64()), pa.array([x.tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], schema=schema)
+                if held > 1 << 20:
+                    found, held = [np.unique(np.concatenate(found), axis=0)], 0
+            both = np.unique(np.concatenate(found), axis=0)
+            none = pa.nulls(len(both), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.nulls(len(both), pa.int64()), none, none], schema=schema)
+
+    def cross(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at_hand = batch.filter(pc.is_valid(batch.column("a")))
+            yield at_hand.select(["a", "b"])
+            for x, y in zip(*(batch.filter(pc.is_valid(batch.column("unit"))).column(c).to_pylist() for c in ("x", "y")), strict=True):
+                both = np.unique(_cross(np.frombuffer(x, np.int64).reshape(-1, 4), np.frombuffer(y, np.int64).reshape(-1, 4), t), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    met = _posted(sets, partitions, buckets, t, True, banded).mapInArrow(meet, "a long, b long, unit long, x binary, y binary")
+    dealt = met.repartition(partitions, F.xxhash64("a", "b", "unit", "x"))
+    return dealt.mapInArrow(cross, "a long, b long").distinct()
+
+
+def _cuts(sets: DataFrame) -> np.ndarray:
+    """Places that cut the global n-gram order into FRAGMENTS ranges of about as many n-grams, from a histogram of 512 bins."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(512, np.int64)
+        for batch in batches:
+            total += np.bincount((unpack(batch.column("tokens"), U64)[0] >> U64(55)).astype(np.int64), minlength=512)
+        bins = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(total[bins])], names=["bin", "n"])
+
+    rows = sets.select("tokens").mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    total = np.zeros(512, np.int64)
+    for r in rows:
+        total[r.bin] = r.n
+    upto = np.cumsum(total)
+    return (np.minimum(np.searchsorted(upto, upto[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS), 510).astype(U64) + U64(1)) << U64(55)
+
+
+def _sheets(t: Threshold, cuts: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of a set's fragments: all on sheet -1, or one by one for large sets and for those with larger partners."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["sid", "n", "part", "tokens"]
         for batch in batches:
-            small = batch.filter(pc.less_equal(batch.column("n"), SMALL))
-            if small.num_rows:
-                yield pa.RecordBatch.from_arrays([small.column("sid"), small.column("n"), pa.array(np.full(small.num_rows, -1, np.int32)), small.column("tokens")], names=names)
-            large = batch.filter(pc.greater(batch.column("n"), SMALL * t.least // t.of))
+            one = batch.filter(pc.less_equal(batch.column("n"), SHEET))
+            if one.num_rows:
+                yield pa.RecordBatch.from_arrays([one.column("sid"), one.column("n"), pa.array(np.full(one.num_rows, -1, np.int32)), one.column("tokens")], names=names)
+            large = batch.filter(pc.greater(batch.column("n"), SHEET * t.least // t.of))
             if not large.num_rows:
                 continue
             h, each = unpack(large.column("tokens"), U64)
             row = np.repeat(np.arange(large.num_rows), each)
-            key = row * FRAGMENTS + (h >> U64(61)).astype(np.int64)
+            key = row * FRAGMENTS + np.searchsorted(cuts, h, "right")
             at = np.searchsorted(key, np.arange(large.num_rows * FRAGMENTS + 1))
             sid, n = (np.repeat(large.column(c).to_numpy(), FRAGMENTS) for c in ("sid", "n"))
             yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(n), pa.array(np.tile(np.arange(FRAGMENTS, dtype=np.int32), large.num_rows)), packed(at, h)], names=names)
@@ -208,39 +300,66 @@ def _cutter(t: Threshold) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Re
     return cut
 
 
-def _overlap(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for s in range(0, batch.num_rows, 4096):
-            part = batch.slice(s, 4096)
-            x, nx = unpack(part.column("x"), U64)
-            y, ny = unpack(part.column("y"), U64)
-            row = np.concatenate((np.repeat(np.arange(part.num_rows), nx), np.repeat(np.arange(part.num_rows), ny)))
-            both = np.concatenate((x, y))
-            order = np.lexsort((both, row))
-            both, row = both[order], row[order]
-            same = (both[1:] == both[:-1]) & (row[1:] == row[:-1])
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), part.column("n_a"), part.column("n_b"), pa.array(np.bincount(row[1:][same], minlength=part.num_rows).astype(np.int64))], names=["a", "b", "n_a", "n_b", "shared"])
+def _overlap(cuts: np.ndarray) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Partial overlaps of the fragments on two sheets, each counted by itself."""
 
-
-def verified(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 4096):
+                part = batch.slice(s, 4096)
+                x, nx = unpack(part.column("x"), U64)
+                y, ny = unpack(part.column("y"), U64)
+                row = np.concatenate((np.repeat(np.arange(part.num_rows), nx), np.repeat(np.arange(part.num_rows), ny)))
+                both = np.concatenate((x, y))
+                order = np.lexsort((both, row))
+                both, row = both[order], row[order]
+                same = np.flatnonzero((both[1:] == both[:-1]) & (row[1:] == row[:-1]))
+                fragment = np.searchsorted(cuts, both[same], "right")
+                partial = np.bincount(row[same] * FRAGMENTS + fragment, minlength=part.num_rows * FRAGMENTS)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * FRAGMENTS), pa.array(partial.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), part.column("n_a"), part.column("n_b"), lists], names=["a", "b", "n_a", "n_b", "partial"])
+
+    return count
+
+
+def verified(pairs: DataFrame, sets: DataFrame, t: Threshold, cuts: np.ndarray) -> DataFrame:
     """The pairs (a, b) that reach the threshold: partial overlaps of each fragment, summed per pair."""
     named = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    cut = sets.join(named, "sid", "left_semi").mapInArrow(_cutter(t), "sid long, n long, part int, tokens binary")
+    cut = sets.join(named, "sid", "left_semi").select("sid", "n", "tokens").mapInArrow(_sheets(t, cuts), "sid long, n long, part int, tokens binary")
     cut = checkpointed(cut)
     left = cut.select(F.col("sid").alias("a"), F.col("n").alias("n_a"), "part", F.col("tokens").alias("x"))
     right = cut.select(F.col("sid").alias("b"), F.col("n").alias("n_b"), "part", F.col("tokens").alias("y"))
-    whole = (F.col("n_a") <= SMALL) & (F.col("n_b") <= SMALL)
+    whole = (F.col("n_a") <= SHEET) & (F.col("n_b") <= SHEET)
     met = pairs.join(left, "a").join(right, ["b", "part"]).where((F.col("part") < 0) | ~whole).select("a", "b", "n_a", "n_b", "x", "y")
-    counted = met.mapInArrow(_overlap, "a long, b long, n_a long, n_b long, shared long")
-    return counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared")).where(F.col("shared") * t.of >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * t.least).select("a", "b")
+    counted = met.mapInArrow(_overlap(cuts), "a long, b long, n_a long, n_b long, partial array<long>")
+    partial = F.aggregate("partial", F.lit(0).cast("long"), lambda s, x: s + x)
+    return counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum(partial).alias("shared")).where(F.col("shared") * t.of >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * t.least).select("a", "b")
+
+
+def _apart(ordered: DataFrame) -> DataFrame:
+    """Sets whose first sums collide get another one, made of both sums; in all but freak cases there are none."""
+    sums = ordered.where("sid is not null").groupBy("sid").agg(F.min("sid2").alias("low"), F.max("sid2").alias("high"))
+    same = checkpointed(sums.where("low <> high").select(F.col("sid").alias("twice")))
+    if same.isEmpty():
+        return ordered
+    hit = ordered.join(same, F.col("sid") == F.col("twice"), "left")
+    return checkpointed(hit.withColumn("sid", F.when(F.col("twice").isNotNull(), F.xxhash64("sid", "sid2")).otherwise(F.col("sid"))).drop("twice"))
+
+
+def _sums(h: np.ndarray, doc: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of each text's set, by a sum over its n-grams."""
+    total = np.zeros(len(size), U64)
+    np.add.at(total, doc, mix64(h ^ U64(seed)))
+    return mix64(total + size.astype(U64) * U64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 def link_texts(
-    docs: DataFrame, k: int = 5, least: int = 80, of: int = 100, keep: tuple[str, ...] = ("doc_id",), sets: Callable[[Texts], tuple[np.ndarray, np.ndarray]] | None = None
+    docs: DataFrame, k: int = 5, least: int = 80, of: int = 100, keep: tuple[str, ...] = ("doc_id",), sets: Callable[[Texts], tuple[np.ndarray, np.ndarray]] | None = None, banded: bool = False
 ) -> DataFrame:
     """keep, n_shingles, sid (the set), comp (the smallest sid reachable) and component_id, the smallest doc_id there.
 
     sid and comp are null for empty sets. sets: makes other sets than k-word shingles from texts, as `shingles` does.
+    banded: sets are partitioned by length, and meet only within a band of lengths and with its neighbour.
     """
     spark = docs.sparkSession
     partitions, buckets = int(spark.conf.get("spark.sql.shuffle.partitions")), buckets_for(spark)
@@ -272,34 +391,35 @@ def link_texts(
         size = np.bincount(doc, minlength=count)
         key = h >> U64(32 - bits)
         kind = unpack(found.combine_chunks().sort_by("bucket").column("kind"), np.uint8)[0][np.searchsorted(np.unique(key), key)] if len(h) else np.zeros(0, np.uint8)
-        total = np.zeros(count, U64)
-        np.add.at(total, doc, mix64(h ^ U64(0x5851F42D4C957F2D)))
-        sid = mix64(total + size.astype(U64) * U64(0x9E3779B97F4A7C15)).view(np.int64)
-        rank = np.lexsort((h, kind, doc))
+        sid, sid2 = (_sums(h, doc, size, seed) for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+        place_of = ordered(kind, h)
+        rank = np.lexsort((place_of, doc))
         heads = np.concatenate(([0], np.cumsum(size)))
         place = np.arange(len(h)) - heads[:-1][doc]
         post = (place < t.prefix(size)[doc]) & (kind[rank] > 0)
         own, at = rank[post], place[post]
         posts = np.concatenate(([0], np.cumsum(np.bincount(doc[own], minlength=count))))
-        live = np.diff(posts) > 0
-        token_bounds = np.concatenate(([0], np.cumsum(np.where(live, size, 0))))
+        sent = (np.diff(posts) > 0)[doc] & (kind[rank] > 0)
+        bounds = np.concatenate(([0], np.cumsum(np.bincount(doc[sent], minlength=count))))
         out = {f"k_{i}": table.column(f"k_{i}") for i in range(len(fields))}
-        return pa.table(out | {"sid": pa.array(sid, mask=size == 0), "n": pa.array(size), "posted_h": packed(posts, h[own]), "posted_at": packed(posts, at.astype(np.uint32)), "tokens": packed(token_bounds, h[live[doc]])})
+        empty = size == 0
+        return pa.table(out | {"sid": pa.array(sid, mask=empty), "sid2": pa.array(sid2, mask=empty), "n": pa.array(size), "posted": packed(posts, place_of[own]), "posted_at": packed(posts, at.astype(np.uint32)), "tokens": packed(bounds, place_of[rank[sent]])})
 
     asked = texts.applyInArrow(ask, ASKED).repartition(partitions, "bucket").sortWithinPartitions("bucket")
     answers = asked.mapInArrow(_classes, ANSWERS)
-    ordered = checkpointed(texts.cogroup(answers.groupBy("grp")).applyInArrow(order, with_fields(renamed(docs, fields), SETS)))
-    posting = ordered.where(F.octet_length("posted_h") > 0).select("sid", "n", "posted_h", "posted_at", "tokens")
-    distinct = checkpointed(posting.dropDuplicates(["sid"]))
+    found = _apart(checkpointed(texts.cogroup(answers.groupBy("grp")).applyInArrow(order, with_fields(renamed(docs, fields), SETS))))
+    posting = found.where(F.octet_length("posted") > 0).select("sid", "n", "posted", "posted_at", "tokens", F.pmod(F.xxhash64(id_at), F.lit(SALT)).alias("salt"))
+    distinct = checkpointed(posting.dropDuplicates(["sid", "salt"]).drop("salt").dropDuplicates(["sid"]))
+    cuts = _cuts(distinct)
 
-    met = _post(distinct, partitions, buckets, t, False).groupBy("a", "b").agg(F.sum("times").alias("times"))
+    met = _with_pivots(distinct, partitions, buckets, t, banded).groupBy("a", "b").agg(F.sum("times").alias("times"))
     best = met.groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
-    links = checkpointed(verified(checkpointed(best), distinct, t))
+    links = checkpointed(verified(checkpointed(best), distinct, t, cuts))
     first = components(links)
-    labelled = distinct.join(first, F.col("sid") == F.col("node"), "left").select("sid", "n", "posted_h", "posted_at", F.coalesce("comp", "sid").alias("comp"))
-    more = checkpointed(_post(labelled, partitions, buckets, t, True).select("a", "b").distinct())
+    labelled = distinct.join(first, F.col("sid") == F.col("node"), "left").select("sid", "n", "posted", "posted_at", F.coalesce("comp", "sid").alias("comp"))
+    more = checkpointed(_between_components(labelled, partitions, buckets, t, banded))
     if not more.isEmpty():
-        links = checkpointed(links.unionByName(verified(more, distinct, t)))
+        links = checkpointed(links.unionByName(verified(more, distinct, t, cuts)))
         # Links between components of the first round, on top of its labels.
         to = first.select(F.col("node").alias("of"), F.col("comp").alias("c"))
         up = links.join(to, F.col("a") == F.col("of"), "left").select(F.coalesce("c", "a").alias("a"), "b")
@@ -308,7 +428,7 @@ def link_texts(
         every = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
         first = checkpointed(checkpointed(every).join(second, F.col("comp") == F.col("old"), "left").select("node", F.coalesce("new", "comp").alias("comp")))
 
-    named = ordered.select(*[f"k_{i}" for i in range(len(fields))], F.col("n").alias("n_shingles"), "sid")
+    named = found.select(*[f"k_{i}" for i in range(len(fields))], F.col("n").alias("n_shingles"), "sid")
     labelled = checkpointed(named.join(first, F.col("sid") == F.col("node"), "left").select(*named.columns, F.coalesce("comp", "sid").alias("comp")))
     least_id = checkpointed(labelled.where("comp is not null").groupBy("comp").agg(F.min(id_at).alias("least")).withColumnRenamed("comp", "of_comp"))
     full = labelled.join(least_id, F.col("comp") == F.col("of_comp"), "left")

@@ -70,6 +70,30 @@ def test_shingles_and_threshold():
                 assert not linked or (shared >= th.overlap(np.array(n), np.array(m)) and shared > n - th.prefix(np.array(n)))
 
 
+def test_blocks_of_posting_lists(monkeypatch):
+    """Crossing blocks finds what comparing all of a posting list finds, in lists below and above the block size."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    r, t = np.random.default_rng(3), ngram_join.Threshold(80, 100)
+    lists = [np.stack((r.permutation(500)[:m], r.integers(20, 60, m), r.integers(0, 9, m), r.integers(0, 4, m)), 1).astype(np.int64) for m in (1, 5, 16, 17, 90)]
+    h = np.repeat(np.arange(len(lists)).astype(np.uint64), [len(x) for x in lists])
+    got = set()
+    for x, y, whole in ngram_join._blocks(h, np.concatenate(lists), t):
+        assert whole == (len(x) == len(y) and bool((x == y).all()) and len(x) in (5, 16)) or not whole
+        got |= {tuple(p) for p in ngram_join._cross(x, y, t).tolist()}
+    want = {(max(a[0], b[0]), min(a[0], b[0])) for own in lists for a in own.tolist() for b in own.tolist() if a[3] != b[3] and t.possible(np.int64(a[1]), a[2], b[1], b[2])}
+    assert got == {(int(a), int(b)) for a, b in want}
+
+
+def test_bands_of_set_lengths():
+    for least, of in ((80, 100), (85, 100), (50, 100)):
+        t = ngram_join.Threshold(least, of)
+        cuts = t.bands(400)
+        for n in range(1, 400):
+            for m in range(n, 400):
+                if of * n >= least * m:
+                    assert np.searchsorted(cuts, m, "right") - np.searchsorted(cuts, n, "right") in (0, 1)
+
+
 def test_suffix_search_against_windows():
     r = random.Random(1)
     for _ in range(150):

@@ -150,12 +150,12 @@ def test_ngram_join(spark, odd, none):
     assert (1, 0) in twice and (3, 3) in twice and (None, None) in twice
 
 
-def test_ngram_join_of_large_sets(spark, monkeypatch):
-    """Pairs of small, large and both kinds of sets, around the size from which sets are cut."""
+def test_ngram_join_of_large_sets(spark):
+    """Pairs of small, large and both kinds of sets, around the size from which fragments go in rows of their own."""
     r = random.Random(4)
     rows = []
-    for n in (40, 480, 505, 515, 530, 620, 1200):
-        words = [f"w{r.randint(0, 9999)}" for _ in range(n)]
+    for n in (40, 505, 3400, 4090, 4105, 4300, 9000):
+        words = [f"w{r.randint(0, 99999)}" for _ in range(n)]
         rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[: n - n // 20])), (len(rows) + 2, " ".join(words[n // 12 :]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.link_texts(docs, 5, 80, 100).collect()}
