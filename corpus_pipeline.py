@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackloom.llm import decontaminate, ngram_join, pieces, substrings, toxicity
+from stackloom.llm.groups import row_keys
 from stackloom.plans.session import checkpointed, table_folder
 
 
@@ -38,21 +39,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts with Jaccard 0.8 or more on five words: the one with the smallest doc_id.
 
-    Equal doc_ids within a component are told apart by a hash of the text; of rows equal in both, one stays. Texts
+    Equal doc_ids within a component are told apart by 128 bits of hashes of row and text; of rows equal in both, one stays. Texts
     without words are in no component and stay.
     """
-    rid = F.xxhash64("doc_id", F.col("text").cast("string"))
-    keyed = docs.select("doc_id", "text", rid.alias("rid"))
-    linked = ngram_join.link_texts(keyed, k=5, least=80, of=100, keep=("doc_id", "rid")).where("comp is not null")
-    linked = checkpointed(linked.select("comp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid").alias("at")))
+    rid, rid2 = row_keys(F.col("doc_id"), F.col("text").cast("string"))
+    keyed = docs.select("doc_id", "text", rid.alias("rid"), rid2.alias("rid2"))
+    linked = ngram_join.link_texts(keyed, k=5, least=80, of=100, keep=("doc_id", "rid", "rid2")).where("comp is not null")
+    linked = checkpointed(linked.select("comp", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "rid2").alias("at")))
     first = checkpointed(linked.groupBy("comp").agg(F.min("at").alias("stays")).select(F.col("comp").alias("of"), "stays"))
-    lost = linked.join(first, F.col("comp") == F.col("of")).where(F.col("at.rid") != F.col("stays.rid")).select(F.col("at.rid").alias("gone"))
+    lost = linked.join(first, F.col("comp") == F.col("of")).where((F.col("at.rid") != F.col("stays.rid")) | (F.col("at.rid2") != F.col("stays.rid2"))).select(F.col("at.rid").alias("gone"), F.col("at.rid2").alias("gone2"))
     plain, _ = _neutral(docs)
-    kept = plain.withColumn("rid", rid).join(checkpointed(lost.distinct()), F.col("rid") == F.col("gone"), "left_anti")
-    again = checkpointed(keyed.groupBy("rid").agg(F.count(F.lit(1)).alias("n"), F.max(F.length(F.trim(F.coalesce(F.col("text"), F.lit(""))))).alias("chars")).where("n > 1 and chars > 0").select("rid"))
+    same = (F.col("rid") == F.col("gone")) & (F.col("rid2") == F.col("gone2"))
+    kept = plain.withColumn("rid", rid).withColumn("rid2", rid2).join(checkpointed(lost.distinct()), same, "left_anti")
+    again = checkpointed(keyed.groupBy("rid", "rid2").agg(F.count(F.lit(1)).alias("n"), F.max(F.length(F.trim(F.coalesce(F.col("text"), F.lit(""))))).alias("chars")).where("n > 1 and chars > 0").select("rid", "rid2"))
     if not again.isEmpty():  # rows that repeat doc_id and text: one of each
-        twice = kept.join(again, "rid", "left_semi").dropDuplicates(["rid"])
-        kept = kept.join(again, "rid", "left_anti").unionByName(twice)
+        twice = kept.join(again, ["rid", "rid2"], "left_semi").dropDuplicates(["rid", "rid2"])
+        kept = kept.join(again, ["rid", "rid2"], "left_anti").unionByName(twice)
     return _named(kept, docs)
 
 
