@@ -1,17 +1,20 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
-Each license family contributes rules for its SPDX tag, grant sentence, name and address. A rule runs on a text only
+Each license family contributes rules for its SPDX tag, grant sentence, name and address; further rules are sentences
+written for the text of one license each. A rule runs on a text only
 if its keywords all occur there. Keywords are read off the rule's own pattern: stretches of literal letters that every
 match holds, so a text without them can't match, however it is wrapped, hyphenated or spelt. Overlapping detections are settled by priority, then length, then position: a detection
 that lies within the interval of an accepted one is suppressed.
 
 Besides the rules, the base phrases are located word by word. Defined cases: a null text counts as empty and has no
-detection (score 0); repeated rows are scanned one by one; other columns are not read.
+detection (score 0); very long texts are scanned whole, in time that grows with n log n of the detections; repeated rows
+are scanned one by one; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -35,7 +38,7 @@ BASE = {
 }
 
 # Hand-written families: label; words to find it by (for the reader); SPDX identifier; name; address. A dash leaves a rule out. S stands
-# for white space or hyphens, V for an optional "version" word; patterns and texts are in lower case.
+# for white space or hyphens, with comment marks at line ends and starts, V for an optional "version" word; patterns and texts are in lower case.
 FAMILIES = r"""
 gpl-1.0 | general public | gpl-1\.0(?:-only|-or-later|\+)? | gnuSgeneralSpublicSlicen[cs]e,?SV1(?:\.0)?\b | gnu\.org/licenses/(?:old-licenses/)?gpl-1\.0
 gpl-2.0 | general public | gpl-2\.0(?:-only|-or-later|\+)? | gnuSgeneralSpublicSlicen[cs]e,?SV2(?:\.0)?\b | gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0
@@ -135,6 +138,230 @@ commercial | end user license | endSuserSlicen[cs]eSagreement | 35
 trial | evaluation | forSevaluationS(?:purposesS)?only | 35
 """
 
+# Hand-written sentences, each of one license's text: label | pattern.
+SENTENCES = r"""
+gpl | thisSprogramSisSfreeSsoftware
+gpl | redistributeSitSand/orSmodifySitSunderStheStermsSofStheSgnuSgeneral
+gpl | asSpublishedSbyStheSfreeSsoftwareSfoundation
+gpl | withoutSevenStheSimpliedSwarrantySofSmerchantability
+gpl | youSshouldShaveSreceivedSaScopySofStheSgnuSgeneralSpublicSlicen[cs]e
+gpl | theSlicen[cs]esSforSmostSsoftwareS(?:andSotherSpracticalSworksS)?areSdesignedStoStakeSawaySyourSfreedom
+gpl-1.0 | thisSlicen[cs]eSagreementSappliesStoSanySprogramSorSotherSworkSwhich
+gpl-2.0 | thisSlicen[cs]eSappliesStoSanySprogramSorSotherSworkSwhichScontainsSaSnotice
+gpl-2.0 | mereSaggregationSofSanotherSworkSnotSbasedSonStheSprogram
+gpl-3.0 | gnuSgeneralSpublicSlicen[cs]eSisSaSfree,ScopyleftSlicen[cs]e
+gpl-3.0 | protectingSusers.{0,3}SlegalSrightsSfromSanti-circumventionSlaw
+gpl-3.0 | basicSpermissions\.S?allSrightsSgrantedSunderSthisSlicen[cs]eSareSgrantedSforStheSterm
+lgpl | thisSlibrarySisSfreeSsoftware
+lgpl | youSshouldShaveSreceivedSaScopySofStheSgnuS(?:lesser|library)SgeneralSpublicSlicen[cs]e
+lgpl-2.1 | workSthatSusesStheSlibrary
+lgpl-3.0 | incorporatesStheStermsSandSconditionsSofSversionS3SofStheSgnuSgeneralSpublicSlicen[cs]e
+agpl-3.0 | remoteSnetworkSinteraction
+agpl-3.0 | ensureScooperationSwithStheScommunitySinStheScaseSofSnetworkSserverSsoftware
+gfdl | permissionSisSgrantedStoScopy,SdistributeSand/orSmodifySthisSdocument
+gfdl | withSnoSinvariantSsections
+classpath-exception-2.0 | classpathSexception
+gpl-linking-exception | linkingSthisSlibrarySstaticallySorSdynamicallySwithSotherSmodules
+gcc-exception-3.1 | gccSruntimeSlibrarySexception
+openssl-exception | permissionStoSlinkS(?:theScodeSof)?.{0,60}?SwithStheSopensslSlibrary
+bison-exception-2.2 | createSaSlargerSworkSthatScontainsSpartSorSallSofStheSbisonSparserSskeleton
+font-exception-2.0 | embedsSthisSfontSorSunalteredSportionsSofSthisSfont
+license-text | everyoneSisSpermittedStoScopySandSdistributeSverbatimScopies
+apache-1.1 | thisSproductSincludesSsoftwareSdevelopedSbyStheSapacheSsoftwareSfoundation
+apache-1.1 | productsSderivedSfromSthisSsoftwareSmaySnotSbeScalledS.{0,3}apache
+apache-2.0 | unlessSrequiredSbySapplicableSlawSorSagreedStoSinSwriting
+apache-2.0 | seeStheSlicen[cs]eSforStheSspecificSlanguageSgoverningSpermissions
+apache-2.0 | perpetual,Sworldwide,Snon-exclusive,Sno-charge,Sroyalty-free,Sirrevocable
+mit | theSaboveScopyrightSnoticeSandSthisSpermissionSnoticeSshallSbeSincludedSinSall
+mit | theSsoftwareSisSprovidedS.{0,3}asSis.{1,4}?withoutSwarrantySofSanySkind
+mit | inSnoSeventSshallStheSauthorsSorScopyrightSholdersSbeSliable
+mit | toSdealSinStheSsoftwareSwithoutSrestriction
+x11 | theSxSconsortiumSshallSnotSbeSusedSinSadvertising
+curl | danielSstenberg.{0,60}?allSrightsSreserved
+curl | exceptSasScontainedSinSthisSnotice,StheSnameSofSaScopyrightSholderSshallSnot
+hpnd | permissionStoSuse,Scopy,Smodify,SandSdistributeSthisSsoftwareSandSitsSdocumentation
+hpnd | makesSnoSrepresentationsSaboutStheSsuitabilitySofSthisSsoftware
+mit-cmu | carnegieSmellonSuniversitySdisclaimsSallSwarranties
+ntp | universitySofSdelawareSmakesSnoSrepresentations
+isc | theSauthorSdisclaimsSallSwarrantiesSwithSregardStoSthisSsoftware
+isc | aboveScopyrightSnoticeSandSthisSpermissionSnoticeSappearSinSallScopies
+bsd-2-clause | redistributionsSofSsourceScodeSmustSretainStheSaboveScopyright
+bsd-2-clause | redistributionsSinSbinarySformSmustSreproduceStheSaboveScopyright
+bsd-2-clause-views | theSviewsSandSconclusionsScontainedSinStheSsoftwareSandSdocumentation
+bsd-2-clause-patent | eachScopyrightSholderSandScontributorSherebySgrantsStoSthoseSreceivingSrights
+bsd-3-clause | neitherStheSnames?SofS.{1,90}?SnorStheSnamesSofSitsScontributors
+bsd-3-clause-clear | noSexpressSorSimpliedSlicen[cs]esStoSanySparty.{0,3}sSpatentSrights
+bsd-3-clause-no-nuclear | notSdesigned,Slicen[cs]edSorSintendedSforSuseSinStheSdesign,Sconstruction,SoperationSorSmaintenanceSofSanySnuclearSfacility
+bsd-4-clause | allSadvertisingSmaterialsSmentioningSfeaturesSorSuseSofSthisSsoftware
+bsd | thisSsoftwareSisSprovidedSbyStheScopyrightSholdersSandScontributors
+bsd | thisSsoftwareSisSprovidedSbyStheSregentsSandScontributors
+bsd-source-code | redistributionSofSsourceScodeSmustSretainSthisSnotice
+mpl-1.1 | theScontentsSofSthisSfileSareSsubjectStoStheSmozillaSpublic
+mpl-1.1 | theSinitialSdeveloperSofStheSoriginalScode
+mpl-2.0 | thisSsourceScodeSformSisSsubjectStoStheStermsSofStheSmozillaSpublic
+mpl-2.0 | ifSaScopySofStheSmplSwasSnotSdistributedSwithSthisSfile
+mpl-2.0-no-copyleft-exception | incompatibleSwithSsecondarySlicen[cs]es
+npl-1.1 | netscapeSpublicSlicen[cs]e
+epl-1.0 | accompanyingSprogramSisSprovidedSunderStheStermsSofSthisSeclipse
+epl-2.0 | accompanyingSmaterialsSareSmadeSavailableSunderStheStermsSofStheSeclipse
+cddl-1.0 | subjectStoStheStermsSofStheScommonSdevelopmentSandSdistribution
+cpl-1.0 | accompanyingSprogramSisSprovidedSunderStheStermsSofSthisScommonSpublic
+ipl-1.0 | ibmSpublicSlicen[cs]e
+eupl | licen[cs]edSunderStheSeupl
+artistic-1.0 | theSintentSofSthisSdocumentSisStoSstateStheSconditionsSunderSwhich
+artistic-2.0 | theScopyrightSholderSintendsSthatStheSpackageSbeSkeptSfree
+perl-5 | underStheSsameStermsSasSperlSitself
+bsl-1.0 | freeSofScharge,StoSanySpersonSorSorganizationSobtainingSaScopySofStheSsoftware
+zlib | theSoriginSofSthisSsoftwareSmustSnotSbeSmisrepresented
+zlib | thisSnoticeSmaySnotSbeSremovedSorSalteredSfromSanySsource
+zlib | permissionSisSgrantedStoSanyoneStoSuseSthisSsoftwareSforSanySpurpose
+libpng | theSpngSreferenceSlibrarySisSsupplied
+openssl | softwareSdevelopedSbyStheSopensslSproject
+ssleay | cryptographicSsoftwareSwrittenSbySericSyoung
+python-2.0 | psfSisSmakingSpythonSavailableStoSlicensee
+python-2.0 | agreementSisSbetweenStheSpythonSsoftwareSfoundation
+cnri-python | cnriSgrantsSlicenseeSaSnonexclusive
+beopen-python | beopenSpythonSopenSsourceSlicen[cs]e
+php-3.01 | thisSproductSincludesSphpSsoftware
+zend-2.0 | zendSengineSlicen[cs]e
+ruby | giveSawaySverbatimScopiesSofStheSsourceSformSofStheSsoftware
+tcl | theSfollowingStermsSapplyStoSallSfilesSassociatedSwithStheSsoftware
+postgresql | inSnoSeventSshallStheSuniversitySofScaliforniaSbeSliable
+ncsa | theSnamesSofS.{1,90}?SnorStheSnamesSofSitsScontributorsSmaySbeSusedStoSendorse
+w3c | w3cSsoftwareSnoticeSandSlicen[cs]e
+w3c | byS(?:obtaining,S)?usingSand/orScopyingSthisSwork
+ofl-1.1 | theSfontSsoftwareSmaySbeSmodified,SalteredSorSaddedSto
+ofl-1.1 | withSreservedSfontSname
+ubuntu-font-1.0 | ubuntuSfontSlicen[cs]e
+bitstream-vera | bitstreamSveraSfontsScopyright
+cc0-1.0 | dedicatedStheSworkStoStheSpublicSdomainSbySwaivingSall
+cc0-1.0 | affirmerSherebySovertly,Sfully,Spermanently,Sirrevocably
+cc-by | youSmustSgiveSappropriateScredit,SprovideSaSlinkStoStheSlicen[cs]e
+cc-by-sa | youSmustSdistributeSyourScontributionsSunderStheSsameSlicen[cs]e
+cc-by-nc | youSmaySnotSuseStheSmaterialSforScommercialSpurposes
+cc-by-nd | youSmaySnotSdistributeStheSmodifiedSmaterial
+cc-sampling-plus | creativeScommonsSsampling
+cc-devnations | creativeScommonsSdevelopingSnations
+odbl-1.0 | anySuseSofStheSdatabaseSmustSbeSaccompaniedSbyS.{0,30}?open
+odc-by-1.0 | odcSattributionSlicen[cs]e
+cdla | communitySdataSlicen[cs]eSagreement
+ogl-uk | openSgovernmentSlicen[cs]e
+etalab-2.0 | licen[cs]eSouverte
+dl-de-by-2.0 | datenlizenzSdeutschland
+nlod | norwegianSlicen[cs]eSforSopenSgovernmentSdata
+iodl-2.0 | italianSopenSdataSlicen[cs]e
+ms-pl | thisSlicen[cs]eSgovernsSuseSofStheSaccompanyingSsoftware
+ms-rl | forSanySfileSyouSdistributeSthatScontainsScodeSfromStheSsoftware
+ms-lpl | microsoftSlimitedSpublicSlicen[cs]e
+ms-eula | microsoftSsoftwareSlicen[cs]eSterms
+osl | licen[cs]edSunderStheSopenSsoftwareSlicen[cs]e
+afl | licen[cs]edSunderStheSacademicSfreeSlicen[cs]e
+rpl-1.5 | reciprocalSpublicSlicen[cs]e
+sissl | sunSindustrySstandardsSsourceSlicen[cs]e
+spl-1.0 | sunSpublicSlicen[cs]e
+apsl | appleSpublicSsourceSlicen[cs]e
+aladdin | aladdinSfreeSpublicSlicen[cs]e
+catosl-1.1 | computerSassociatesStrustedSopenSsourceSlicen[cs]e
+cua-opl-1.0 | cuaSofficeSpublicSlicen[cs]e
+ecl | educationalScommunitySlicen[cs]e
+efl | eiffelSforumSlicen[cs]e
+entessa | entessaSpublicSlicen[cs]e
+eudatagrid | euSdatagridSsoftwareSlicen[cs]e
+fair | usageSofStheSworksSisSpermittedSprovidedSthatSthisSinstrumentSisSretained
+frameworx-1.0 | frameworxSopenSlicen[cs]e
+intel | intelSopenSsourceSlicen[cs]e
+liliq | licen[cs]eSlibreSduSqu.{1,2}bec
+lpl-1.02 | lucentSpublicSlicen[cs]e
+miros | mirosSlicen[cs]e
+motosoto | motosotoSopenSsourceSlicen[cs]e
+multics | multicsSlicen[cs]e
+nasa-1.3 | nasaSopenSsourceSagreement
+naumen | naumenSpublicSlicen[cs]e
+nokia | nokiaSopenSsourceSlicen[cs]e
+nposl-3.0 | non-?profitSopenSsoftwareSlicen[cs]e
+oclc-2.0 | oclcSresearchSpublicSlicen[cs]e
+ogtsl | openSgroupStestSsuiteSlicen[cs]e
+oldap-2.8 | openldapSpublicSlicen[cs]e
+oset-pl-2.1 | osetS(?:foundationS)?publicSlicen[cs]e
+rpsl-1.0 | realnetworksSpublicSsourceSlicen[cs]e
+rscpl | ricohSsourceScodeSpublicSlicen[cs]e
+simpl-2.0 | simpleSpublicSlicen[cs]e
+sleepycat | sleepycatSlicen[cs]e
+sleepycat | accompaniedSbySinformationSonShowStoSobtainScompleteSsourceScode
+vsl-1.0 | vovidaSsoftwareSlicen[cs]e
+watcom-1.0 | openSwatcomSpublicSlicen[cs]e
+wxwindows | wxwindowsSlibrarySlicen[cs]e
+xnet | x\.netSlicen[cs]e
+ypl-1.1 | yahoo!?SpublicSlicen[cs]e
+zpl | zopeSpublicSlicen[cs]e
+nethack | nethackSgeneralSpublicSlicen[cs]e
+json | shallSbeSusedSforSgood,SnotSevil
+beerware | beer[\s-]?wareSlicen[cs]e
+beerware | buySmeSaSbeerSinSreturn
+wtfpl | youSjustSdoSwhatStheSfuckSyouSwantSto
+unlicense | anyoneSisSfreeStoScopy,Smodify,Spublish,Suse,Scompile,Ssell
+blueoak-1.0.0 | blueSoakSmodelSlicen[cs]e
+busl-1.1 | additionalSuseSgrant
+sspl-1.0 | offeringStheSprogramSasSaSservice
+elastic-2.0 | provideStheSsoftwareStoSthirdSpartiesSasSaShostedSorSmanagedSservice
+commons-clause | commonsSclause
+prosperity-3.0 | prosperitySpublicSlicen[cs]e
+parity-7.0 | paritySpublicSlicen[cs]e
+polyform | polyformS(?:noncommercial|smallSbusiness|perimeter|shield|strict|internalSuse|freeStrial)
+hippocratic | hippocraticSlicen[cs]e
+anti-996 | anti-?S?996Slicen[cs]e
+fsl | functionalSsourceSlicen[cs]e
+confluent | confluentScommunitySlicen[cs]e
+redis-sal | redisSsourceSavailableSlicen[cs]e
+timescale | timescaleSlicen[cs]e
+llama | llamaS(?:[0-9.]+S)?communitySlicen[cs]e
+gemma | gemmaStermsSofSuse
+openrail | use-?basedSrestrictionsSasSreferencedSin
+apple-sample | appleSgrantsSyouSaSpersonal,Snon-?exclusiveSlicen[cs]e
+amazon | amazonSsoftwareSlicen[cs]e
+nvidia | nvidiaSsoftwareSlicen[cs]eSagreement
+oracle-bcl | oracleSbinaryScodeSlicen[cs]e
+oracle-nftc | oracleSno-feeStermsSandSconditions
+sun-bcl | sunSmicrosystems,?Sinc\.?SbinaryScodeSlicen[cs]e
+intel-simplified | intelSsimplifiedSsoftwareSlicen[cs]e
+android-sdk | androidSsoftwareSdevelopmentSkitSlicen[cs]e
+unicode-dfs | unicodeSdataSfilesSandSsoftware
+unicode | unicode,?S(?:inc\.?S)?licen[cs]eSagreement
+icu | icuSlicen[cs]e
+info-zip | info-zipSlicen[cs]e
+bzip2 | bzip2SandSlibbzip2
+ftl | freetypeSprojectSlicen[cs]e
+ijg | softwareSisSbasedSinSpartSonStheSworkSofStheSindependentSjpegSgroup
+libtiff | samSlefflerSandSsiliconSgraphics
+sgi-b-2.0 | sgiSfreeSsoftwareSlicen[cs]e
+hdf5 | hdf5S\(hierarchicalSdataSformat
+latex2e | permissionSisSgrantedStoScopySandSdistributeSmodifiedSversionsSofSthisSmanual
+lppl | distributedSand/orSmodifiedSunderStheSconditionsSofStheSlatex
+cecill | contratSdeSlicen[cs]eSdeSlogicielSlibre
+mulan-psl-2.0 | mulanSpslSv2
+d-fsl-1.0 | deutscheSfreieSsoftwareSlizenz
+vim | vimSisScharityware
+us-government | workSofStheSunitedSstatesSgovernment
+public-domain | noScopyrightS(?:isS)?(?:claimed|reserved)
+public-domain | disclaimsScopyrightStoSthisSsourceScode
+proprietary | proprietarySinformationSof
+proprietary | tradeSsecretsSof
+proprietary | notSbeS(?:reproduced|copied|disclosed),?SinSwholeSorSinSpart
+proprietary | priorSwrittenS(?:consent|permission)SofStheS(?:copyrightS(?:owner|holder)|publisher|author)
+commercial | thisSisSaSlegalSagreementSbetweenSyou
+commercial | byS(?:installing|downloading|using)StheSsoftware,?SyouSagreeStoSbeSbound
+commercial | subscriptionSlicen[cs]eSagreement
+freeware | (?:program|software)SisSfreeware
+shareware | (?:program|software)SisSshareware
+non-commercial | forSnon-?commercialS(?:use|purposes)Sonly
+academic | forS(?:academic|research)S(?:useS|purposesS)?only
+dual-license | dual[\s-]?licen[cs]edSunder
+license-reference | licen[cs]eSinformationScanSbeSfoundSinStheSlicen[cs]eSfile
+license-reference | useSofSthisSsourceScodeSisSgovernedSbySa
+"""
+#: Priority of a sentence, above names and below tags, addresses and grants.
+SENTENCE = 72
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -145,8 +372,14 @@ class Rule:
     weight: float
 
 
+#: White space or hyphens, and marks of comments (`# `, ` * `, `// `) around them.
+_SPACE = r"[\s-]+(?:[#*/;%!>|]{1,3}[\s-]+)*"
+
+
 def _pattern(text: str) -> re.Pattern:
-    return re.compile(text.replace("SV", r"(?:[\s-]+v(?:ersion|\.)?)?[\s-]*").replace("S", r"(?:[\s-]+)").encode())
+    return re.compile(text.replace("SV", rf"(?:{_SPACE}v(?:ersion|\.)?)?[\s-]*").replace("S", f"(?:{_SPACE})").encode())
+
+
 
 #: Alternatives of keywords a rule has at most; keywords of each, and letters of them in all from which on no more are taken.
 _ALTERNATIVES, _KEYWORDS, _LETTERS = 24, 5, 14
@@ -214,6 +447,9 @@ def rules() -> tuple[Rule, ...]:
     for line in SINGLE.strip().splitlines():
         label, _, pattern, priority = re.split(r" \| ", line.strip())
         out.append(_rule(label, _pattern(pattern), int(priority), 0.4 + int(priority) / 200))
+    for line in SENTENCES.strip().splitlines():
+        label, pattern = re.split(r" \| ", line.strip())
+        out.append(_rule(label, _pattern(pattern), SENTENCE, 0.75))
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
@@ -232,11 +468,22 @@ class Detection:
 
 
 def settle(found: list[Detection]) -> list[Detection]:
-    """Accepts by priority, length and position; drops what lies within an accepted interval."""
+    """Accepts by priority, length and position; drops what lies within an accepted interval.
+
+    Of the accepted intervals, those in no other one are held by start, and so by end: the last one that starts no later
+    than a detection reaches farthest, and is the only one that need be looked at.
+    """
     kept: list[Detection] = []
+    starts: list[int] = []
+    ends: list[int] = []
     for d in sorted(set(found), key=lambda d: (-d.priority, d.start - d.end, d.start, d.label)):
-        if not any(k.start <= d.start and d.end <= k.end for k in kept):
-            kept.append(d)
+        at = bisect_right(starts, d.start)
+        if at and ends[at - 1] >= d.end:
+            continue
+        kept.append(d)
+        first = at - (at > 0 and starts[at - 1] == d.start)
+        last = bisect_right(ends, d.end, lo=first)
+        starts[first:last], ends[first:last] = [d.start], [d.end]
     return sorted(kept, key=lambda d: (d.start, d.end, d.label))
 
 
