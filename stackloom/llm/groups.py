@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .schema import column
+
 GROUP_BYTES, MOST_BYTES, LEAST_GROUPS = 4 << 20, 32 << 20, 384
 
 
@@ -33,7 +35,7 @@ def deal(docs: DataFrame, keep: tuple[str, ...], bytes_each: int | None = None)
     share = total // (16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     groups = max(LEAST_GROUPS, -(-total // (bytes_each or min(MOST_BYTES, max(GROUP_BYTES, share)))))
     rid, rid2 = row_keys(F.col("doc_id"), text)
-    dealt = docs.select(F.pmod(F.xxhash64(rid, F.lit("deal")), F.lit(groups)).cast("int").alias("grp"), rid.alias("rid"), rid2.alias("rid2"), *[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], text.alias("text"))
+    dealt = docs.select(F.pmod(F.xxhash64(rid, F.lit("deal")), F.lit(groups)).cast("int").alias("grp"), rid.alias("rid"), rid2.alias("rid2"), *[column(c).alias(f"k_{i}") for i, c in enumerate(keep)], text.alias("text"))
     return dealt, groups
 
 
