@@ -2,15 +2,18 @@
 
 Each language is a distribution over hashed byte trigrams of words (word ends marked), learned from labelled texts. A
 text is a mixture of languages: its words' trigram likelihoods enter expectation-maximisation, which estimates the
-share of each language. Sets of the 1, 2, ... largest shares are then compared by likelihood less a penalty of
-`PENALTY` * ln(words) for each further language; the prediction is the largest share of the chosen set.
+share of each language. Sets are then compared by likelihood less a penalty of `PENALTY` * ln(words) for each further
+language: of the single languages the likeliest, and the sets of the 2, 3, ... largest shares up to all languages. No
+set can be likelier than all languages together, so a text is done once that likelihood, less the next penalty, falls
+behind its best set; there is no largest set. The prediction is the largest share of the chosen set.
 
 Learned on a bounded sample: about `SAMPLE` labelled texts of each language, chosen by a hash of doc_id (all texts of
 a language that has fewer). Counting is spread over the executors; the driver gets one count for each language and
-trigram bucket at most.
+trigram bucket at most, and at most `most` languages (an error beyond, as the model is sent to all executors).
 
-Defined cases: `und` with score 0 for null texts, texts without a letter, and if no language was learned; repeated
-rows are judged one by one; extra columns are not read.
+Defined cases: `und` with score 0 for null texts, texts without a letter, and if no language was learned; very long
+texts are read whole; repeated rows are judged one by one; an empty table gives no rows; extra columns are not read, and
+one that is kept under the name of a result column is returned as <name>_kept.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.session import checkpointed
 from .columnar import LOWER, Texts, Words, slices
-from .schema import with_fields
+from .schema import carried, named, with_fields
 from .toxicity import held_out
 
-SAMPLE, BITS, SMOOTHING, PENALTY, LARGEST_SET, ROUNDS = 3000, 15, 0.5, 2.0, 4, 6
+SAMPLE, BITS, SMOOTHING, PENALTY, ROUNDS, LANGUAGES = 3000, 15, 0.5, 2.0, 6, 512
 UNKNOWN = "und"
 #: ASCII letters and all non-ASCII bytes.
 WORD_BY_LETTER = np.array([chr(b).isalpha() or b >= 0x80 for b in range(256)])
@@ -70,11 +74,13 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bucket), pa.string()), pa.array(bucket.astype(np.int32)), pa.array(n[bucket].astype(np.int64))], names=["lang", "bucket", "n"])
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> Languages:
+def learn(docs: DataFrame, sample: int = SAMPLE, most: int = LANGUAGES) -> Languages:
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    size = known.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    size = checkpointed(known.groupBy("lang").agg(F.count(F.lit(1)).alias("size")))
+    if (n := size.count()) > most:
+        raise ValueError(f"{n} languages are labelled; at most {most} make a model")
     spread = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_003)) / 1_000_003.0
-    some = known.join(F.broadcast(size), "lang").where(spread * F.col("size") < sample).select("lang", F.col("text").cast("string").alias("text"))
+    some = known.join(size, "lang").where(spread * F.col("size") < sample).select("lang", F.col("text").cast("string").alias("text"))
     counted = some.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     rows = counted.toPandas()
     names = sorted(rows["lang"].unique())
@@ -103,22 +109,33 @@ def mixtures(model: Languages, words: Words) -> tuple[np.ndarray, np.ndarray]:
     n = words.counts[texts]
     doc, heads = np.repeat(np.arange(len(texts)), n), words.at[:-1][texts]
     k = len(model.names)
-    share, _ = _em(np.full((len(texts), k), 1 / k, np.float32), likely, doc, heads, n, ROUNDS)
+    share, full = _em(np.full((len(texts), k), 1 / k, np.float32), likely, doc, heads, n, ROUNDS)
     rank = np.argsort(np.argsort(-share, 1, kind="stable"), 1)
-    best, chosen = np.full(len(texts), -np.inf), share
-    for size in range(1, min(k, LARGEST_SET) + 1):
-        start = np.where(rank < size, share + 1e-3, 0).astype(np.float32)
-        own, likelihood = _em(start / start.sum(1, keepdims=True), likely, doc, heads, n, 0 if size == 1 else ROUNDS)
-        value = likelihood - PENALTY * (size - 1) * np.log(n + 1)
-        better = value > best
-        best, chosen = np.where(better, value, best), np.where(better[:, None], own, chosen)
+    single = np.add.reduceat(np.log(likely), heads, axis=0)
+    first = single.argmax(1)
+    best = single[np.arange(len(texts)), first]
+    chosen = np.eye(k, dtype=share.dtype)[first]
+    live = np.arange(len(texts))
+    for size in range(2, k + 1):
+        fine = PENALTY * (size - 1) * np.log(n + 1)
+        live = live[full[live] - fine[live] > best[live]]
+        if not len(live):
+            break
+        each = n[live]
+        at = np.concatenate(([0], np.cumsum(each)))
+        some = np.repeat(heads[live] - at[:-1], each) + np.arange(at[-1])
+        start = np.where(rank[live] < size, share[live] + 1e-3, 0).astype(np.float32)
+        own, likelihood = _em(start / start.sum(1, keepdims=True), likely[some], np.repeat(np.arange(len(live)), each), at[:-1], each, ROUNDS)
+        value = likelihood - fine[live]
+        better = value > best[live]
+        best[live[better]], chosen[live[better]] = value[better], own[better]
     return texts, chosen
 
 
 def identify(docs: DataFrame, model: Languages, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep`, lang_pred, score, and the chosen languages with their shares."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    source = carried(docs, keep)
     fields = source.schema.fields[:-1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,4 +159,4 @@ def identify(docs: DataFrame, model: Languages, keep: tuple[str, ...] = ("doc_id
             mixed = pa.array(mix, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(lang, pa.string()), pa.array(score), mixed], names=[*kept, "lang_pred", "score", "mixture"])
 
-    return source.mapInArrow(run, with_fields(fields, "lang_pred string, score double, mixture array<struct<lang:string,share:double>>"))
+    return named(source.mapInArrow(run, with_fields(fields, "lang_pred string, score double, mixture array<struct<lang:string,share:double>>")), keep)
