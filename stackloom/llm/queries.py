@@ -58,6 +58,12 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprint_with_neighbours(_table(spark, sf_dir, "documents"))
 
 
+def near_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The set join of operator 8: documents whose fingerprints have a Jaccard coefficient of 0.8 or more, as classes."""
+    found = spotsigs.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n_shingles").alias("n_signatures"), "component_id")
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = ngram_join.link_texts(_table(spark, sf_dir, "documents"), k=4, least=85, of=100)
     return linked.select("doc_id", "n_shingles", "component_id")
@@ -67,6 +73,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("detections")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_score, op3_substring_dedup, op4_decontaminate, op5_language_id, op6_sentencepiece, op7_chat_format, op8_fingerprints, op9_ngram_join, op10_license_scan,)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_lm_score, op3_substring_dedup, op4_decontaminate, op5_language_id, op6_sentencepiece, op7_chat_format, op8_fingerprints, op9_ngram_join, op10_license_scan, near_fingerprints)}
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -1,10 +1,12 @@
 """SpotSigs fingerprints: chains of content words that follow common words.
 
 Every common word of a text (and its start) anchors a signature: the anchor and the next `CHAIN` words that are not
-common. Where `RUN` words or more follow each other without a common one, as in other languages, lists and tables,
+common; the end of the text anchors the last `CHAIN` of them. Where `RUN` words or more follow each other without a common one, as in other languages, lists and tables,
 each of them is an anchor, too: no stretch of a text goes without signatures, and an edit changes only those around
 it. The set of signatures is the fingerprint, written as base64 of the sorted 32-bit hashes. Likeness is the
-Jaccard coefficient of two sets; comparing is pruned by the sets' lengths, which bound it from above.
+Jaccard coefficient of two sets; comparing is pruned by the sets' lengths, which bound it from above. `near_duplicates`
+partitions all sets by length: a set meets only sets of its own band of lengths and of the neighbouring ones, by their
+rarest signatures, and pairs that the lengths and the places of common signatures rule out are not compared.
 
 A text is also fingerprinted after an edit that replaces its end by the beginning of the next document. For that,
 documents are dealt out by ranges of doc_id; the first document of each range is also sent to the range before it, so
@@ -12,7 +14,8 @@ each text meets its neighbour with one shuffle of the texts.
 
 Defined cases: null texts are empty; an empty text has an empty fingerprint, like only other empty ones; a text
 without words has the hash of its bytes for its only signature; equal doc_ids are ordered by a hash of their texts,
-null doc_ids come last; a lone document is its own neighbour; extra columns are not read.
+null doc_ids come last; a lone document is its own neighbour; very long texts are fingerprinted whole; an empty table
+gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -31,8 +34,6 @@ from .groups import LEAST_GROUPS
 from .ngram_join import link_texts
 
 CHAIN = 2
-#: Texts of fewer words have each word for a signature, too.
-BRIEF = 24
 #: Words in a row without a common one, from which on each is an anchor.
 RUN = 8
 
@@ -86,8 +87,13 @@ def signatures(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         word = content[np.minimum(next_ + k, max(len(content) - 1, 0))] if len(content) else np.zeros(len(place), np.int64)
         inside = (next_ + k < len(content)) & (word < words.at[owner + 1])
         value = mix64(value * U64(0x9E3779B97F4A7C15) + np.where(inside, h[word] if len(h) else U64(0), U64(k + 1)))
-    brief = np.repeat(words.counts < BRIEF, words.counts)
-    owner, value = np.concatenate((owner, doc[brief])), np.concatenate((value, mix64(h[brief] + U64(2))))
+    tail = np.full(len(texts_with_words), 2, U64)
+    before = np.searchsorted(content, words.at[1:][texts_with_words]) - 1
+    for k in range(CHAIN):
+        word = content[np.maximum(before - k, 0)] if len(content) else np.zeros(len(tail), np.int64)
+        inside = (before - k >= 0) & (word >= words.at[:-1][texts_with_words])
+        tail = mix64(tail * U64(0x9E3779B97F4A7C15) + np.where(inside, h[word] if len(h) else U64(0), U64(k + 1)))
+    owner, value = np.concatenate((owner, texts_with_words)), np.concatenate((value, tail))
     bare = np.flatnonzero((words.counts == 0) & (np.diff(texts.offsets) > 0))
     if len(bare):
         own = [int.from_bytes(hashlib.blake2b(texts.raw(i), digest_size=8).digest(), "little") for i in bare]
@@ -128,9 +134,10 @@ def signature_sets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 def near_duplicates(docs: DataFrame, least: int = 80, of: int = 100, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Components of documents whose signature sets have Jaccard least / of or more: keep, n_shingles (set length), component_id.
 
-    Sets are met by their rarest signatures and compared only within the bounds that their lengths leave.
+    Sets are partitioned by length, met there by their rarest signatures, and compared only within the bounds that
+    lengths and places leave.
     """
-    return link_texts(docs, least=least, of=of, keep=keep, sets=signature_sets)
+    return link_texts(docs, least=least, of=of, keep=keep, sets=signature_sets, banded=True)
 
 
 _FIELDS = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
