@@ -10,7 +10,9 @@ The benchmark is broadcast in blocks of about `BLOCK_WORDS` words; all blocks ar
 each shard block by block, so findings of one row never meet those of another and a worker holds one block at a time.
 
 Defined cases: null texts have no words; empty tables give empty or unmarked results; an item without words has no
-window; a null item_id is listed as the empty string; repeated rows are searched one by one; extra columns stay out.
+window; a null item_id is listed as the empty string; repeated rows are searched one by
+one; very long texts are searched whole; extra columns stay out, and one that is kept under the name of a result column
+is returned as <name>_kept.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columnar import U64, WORD_BY_ALNUM, Texts, Words, slices
-from .schema import with_fields
+from .schema import carried, named, with_fields
 
 WINDOW = 10
 BLOCK_WORDS = 1 << 20
@@ -199,10 +201,10 @@ def _benchmark_blocks(benchmark: DataFrame, window: int, most: int) -> Iterator[
     yield TestSuffixes.of(rows, window)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """For each text: n_words, hit word spans, items with occurring windows, and the longest match with each item."""
+def _found(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...], window: int, block_words: int) -> DataFrame:
+    """The columns `keep` as k_0, k_1, ... and the findings."""
     spark = docs.sparkSession
-    source = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    source = carried(docs, keep)
     fields = source.schema.fields[:-1]
 
     sent = [spark.sparkContext.broadcast(test) for test in _benchmark_blocks(benchmark, window, block_words)]
@@ -223,6 +225,11 @@ def _values(sent: list[Broadcast]) -> Iterator[TestSuffixes]:
             block.__dict__.pop("_value", None)
 
 
+def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """For each text: n_words, hit word spans, items with occurring windows, and the longest match with each item."""
+    return named(_found(docs, benchmark, keep, window, block_words), keep)
+
+
 def n_hit() -> Column:
     """Words in hit spans."""
     return F.expr("aggregate(spans, 0L, (n, s) -> n + s.last - s.first + 1)")
@@ -234,9 +241,7 @@ def items_digest() -> Column:
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs without any occurrence of a benchmark window."""
-    columns = tuple(docs.columns)
-    others = tuple(c for c in columns if c != "text")
-    carried = docs.select(*others, "text", F.col("text").alias("__text"))
-    found = find_leaks(carried, benchmark, (*others, "__text"), window, block_words)
-    return found.where(F.size("items") == 0).select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in columns])
+    """The rows of docs without any occurrence of a benchmark window, with all their columns."""
+    keep = tuple(docs.columns)
+    clean = _found(docs, benchmark, keep, window, block_words).where(F.size("items") == 0)
+    return named(clean.select(*[f"k_{i}" for i in range(len(keep))]), keep)

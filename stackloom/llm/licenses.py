@@ -8,7 +8,8 @@ that lies within the interval of an accepted one is suppressed.
 
 Besides the rules, the base phrases are located word by word. Defined cases: a null text counts as empty and has no
 detection (score 0); very long texts are scanned whole, in time that grows with n log n of the detections; repeated rows
-are scanned one by one; an empty table gives no rows; other columns are not read.
+are scanned one by one; an empty table gives no rows; other columns are not read, and one that is
+kept under the name of a result column is returned as <name>_kept.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columnar import WORD_BY_ALNUM, Texts, Words, slices
-from .schema import with_fields
+from .schema import carried, named, with_fields
 
 # The base phrases and their labels.
 BASE = {
@@ -568,6 +569,6 @@ def _scan_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def scan_licenses(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The columns `keep` and, for each row, word count, base phrases and settled detections (byte spans)."""
-    source = docs.select(*keep, F.col(text).cast("string").alias("text"))
+    source = carried(docs, keep, text)
     fields = source.schema.fields[:-1]
-    return source.mapInArrow(_scan_batches, with_fields(fields, SCHEMA))
+    return named(source.mapInArrow(_scan_batches, with_fields(fields, SCHEMA)), keep)

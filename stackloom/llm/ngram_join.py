@@ -22,7 +22,8 @@ the second (`_apart`).
 
 Defined cases: texts without words have an empty set and are linked with nothing; fewer words than the n-gram make
 one n-gram; repeated rows are copies of each other; a null doc_id takes part and is never the smallest; very long texts
-are cut into rows by fragment; an empty table gives no rows; extra columns are not read.
+are cut into rows by fragment; an empty table gives no rows; extra columns are not read, and
+one that is kept under the name of a result column is returned as <name>_kept.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ from .columnar import U64, WORD_BY_SPACE, Texts, Words, mix64
 from .components import components
 from .exchange import buckets_for, packed, scatter, unpack, whole_groups
 from .groups import deal, in_order
-from .schema import renamed, with_fields
+from .schema import named, renamed, with_fields
 
 FRAGMENTS = 8
 #: Sets of up to so many n-grams that others may have carry all their fragments in one row.
@@ -428,9 +429,9 @@ def link_texts(
         every = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
         first = checkpointed(checkpointed(every).join(second, F.col("comp") == F.col("old"), "left").select("node", F.coalesce("new", "comp").alias("comp")))
 
-    named = found.select(*[f"k_{i}" for i in range(len(fields))], F.col("n").alias("n_shingles"), "sid")
-    labelled = checkpointed(named.join(first, F.col("sid") == F.col("node"), "left").select(*named.columns, F.coalesce("comp", "sid").alias("comp")))
+    rows = found.select(*[f"k_{i}" for i in range(len(fields))], F.col("n").alias("n_shingles"), "sid")
+    labelled = checkpointed(rows.join(first, F.col("sid") == F.col("node"), "left").select(*rows.columns, F.coalesce("comp", "sid").alias("comp")))
     least_id = checkpointed(labelled.where("comp is not null").groupBy("comp").agg(F.min(id_at).alias("least")).withColumnRenamed("comp", "of_comp"))
     full = labelled.join(least_id, F.col("comp") == F.col("of_comp"), "left")
     component = F.when(F.col("comp").isNull(), F.col(id_at)).otherwise(F.col("least"))
-    return full.select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)], "n_shingles", "sid", "comp", component.alias("component_id"))
+    return named(full.select(*[f"k_{i}" for i in range(len(keep))], "n_shingles", "sid", "comp", component.alias("component_id")), keep)

@@ -12,15 +12,16 @@ length at once:
 Characters without a piece become byte pieces. Decoding is the inverse and exact, but for U+2581, which the format
 itself reads as a space.
 
-Defined cases: null and empty texts have no pieces and decode to the empty text; repeated rows are encoded one by
-one; extra columns are not read.
+Defined cases: null and empty texts have no pieces and decode to the empty text; very long words are merged
+with a heap; repeated rows are encoded one by one; an empty table gives no rows; extra columns are not read, and one that
+is kept under the name of a result column is returned as <name>_kept.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columnar import U64, Texts, mix64, powers, slices
-from .schema import with_fields
+from .schema import carried, column, named, with_fields
 
 SPACE = 0x2581
 LONG_WORD = 256
@@ -281,10 +282,14 @@ def decode(vocabulary: Pieces, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     return data[keep], ends - np.concatenate(([0], np.cumsum(led)))
 
 
-def encode_texts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: str | None = None) -> DataFrame:
-    """The columns `keep`, ids, n_tokens, and round_trip: whether decoding the ids gives the text back."""
-    sent = docs.sparkSession.sparkContext.broadcast(Pieces.load(model or default_model()))
-    source = docs.select(*keep, F.col("text").cast("string").alias("text"))
+def encode_texts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: str | None = None, best_path: bool = False) -> DataFrame:
+    """The columns `keep`, ids, n_tokens, and round_trip: whether decoding the ids gives the text back.
+
+    best_path: Viterbi also for a model of merges, over its pieces and their scores; its ids are then not the library's.
+    """
+    vocabulary = Pieces.load(model or default_model())
+    sent = docs.sparkSession.sparkContext.broadcast(replace(vocabulary, unigram=True) if best_path else vocabulary)
+    source = carried(docs, keep)
     fields = source.schema.fields[:-1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,13 +306,13 @@ def encode_texts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: st
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], lists, pa.array(np.diff(at)), pa.array(same)], names=[*kept, "ids", "n_tokens", "round_trip"])
 
-    return source.mapInArrow(run, with_fields(fields, "ids array<int>, n_tokens long, round_trip boolean"))
+    return named(source.mapInArrow(run, with_fields(fields, "ids array<int>, n_tokens long, round_trip boolean")), keep)
 
 
 def decode_ids(rows: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: str | None = None) -> DataFrame:
     """The columns `keep` and the text of `ids`; bytes that are no UTF-8 become replacement characters."""
     sent = rows.sparkSession.sparkContext.broadcast(Pieces.load(model or default_model()))
-    source = rows.select(*keep, F.col("ids").cast("array<int>").alias("ids"))
+    source = rows.select(*[column(c).alias(f"k_{i}") for i, c in enumerate(keep)], F.col("ids").cast("array<int>").alias("ids"))
     fields = source.schema.fields[:-1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,4 +324,4 @@ def decode_ids(rows: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: str
             kept = [c for c in part.schema.names if c != "ids"]
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(out, pa.string())], names=[*kept, "text"])
 
-    return source.mapInArrow(run, with_fields(fields, "text string"))
+    return named(source.mapInArrow(run, with_fields(fields, "text string")), keep)

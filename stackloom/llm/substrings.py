@@ -9,7 +9,8 @@ Every step works on groups of texts and packed keys. A passage shared by very ma
 group; nothing is compared pair by pair.
 
 Defined cases: null and empty texts have no words; texts shorter than a window lose nothing; repeated rows count as
-separate documents, whose windows repeat each other; extra columns are carried along only if asked for.
+separate documents, whose windows repeat each other; very long texts are compared whole; an empty table gives no rows;
+extra columns are carried along only if asked for, and one called like a result column is returned as <name>_kept.
 """
 
 from __future__ import annotations
@@ -19,12 +20,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .columnar import U64, WORD_BY_SPACE, Texts, Words
 from .exchange import buckets_for
 from .groups import deal, in_order
-from .schema import renamed, with_fields
+from .schema import named, renamed, with_fields
 from .repeats import PROBES, places, probes, repeated_places
 
 WINDOW = 35
@@ -131,7 +131,7 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), window:
     anchors = repeated_places(texts.applyInArrow(send_anchors, PROBES), partitions)
     windows = repeated_places(texts.cogroup(anchors.groupBy("grp")).applyInArrow(send_windows, PROBES), partitions)
     done = texts.cogroup(windows.groupBy("grp")).applyInArrow(cut, schema)
-    return done.select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)], *[c for c in done.columns if not c.startswith("k_")])
+    return named(done, keep)
 
 
 def _without(raw: bytes, starts: np.ndarray, gone: np.ndarray) -> str:

@@ -11,7 +11,8 @@ hard examples. Everything is seeded, so equal inputs give equal scores.
 
 Defined cases: a null or empty text is one window without words; without labels of both kinds every score is the
 share of toxic labels (0 without labels); of several labels of a doc_id the highest counts; repeated rows are scored
-one by one; extra columns are not read.
+one by one; an empty table gives no rows; extra columns are not read, and one that is kept under the name of a result
+column is returned as <name>_kept.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columnar import LOWER, U64, WORD_BY_ALNUM, Texts, Words, slices
-from .schema import with_fields
+from .schema import carried, named, with_fields
 
 WIDTH, STRIDE = 32, 16
 POSITIVES, NEGATIVES, WINDOWS_PER_TEXT = 1200, 2400, 256
@@ -303,11 +304,11 @@ def _excerpts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("h"), part.column("toxic"), pa.array(out, pa.string())], names=["h", "toxic", "text"])
 
 
-def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
-    """At most POSITIVES and NEGATIVES labelled texts outside the held-out fifth, by a hash of doc_id."""
+def training_sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> tuple[list[str], list[int]]:
+    """At most `positives` and `negatives` labelled texts outside the held-out fifth, by a hash of doc_id."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id", F.lit("toxic")))
-    parts = [known.where(F.col("toxic") == kind).orderBy("h", "doc_id").limit(most) for kind, most in ((1, POSITIVES), (0, NEGATIVES))]
+    parts = [known.where(F.col("toxic") == kind).orderBy("h", "doc_id").limit(most) for kind, most in ((1, positives), (0, negatives))]
     chosen = parts[0].unionByName(parts[1])
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     rows = source.join(F.broadcast(chosen), "doc_id").select("h", "toxic", "text").mapInArrow(_excerpts, "h long, toxic int, text string").collect()
@@ -315,11 +316,11 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list
     return [r.text for r in rows], [int(r.toxic) for r in rows]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` and `score`, the probability of toxic = 1, of every text."""
+def _scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...], positives: int, negatives: int) -> DataFrame:
+    """The columns `keep` as k_0, k_1, ... and the score."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(fit(*training_sample(docs, labels)))
-    source = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    sent = spark.sparkContext.broadcast(fit(*training_sample(docs, labels, positives, negatives)))
+    source = carried(docs, keep)
     fields = source.schema.fields[:-1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,8 +331,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (
     return source.mapInArrow(run, with_fields(fields, "score double"))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of docs that score below `least`."""
-    others = tuple(c for c in docs.columns if c != "text")
-    scored = score_toxicity(docs.withColumn("__text", F.col("text")), labels, (*others, "__text"))
-    return scored.where(F.col("score") < least).select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+def score_toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), positives: int = POSITIVES, negatives: int = NEGATIVES) -> DataFrame:
+    """The columns `keep` and `score`, the probability of toxic = 1, of every text."""
+    return named(_scored(docs, labels, keep, positives, negatives), keep)
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, least: float = 0.5, positives: int = POSITIVES, negatives: int = NEGATIVES) -> DataFrame:
+    """The rows of docs that score below `least`, with all their columns."""
+    keep = tuple(docs.columns)
+    return named(_scored(docs, labels, keep, positives, negatives).where(F.col("score") < least).drop("score"), keep)

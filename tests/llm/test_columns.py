@@ -1,5 +1,6 @@
 """Parts that need no Spark, against plain versions."""
 
+import itertools
 import random
 import re
 
@@ -167,6 +168,19 @@ def test_class_table_is_normalised():
     assert np.isfinite(lm.train(np.zeros(lm._CELLS, np.int64))).all()
 
 
+def test_member_table_is_normalised():
+    """Within each suffix class and context, the words with vectors and the rest make up one; contexts are told apart."""
+    r = np.random.default_rng(2)
+    kinds = np.concatenate((r.integers(0, lm.SUFFIXES, 300), np.arange(lm.SUFFIXES)))
+    counts = r.integers(0, 9, (lm.CONTEXTS, len(kinds)))
+    counts[5, 7], counts[6, 7] = 900, 0
+    table = lm.train_members(counts, kinds)
+    total = np.zeros((lm.CONTEXTS, lm.SUFFIXES))
+    np.add.at(total.T, kinds, (10.0 ** table.astype(np.float64)).T)
+    assert np.allclose(total, 1, atol=1e-4) and table[5, 7] > table[6, 7] + 0.3
+    assert np.isfinite(lm.train_members(np.zeros_like(counts), kinds)).all()
+
+
 def test_class_table_weighs_every_counted_token():
     """A hundred of a billion tokens, moved from one context to another, are learned from."""
     r = np.random.default_rng(1)
@@ -326,6 +340,38 @@ def test_language_mixture():
     assert share[0].tolist() == [1, 0] and share[1].tolist() == [0, 1] and share[2] == pytest.approx([0.75, 0.25], abs=0.03)
 
 
+def test_language_sets_by_brute_force():
+    """Six languages in one text are all found; the chosen set is as likely, less its penalty, as any other set."""
+    r = random.Random(11)
+    voc = {f"l{i}": ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(8)] for i in range(7)}
+    make = lambda lang, n: " ".join(r.choice(voc[lang]) for _ in range(n))
+    table = np.full((1 << langid.BITS, len(voc)), langid.SMOOTHING)
+    for i, lang in enumerate(voc):
+        grams, _ = langid.trigrams(Words(texts(make(lang, 300)), langid.WORD_BY_LETTER))
+        table[:, i] += np.bincount(grams, minlength=1 << langid.BITS)
+    model = langid.Languages(list(voc), np.log(table / table.sum(0)).astype(np.float32))
+    parts = [["l3"], ["l0", "l5"], ["l1", "l2", "l6"], ["l0", "l1", "l2", "l3", "l4", "l5"], list(voc)]
+    docs = [" ".join(make(lang, 40) for lang in own) for own in parts]
+    w = Words(texts(*docs), langid.WORD_BY_LETTER)
+    own, share = langid.mixtures(model, w)
+    assert [[f"l{j}" for j in np.flatnonzero(row)] for row in share] == parts
+    grams, at = langid.trigrams(w)
+    score = np.add.reduceat(model.log_p[grams], at[:-1], axis=0)
+    likely = np.maximum(np.exp(score - score.max(1, keepdims=True)), 1e-9)
+    for i, row in enumerate(share[:4]):
+        x = likely[w.at[i] : w.at[i + 1]].astype(float)
+
+        def value(chosen, rounds=200):
+            p = np.full(len(chosen), 1 / len(chosen))
+            for _ in range(rounds):
+                q = p * x[:, chosen]  # noqa: B023
+                p = (q / q.sum(1, keepdims=True)).mean(0)
+            return np.log((x[:, chosen] * p).sum(1)).sum() - langid.PENALTY * (len(chosen) - 1) * np.log(len(x) + 1)  # noqa: B023
+
+        best = max(value(list(c)) for size in range(1, 8) for c in itertools.combinations(range(7), size))
+        assert value(np.flatnonzero(row).tolist()) == pytest.approx(best, abs=1e-6)
+
+
 def test_network_gradients():
     r, net = np.random.default_rng(0), toxicity.Network(1)
     inputs = toxicity.Inputs(texts("hello big wörld x", "bad idiot you are no", "", "q"))

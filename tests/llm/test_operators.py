@@ -64,6 +64,40 @@ def test_odd_rows_row_by_row(odd, none, labels):
     assert back == {(r[0], r[1] or "") for r in odd_rows() if r[0] is not None}
 
 
+def test_clashing_columns(spark, labels):
+    """Columns called like those of results or of inner tables: filters return them as they were, others rename them."""
+    names = ["score", "items", "spans", "n_words", "k_0", "k_1", "grp", "rid", "rid2", "__text", "text_kept", "lang_pred", "labels", "ids", "sid", "a.b", "n_tokens", "learned", "component_id", "n_removed", "salt", "posted"]
+    values = [LONG, f"{LONG} end", None, "", "MIT License", LONG]
+    rows = [(i, t, *[f"{c}{i}" for c in names]) for i, t in enumerate(values)] + [(None, "x y", *names)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    bench = spark.createDataFrame([("q", "w3 w4 w5 w6 w7 w8 w9 w10 w11 w12", 1)], "item_id string, text string, items int")
+    clean = sorted(map(tuple, decontaminate.remove_leaks(docs, bench).collect()), key=repr)
+    assert clean == sorted([r for r in rows if not (r[1] or "").startswith("w0")], key=repr) and decontaminate.remove_leaks(docs, bench).columns == docs.columns
+    kept = toxicity.keep_clean(docs, labels.limit(0))
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=repr) == sorted(rows, key=repr)
+    keep = ("doc_id", *names)
+    results = [
+        toxicity.score_toxicity(docs, labels, keep), langid.identify(docs, langid.learn(docs.withColumn("lang", F.lit("x"))), keep), pieces.encode_texts(docs, keep), licenses.scan_licenses(docs, keep),
+        decontaminate.find_leaks(docs, bench, keep), substrings.remove_repeats(docs, keep), ngram_join.link_texts(docs, keep=keep), lm.score_texts(docs, keep)[0],
+    ]
+    for df in results:
+        got = df.collect()
+        assert len(got) == len(rows) and len(set(df.columns)) == len(df.columns)
+        back = {c: (f"{c}_kept" if f"{c}_kept" in df.columns and c != "text" else c) for c in keep}
+        assert sorted((tuple(r[back[c]] for c in keep) for r in got), key=repr) == sorted(((r[0], *r[2:]) for r in rows), key=repr)
+
+
+def test_best_paths_round_trip(spark):
+    """The dealt method over the pieces of a model of merges: whole texts come back, and no segmentation has fewer points."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    by_path, by_merges = pieces.encode_texts(docs, best_path=True), pieces.encode_texts(docs)
+    assert by_path.where("not round_trip").count() == 0 and by_path.count() == docs.count()
+    scores = pieces.Pieces.load(pieces.default_model()).scores
+    total = lambda df: {r.doc_id: sum(float(scores[i]) for i in r.ids) for r in df.where("doc_id % 40 = 0").collect()}
+    best, merged = total(by_path), total(by_merges)
+    assert best and all(best[d] >= merged[d] - 1e-3 for d in best)
+
+
 def test_benchmark_blocks_agree(odd):
     bench = odd.select(F.col("doc_id").alias("item_id"), "text")
     rows = lambda **k: sorted((r.n_words, [tuple(s) for s in r.spans], r.items) for r in decontaminate.find_leaks(odd.dropDuplicates(["doc_id", "text"]).withColumn("body", F.col("text")), bench, ("doc_id", "body"), **k).collect())
