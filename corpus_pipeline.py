@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stackloom.llm import decontaminate, ngram_join, pieces, substrings, toxicity
 from stackloom.llm.groups import row_keys
-from stackloom.plans.session import checkpointed, table_folder
+from stackloom.plans.session import checkpointed, drop_table, table_folder
 
 
 def _neutral(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
@@ -98,10 +98,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's rows are written as Parquet to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each one's rows are written as Parquet to the shared folder and read again.
+
+    A stage's table is removed once the next one is written. The last one's stays, as the result reads it.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     folder = table_folder(spark)
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            drop_table(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
