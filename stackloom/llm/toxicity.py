@@ -1,16 +1,16 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
 A word enters as its hashed embedding beside the mean of the hashed embeddings of its byte 4-grams (word ends
-marked). All overlapping windows of `WIDTH` words, `STRIDE` apart, of a text are scored; attention pools the states of
-both directions within a window, and the highest window gives the text's score.
+marked). Overlapping windows of `WIDTH` words, `STRIDE` apart, cover all words of a text twice and are all scored;
+attention pools the states of both directions within a window, and the highest window gives the text's score.
 
-The network is fitted on the driver on a bounded sample of labelled rows: at most `POSITIVES` and `NEGATIVES` texts,
-chosen by a hash of doc_id, each with at most `WINDOWS_PER_TEXT` evenly spread windows. A text's label goes to
+The network is fitted on the driver on a bounded sample of labelled rows: at most `positives` and `negatives` texts,
+chosen by a hash of doc_id, without those of more than `LONGEST` bytes. Sampled texts are taken whole. A text's label goes to
 random windows at first, then to the one that the network ranks first (multiple instances); the highest windows of clean texts are taken up again as
 hard examples. Everything is seeded, so equal inputs give equal scores.
 
 Defined cases: a null or empty text is one window without words; without labels of both kinds every score is the
-share of toxic labels (0 without labels); of several labels of a doc_id the highest counts; repeated rows are scored
+share of toxic labels (0 without labels); of several labels of a doc_id the highest counts, of several texts the first in order is learned from; repeated rows are scored
 one by one; an empty table gives no rows; extra columns are not read, and one that is kept under the name of a result
 column is returned as <name>_kept.
 """
@@ -28,7 +28,7 @@ from .columnar import LOWER, U64, WORD_BY_ALNUM, Texts, Words, slices
 from .schema import carried, named, with_fields
 
 WIDTH, STRIDE = 32, 16
-POSITIVES, NEGATIVES, WINDOWS_PER_TEXT = 1200, 2400, 256
+POSITIVES, NEGATIVES, LONGEST = 1200, 2400, 1 << 16
 STEPS = 360
 #: Where a cut is set in the gap between clean and toxic texts of the sample; over a half to spare clean texts.
 MARGIN = 0.7
@@ -286,32 +286,16 @@ def score_texts(net: Network | float, texts: Texts) -> np.ndarray:
     return _sigmoid(np.maximum.reduceat(logit, np.searchsorted(text, np.arange(len(texts)))))
 
 
-def _excerpts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of at most WINDOWS_PER_TEXT windows: longer ones are cut to evenly spread windows."""
-    most = WINDOWS_PER_TEXT
-    for part in slices(batches):
-        texts = Texts(part.column("text"))
-        words = Words(texts, WORD_BY_ALNUM, True)
-        out = []
-        for i in range(len(texts)):
-            own = slice(words.at[i], words.at[i + 1])
-            starts, ends = words.starts[own], words.ends[own]
-            if len(starts) <= WIDTH * most:
-                out.append(texts.raw(i).decode())
-                continue
-            heads = np.linspace(0, len(starts) - WIDTH, most).astype(np.int64)
-            out.append(" ".join(texts.bytes[starts[k] : ends[k + WIDTH - 1]].tobytes().decode() for k in heads))
-        yield pa.RecordBatch.from_arrays([part.column("h"), part.column("toxic"), pa.array(out, pa.string())], names=["h", "toxic", "text"])
-
-
 def training_sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> tuple[list[str], list[int]]:
-    """At most `positives` and `negatives` labelled texts outside the held-out fifth, by a hash of doc_id."""
+    """At most `positives` and `negatives` labelled texts of at most LONGEST bytes outside the held-out fifth, by a hash of doc_id."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id", F.lit("toxic")))
     parts = [known.where(F.col("toxic") == kind).orderBy("h", "doc_id").limit(most) for kind, most in ((1, positives), (0, negatives))]
     chosen = parts[0].unionByName(parts[1])
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    rows = source.join(F.broadcast(chosen), "doc_id").select("h", "toxic", "text").mapInArrow(_excerpts, "h long, toxic int, text string").collect()
+    short = source.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST)
+    found = short.join(F.broadcast(chosen), "doc_id").groupBy("h").agg(F.max("toxic").alias("toxic"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = found.collect()
     rows = sorted(rows, key=lambda r: (r.h, r.text))
     return [r.text for r in rows], [int(r.toxic) for r in rows]
 

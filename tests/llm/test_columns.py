@@ -398,6 +398,35 @@ def test_network_gradients():
         assert g[k][at] == pytest.approx((up - down) / 2 / d, abs=3e-3)
 
 
+def test_network_against_loops():
+    """The batched forward pass, word by word and state by state."""
+    net = toxicity.Network(3)
+    t = texts("Some words here, and bad ones too", "x", "", " ".join(f"w{i}" for i in range(50)))
+    inputs = toxicity.Inputs(t)
+    text, first, size = inputs.windows()
+    assert text.tolist() == [0, 1, 2, 3, 3, 3] and size.tolist() == [7, 1, 0, 32, 32, 18] and (first[3:] - first[3]).tolist() == [0, 16, 32]
+    got = net.score_windows(inputs, first, size)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    d, h, p = toxicity.DIM, toxicity.HIDDEN, {k: v.astype(float) for k, v in net.p.items()}
+    for row, (a, n) in enumerate(zip(first, size, strict=True)):
+        x = [np.concatenate((p["word"][inputs.word[i]], p["gram"][inputs.gram[inputs.gram_at[i] : inputs.gram_at[i + 1]]].mean(0))) for i in range(a, a + n)]
+        states = []
+        for way in "fb":
+            s, out = np.zeros(h), []
+            for v in x if way == "f" else x[::-1]:
+                px, hu = v @ p[f"x{way}"] + p[f"c{way}"], s @ p[f"u{way}"]
+                z, r = sig(px[:h] + hu[:h]), sig(px[h : 2 * h] + hu[h : 2 * h])
+                new = np.tanh(px[2 * h :] + r * hu[2 * h :])
+                s = (1 - z) * new + z * s
+                out.append(s)
+            states.append(out if way == "f" else out[::-1])
+        both = [np.concatenate(v) for v in zip(*states, strict=True)]
+        e = np.array([np.tanh(v @ p["wa"] + p["ba"]) @ p["va"] for v in both])
+        w = np.exp(e - e.max(initial=0)) if n else e
+        pooled = sum((v * k for v, k in zip(both, w / w.sum(), strict=True)), np.zeros(2 * h)) if n else np.zeros(2 * h)
+        assert got[row] == pytest.approx(float(pooled @ p["wo"] + p["bo"][0]), abs=1e-5) and len(x) == n and d
+
+
 def test_toxicity_learns_words():
     r = random.Random(6)
     words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(200)]

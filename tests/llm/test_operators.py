@@ -281,6 +281,18 @@ def test_toxicity_filter(spark):
     assert len(kept ^ {i for i in range(240) if i % 3}) <= 6
 
 
+def test_training_sample_is_bounded(spark):
+    """Whole texts, none of more than LONGEST bytes, one for a doc_id, however often it is repeated."""
+    rows = [(i, f"text {i} " * 3) for i in range(40)] + [(7, "again")] * 30 + [(8, "x" * (toxicity.LONGEST + 1)), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    known = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    got, kinds = toxicity.training_sample(docs, labels, 6, 8)
+    assert sum(kinds) == 6 and len(kinds) == 14
+    got, kinds = toxicity.training_sample(docs, labels)
+    assert Counter(kinds) == Counter(i % 2 for i in known) and ("again" in got) == (7 in known) and max(map(len, got)) < 100
+
+
 def test_words_of_hit_spans(odd):
     bench = odd.where("doc_id = 0").select(F.col("doc_id").alias("item_id"), "text")
     rows = {r.doc_id: r.n for r in decontaminate.find_leaks(odd.where("doc_id in (0, 2, 6) and text <> 'other text, same id'"), bench).select("doc_id", decontaminate.n_hit().alias("n")).distinct().collect()}
