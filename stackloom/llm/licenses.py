@@ -1,10 +1,11 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
 Each license family contributes rules for its SPDX tag, grant sentence, name and address; further rules are sentences
-written for the text of one license each. A rule runs on a text only
-if its keywords all occur there. Keywords are read off the rule's own pattern: stretches of literal letters that every
-match holds, so a text without them can't match, however it is wrapped, hyphenated or spelt. Overlapping detections are settled by priority, then length, then position: a detection
-that lies within the interval of an accepted one is suppressed.
+written for the text of one license each. A rule runs on a text only if its keywords all occur there: one automaton finds
+the longest keyword of every rule in all texts of a block, and only then the rule's others are looked for. Keywords are
+read off the rule's own pattern: stretches of literal letters that every match holds, so a text without them can't match,
+however it is wrapped, hyphenated or spelt. Overlapping detections are settled by priority, then length, then position: a
+detection that lies within the interval of an accepted one is suppressed.
 
 Besides the rules, the base phrases are located word by word. Defined cases: a null text counts as empty and has no
 detection (score 0); very long texts are scanned whole, in time that grows with n log n of the detections; repeated rows
@@ -22,6 +23,7 @@ from functools import lru_cache
 from re import _constants as sre
 from re import _parser
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -421,6 +423,7 @@ def keywords_of(pattern: re.Pattern) -> tuple[frozenset[bytes], ...]:
     out = []
     for found in _literals(_parser.parse(pattern.pattern)):
         best = sorted((k for k in found if not any(k != x and k in x for x in found)), key=lambda k: (-len(k), k))
+        best = [k for k in best if len(k) > 2] or best
         enough = next((n for n in range(2, _KEYWORDS) if sum(map(len, best[:n])) >= _LETTERS), _KEYWORDS)
         out.append(frozenset(best[:enough]))
     return tuple(a for a in dict.fromkeys(out) if not any(b < a for b in out))
@@ -455,8 +458,24 @@ def rules() -> tuple[Rule, ...]:
 
 
 @lru_cache(maxsize=1)
-def all_keywords() -> tuple[bytes, ...]:
-    return tuple(sorted({k for r in rules() for a in r.keywords for k in a}))
+def anchored() -> dict[bytes, tuple[tuple[frozenset[bytes], int], ...]]:
+    """The longest keyword of each alternative -> (its other keywords, number of the rule)."""
+    out: dict[bytes, list[tuple[frozenset[bytes], int]]] = {}
+    for i, rule in enumerate(rules()):
+        for words in rule.keywords:
+            first = max(words, key=lambda k: (len(k), k))
+            out.setdefault(first, []).append((words - {first}, i))
+    return {k: tuple(v) for k, v in out.items()}
+
+
+@lru_cache(maxsize=1)
+def _automaton() -> tuple[ahocorasick.Automaton, np.ndarray]:
+    """All anchors as one automaton over bytes, and their lengths."""
+    machine = ahocorasick.Automaton()
+    for i, word in enumerate(anchored()):
+        machine.add_word(word.decode("latin-1"), i)
+    machine.make_automaton()
+    return machine, np.array([len(k) for k in anchored()])
 
 
 @dataclass(frozen=True)
@@ -488,25 +507,30 @@ def settle(found: list[Detection]) -> list[Detection]:
     return sorted(kept, key=lambda d: (d.start, d.end, d.label))
 
 
-def scan(text: bytes, keywords: set[bytes] | None = None) -> list[Detection]:
-    """Detections in a lower-cased text. keywords: those known to occur; found here if not given."""
-    if keywords is None:
-        keywords = {k for k in all_keywords() if k in text}
-    return settle([Detection(r.label, *m.span("id" if "id" in r.pattern.groupindex else 0), r.priority, r.weight) for r in rules() if any(keywords.issuperset(a) for a in r.keywords) for m in r.pattern.finditer(text)])
-
-
-def keyword_texts(blob: bytes, offsets: np.ndarray, keywords: Iterable[bytes]) -> dict[int, set[bytes]]:
-    """text number -> keywords in it, by a search of all texts at once; matches across texts don't count."""
-    out: dict[int, set[bytes]] = {}
-    for word in keywords:
-        at = blob.find(word)
-        while at >= 0:
-            i = int(np.searchsorted(offsets, at, "right")) - 1
-            if at + len(word) <= offsets[i + 1]:
-                out.setdefault(i, set()).add(word)
-                at = blob.find(word, int(offsets[i + 1]))  # the rest of this text tells nothing new
-            else:
-                at = blob.find(word, at + 1)
+def scan(text: bytes, anchors: Iterable[bytes] | None = None, filtered: bool = True) -> list[Detection]:
+    """Detections in a lower-cased text. anchors: those known to occur; found here if not given. filtered: only rules with all keywords are tried."""
+    if filtered:
+        own = [k for k in anchored() if k in text] if anchors is None else anchors
+        numbers = sorted({i for a in own for others, i in anchored()[a] if all(k in text for k in others)})
+    else:
+        numbers = range(len(rules()))
+    tried = [rules()[i] for i in numbers]
+    return settle([Detection(r.label, *m.span("id" if "id" in r.pattern.groupindex else 0), r.priority, r.weight) for r in tried for m in r.pattern.finditer(text)])
+
+
+def anchor_texts(blob: bytes, offsets: np.ndarray) -> dict[int, set[bytes]]:
+    """text number -> anchors in it, by one walk over all texts; matches across texts don't count."""
+    machine, sizes = _automaton()
+    found = list(machine.iter(blob.decode("latin-1")))
+    if not found:
+        return {}
+    last, number = np.array(found, np.int64).T
+    first = last + 1 - sizes[number]
+    text = np.searchsorted(offsets, first, "right") - 1
+    inside = last < offsets[text + 1]
+    words, out = list(anchored()), {}
+    for i, k in np.unique(np.stack((text, number), 1)[inside], axis=0).tolist():
+        out.setdefault(i, set()).add(words[k])
     return out
 
 
@@ -533,7 +557,6 @@ SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_label
 
 
 def _scan_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keywords = all_keywords()
     for part in slices(batches):
         texts = Texts(part.column("text"))
         words = Words(texts, WORD_BY_ALNUM, True)
@@ -548,7 +571,7 @@ def _scan_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 first[d] = w if first[d] < 0 else min(first[d], w)
                 last[d] = max(last[d], w)
                 labels.setdefault(d, set()).add(label)
-        found = {i: scan(blob[texts.offsets[i] : texts.offsets[i + 1]], ks) for i, ks in keyword_texts(blob, texts.offsets, keywords).items()}
+        found = {i: scan(blob[texts.offsets[i] : texts.offsets[i + 1]], ks) for i, ks in anchor_texts(blob, texts.offsets).items()}
         score = [1.0 if i in labels else 1 - float(np.prod([1 - d.weight for d in found.get(i, ())])) for i in range(n)]
         none = first < 0
         yield pa.RecordBatch.from_arrays(
