@@ -1,21 +1,20 @@
 """Sequences and ordered trees of calls, and their differences.
 
 Comparing two processes depends on order, so each pair is compared by one Python call on the executors; pairs are
-spread over the cluster. Differences are lists of (op, seq) with op -1 delete, 1 insert, 0 equal, in canonical form:
+spread over the cluster. A difference is a shortest one, found in linear space and in time that grows with the lengths
+times the number of edits, by the same steps at all sizes. Differences are lists of (op, seq) with op -1 delete, 1 insert, 0 equal, in canonical form:
 neighbouring entries differ in op, and a delete stands before an adjacent insert.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DELETE, EQUAL, INSERT = -1, 0, 1
-TABLE_CELLS = 4_000_000
 Ops = list[tuple[int, list[int]]]
 
 
@@ -69,55 +68,60 @@ def canonical(ops: Ops) -> Ops:
     return out
 
 
-def _table_diff(a: Sequence[int], b: Sequence[int]) -> Ops:
-    """By the table of longest common subsequences of all ends; deletes first among equals."""
+def _middle(a: Sequence[int], b: Sequence[int]) -> tuple[int, int]:
+    """A place (i, j) on a shortest edit path, where searches from both ends meet (Myers 1986); neither side is empty."""
     n, m = len(a), len(b)
-    table = np.zeros((n + 1, m + 1), np.int32)
-    right = np.asarray(b)
-    for i in range(n - 1, -1, -1):
-        same = np.where(right == a[i], table[i + 1, 1:] + 1, table[i + 1, :-1])
-        table[i, :-1] = np.maximum.accumulate(same[::-1])[::-1] if m else same
-    ops, i, j = [], 0, 0
-    while i < n and j < m:
-        if a[i] == b[j]:
-            ops.append((EQUAL, [a[i]]))
-            i, j = i + 1, j + 1
-        elif table[i + 1, j] >= table[i, j + 1]:
-            ops.append((DELETE, [a[i]]))
-            i += 1
+    delta = n - m
+    odd = delta % 2 != 0
+    offset = (n + m + 1) // 2 + 2
+    ahead, back = [0] * (2 * offset + 1), [0] * (2 * offset + 1)  # farthest i on each diagonal, from either end
+    for d in range(offset):
+        low, high = -d + 2 * max(0, d - m), d - 2 * max(0, d - n)
+        for k in range(low, high + 1, 2):
+            at = offset + k
+            i = ahead[at + 1] if k == -d or (k != d and ahead[at - 1] < ahead[at + 1]) else ahead[at - 1] + 1
+            j = i - k
+            while i < n and j < m and a[i] == b[j]:
+                i, j = i + 1, j + 1
+            ahead[at] = i
+            if odd and abs(delta - k) < d and i + back[offset + delta - k] >= n:
+                return i, j
+        for k in range(low, high + 1, 2):
+            at = offset + k
+            i = back[at + 1] if k == -d or (k != d and back[at - 1] < back[at + 1]) else back[at - 1] + 1
+            j = i - k
+            while i < n and j < m and a[n - 1 - i] == b[m - 1 - j]:
+                i, j = i + 1, j + 1
+            back[at] = i
+            if not odd and abs(delta - k) <= d and i + ahead[offset + delta - k] >= n:
+                return n - i, m - j
+    raise AssertionError("the searches must meet")
+
+
+def _shortest(a: Sequence[int], b: Sequence[int]) -> Ops:
+    """A shortest difference in linear space: common ends are taken off, the rest is split where a shortest path is half done."""
+    out: Ops = []
+    stack: list = [(a, b)]
+    while stack:
+        a, b = stack.pop()
+        if isinstance(a, int):
+            out.append((a, b))
+            continue
+        head = 0
+        while head < min(len(a), len(b)) and a[head] == b[head]:
+            head += 1
+        tail = 0
+        while tail < min(len(a), len(b)) - head and a[len(a) - 1 - tail] == b[len(b) - 1 - tail]:
+            tail += 1
+        out.append((EQUAL, list(a[:head])))
+        x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+        stack.append((EQUAL, list(a[len(a) - tail :])))
+        if x and y:
+            i, j = _middle(x, y)
+            stack += [(x[i:], y[j:]), (x[:i], y[:j])]
         else:
-            ops.append((INSERT, [b[j]]))
-            j += 1
-    return [*ops, (DELETE, list(a[i:])), (INSERT, list(b[j:]))]
-
-
-def _lengths(a: Sequence[int], b: np.ndarray) -> np.ndarray:
-    """Longest common subsequence of a with each beginning of b."""
-    row = np.zeros(len(b) + 1, np.int32)
-    for x in a:
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(b == x, row[:-1] + 1, 0)))
-    return row
-
-
-def _halved_diff(a: Sequence[int], b: Sequence[int]) -> Ops:
-    """For sequences whose table would be too large: halves a where both sides match most, in linear space."""
-    if not len(a) or not len(b) or len(a) == 1 or len(a) * len(b) <= TABLE_CELLS:
-        return _table_diff(a, b)
-    half, right = len(a) // 2, np.asarray(b)
-    both = _lengths(a[:half], right) + _lengths(a[half:][::-1], right[::-1])[::-1]
-    cut = int(both.argmax())
-    return _halved_diff(a[:half], b[:cut]) + _halved_diff(a[half:], b[cut:])
-
-
-def _trimmed(a: Sequence[int], b: Sequence[int]) -> Ops:
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[len(a) - 1 - tail] == b[len(b) - 1 - tail]:
-        tail += 1
-    middle = _halved_diff(a[head : len(a) - tail], b[head : len(b) - tail])
-    return [(EQUAL, list(a[:head])), *middle, (EQUAL, list(a[len(a) - tail :]))]
+            out += [(DELETE, list(x)), (INSERT, list(y))]
+    return out
 
 
 def flat_diff(a: Sequence[int], b: Sequence[int], anchors: Sequence[tuple[int, int]] = ()) -> Ops:
@@ -126,10 +130,10 @@ def flat_diff(a: Sequence[int], b: Sequence[int], anchors: Sequence[tuple[int, i
     ops: Ops = []
     i = j = 0
     for p, q in anchors:
-        ops += _trimmed(a[i:p], b[j:q])
+        ops += _shortest(a[i:p], b[j:q])
         ops += [(EQUAL, [a[p]])] if a[p] == b[q] else [(DELETE, [a[p]]), (INSERT, [b[q]])]
         i, j = p + 1, q + 1
-    return canonical(ops + _trimmed(a[i:], b[j:]))
+    return canonical(ops + _shortest(a[i:], b[j:]))
 
 
 def flat_scores(ops: Ops) -> tuple[int, int, int]:
@@ -139,19 +143,19 @@ def flat_scores(ops: Ops) -> tuple[int, int, int]:
 
 
 class Tree:
-    """An ordered call tree; the root has no function."""
+    """An ordered call tree; the root has no function. at: the number of the call within its process, 0 for the root."""
 
-    __slots__ = ("function", "calls")
+    __slots__ = ("function", "calls", "at")
 
-    def __init__(self, function: int = 0):
-        self.function, self.calls = function, []
+    def __init__(self, function: int = 0, at: int = 0):
+        self.function, self.calls, self.at = function, [], at
 
     @staticmethod
     def of(depths: Sequence[int], functions: Sequence[int]) -> Tree:
         stack = [Tree()]
-        for depth, function in zip(depths, functions, strict=True):
+        for at, (depth, function) in enumerate(zip(depths, functions, strict=True), 1):
             del stack[int(depth) :]
-            node = Tree(int(function))
+            node = Tree(int(function), at)
             stack[-1].calls.append(node)
             stack.append(node)
         return stack[0]
@@ -212,19 +216,21 @@ def tree_scores(a: Tree, b: Tree) -> tuple[int, int, int]:
     return score, min(lengths), max(lengths)
 
 
-def long_matches(a: Tree, b: Tree, least: int = 10_000) -> list[tuple[list[int], int, int]]:
-    """(path of functions, children in a, children in b) of matched nodes with at least `least` children together."""
+def long_matches(a: Tree, b: Tree, least: int = 10_000) -> list[tuple[list[int], Tree, Tree]]:
+    """(path of functions, node in a, node in b) of matched nodes with at least `least` children together, top down."""
     out, queue = [], [([], a, b)]
     while queue:
         path, x, y = queue.pop()
         if len(x.calls) + len(y.calls) >= least:
-            out.append((path, len(x.calls), len(y.calls)))
+            out.append((path, x, y))
         i = j = 0
+        matched = []
         for op, seq in flat_diff([k.function for k in x.calls], [k.function for k in y.calls]):
             for f in seq:
                 if op == EQUAL:
-                    queue.append(([*path, f], x.calls[i], y.calls[j]))
+                    matched.append(([*path, f], x.calls[i], y.calls[j]))
                 i, j = i + (op != INSERT), j + (op != DELETE)
+        queue += reversed(matched)
     return out
 
 
@@ -235,18 +241,22 @@ def _paired(sequences: DataFrame, pairs: DataFrame, *columns: str) -> DataFrame:
     return low.join(side("p", "a"), "p").join(side("q", "b"), "q")
 
 
-def diff_pairs(sequences: DataFrame, pairs: DataFrame) -> DataFrame:
-    """p, q, ops, score, achievable and most of the flat difference of each pair."""
+def diff_pairs(sequences: DataFrame, pairs: DataFrame, anchors: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """p, q, ops, score, achievable and most of the flat difference of each pair.
+
+    anchors: from the two sequences, an array of structs (p, q) of places to be aligned, in ascending order.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for r in part.itertuples():
-                ops = flat_diff(r.seq_a, r.seq_b)
-                rows.append((r.p, r.q, [{"op": o, "seq": s} for o, s in ops], *flat_scores(ops)))
+            for p, q, a, b, fixed in zip(part.p, part.q, part.seq_a, part.seq_b, part.fixed, strict=True):
+                ops = flat_diff(a, b, [(x["p"], x["q"]) for x in fixed])
+                rows.append((p, q, [{"op": o, "seq": s} for o, s in ops], *flat_scores(ops)))
             yield pd.DataFrame(rows, columns=["p", "q", "ops", "score", "achievable", "most"])
 
-    return _paired(sequences, pairs, "seq").select("p", "q", "seq_a", "seq_b").mapInPandas(run, "p long, q long, ops array<struct<op:int,seq:array<int>>>, score int, achievable int, most int")
+    fixed = anchors(F.col("seq_a"), F.col("seq_b")) if anchors else F.array()
+    return _paired(sequences, pairs, "seq").select("p", "q", "seq_a", "seq_b", fixed.cast("array<struct<p:int,q:int>>").alias("fixed")).mapInPandas(run, "p long, q long, ops array<struct<op:int,seq:array<int>>>, score int, achievable int, most int")
 
 
 def _whole(trees: DataFrame) -> DataFrame:
@@ -256,14 +266,20 @@ def _whole(trees: DataFrame) -> DataFrame:
 
 
 def long_match_pairs(trees: DataFrame, pairs: DataFrame, least: int = 10_000) -> DataFrame:
-    """p, q, path, children_p, children_q: matched nodes whose lists of children have at least `least` entries together."""
+    """p, q, number, path, children_p, children_q: matched nodes whose lists of children have at least `least` entries together.
+
+    calls_p and calls_q are the numbers of the first and last call below each node within its process.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [(r.p, r.q, path, n, m) for r in part.itertuples() for path, n, m in long_matches(Tree.of(r.d_a, r.f_a), Tree.of(r.d_b, r.f_b), least)]
-            yield pd.DataFrame(rows, columns=["p", "q", "path", "children_p", "children_q"])
+            rows = []
+            for p, q, d_a, f_a, d_b, f_b in zip(part.p, part.q, part.d_a, part.f_a, part.d_b, part.f_b, strict=True):
+                for k, (path, x, y) in enumerate(long_matches(Tree.of(d_a, f_a), Tree.of(d_b, f_b), least), 1):
+                    rows.append((p, q, k, path, len(x.calls), len(y.calls), [x.at + 1, x.at + x.size()], [y.at + 1, y.at + y.size()]))
+            yield pd.DataFrame(rows, columns=["p", "q", "number", "path", "children_p", "children_q", "calls_p", "calls_q"])
 
-    return _paired(_whole(trees), pairs, "d", "f").select("p", "q", "d_a", "f_a", "d_b", "f_b").mapInPandas(run, "p long, q long, path array<int>, children_p int, children_q int")
+    return _paired(_whole(trees), pairs, "d", "f").select("p", "q", "d_a", "f_a", "d_b", "f_b").mapInPandas(run, "p long, q long, number int, path array<int>, children_p int, children_q int, calls_p array<int>, calls_q array<int>")
 
 
 def diff_trees(trees: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -272,9 +288,9 @@ def diff_trees(trees: DataFrame, pairs: DataFrame) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for r in part.itertuples():
-                a, b = Tree.of(r.d_a, r.f_a), Tree.of(r.d_b, r.f_b)
-                rows.append((r.p, r.q, [{"op": o, "pos_path": w, "function": f} for o, w, f in tree_diff(a, b)], *tree_scores(a, b)))
+            for p, q, d_a, f_a, d_b, f_b in zip(part.p, part.q, part.d_a, part.f_a, part.d_b, part.f_b, strict=True):
+                a, b = Tree.of(d_a, f_a), Tree.of(d_b, f_b)
+                rows.append((p, q, [{"op": o, "pos_path": w, "function": f} for o, w, f in tree_diff(a, b)], *tree_scores(a, b)))
             yield pd.DataFrame(rows, columns=["p", "q", "rows", "score", "achievable", "most"])
 
     return _paired(_whole(trees), pairs, "d", "f").select("p", "q", "d_a", "f_a", "d_b", "f_b").mapInPandas(run, "p long, q long, rows array<struct<op:int,pos_path:array<int>,function:int>>, score int, achievable int, most int")

@@ -4,8 +4,8 @@
     <name>.0.def           DP<id>NM"name"[PT<parent>]  DFG<id>NM"name"  DF<id>G<group>NM"name"
     <name>.<stream>.events <time>, *<process> (both hold until changed), E<function>, L[<function>]
 
-Files are read by Spark's text reader, so any file system it knows will do. A selection of processes prunes the
-event files to the streams that hold them.
+Files are read by Spark's text reader, so any file system it knows will do, and large files are split. A selection of
+processes prunes the event files to the streams that hold them. Ids that are defined twice are an error.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import seqdiff
+
 
 @dataclass
 class Trace:
@@ -29,10 +31,17 @@ def _hex(c: Column) -> Column:
     return F.conv(c, 16, 10).cast("long")
 
 
-def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file, line number and text of each line."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    return whole.select("file", F.col("line").cast("long"), F.trim("value").alias("value")).where("value <> ''")
+def number_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, line number and text of each line. Files are split as any text; lines are numbered by split and place."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+    number = F.row_number().over(Window.partitionBy("file").orderBy("block", "place")) - 1
+    return rows.select("file", number.cast("long").alias("line"), F.trim("value").alias("value")).where("value <> ''")
+
+
+def defined_once(rows: DataFrame, column: str) -> None:
+    """Definitions name each id once."""
+    if twice := rows.groupBy(column).count().where("count > 1").orderBy(column).first():
+        raise ValueError(f"{column} {twice[0]} has already been defined")
 
 
 def read_trace(spark: SparkSession, path: str, trace_id: int = 1, processes: list[int] | None = None) -> Trace:
@@ -40,8 +49,8 @@ def read_trace(spark: SparkSession, path: str, trace_id: int = 1, processes: lis
     base = path.removesuffix(".otf")
     me = F.lit(trace_id).alias("trace_id")
     parts = F.split("value", ":")
-    streams = _lines(spark, f"{base}.otf").select(me, _hex(parts[0]).cast("int").alias("stream"), F.explode(F.split(parts[1], ",")).alias("p")).select("trace_id", "stream", _hex(F.col("p")).alias("process"))
-    defs = _lines(spark, f"{base}.0.def").select("value")
+    streams = number_lines(spark, f"{base}.otf").select(me, _hex(parts[0]).cast("int").alias("stream"), F.explode(F.split(parts[1], ",")).alias("p")).select("trace_id", "stream", _hex(F.col("p")).alias("process"))
+    defs = number_lines(spark, f"{base}.0.def").select("value")
 
     def found(pattern: str, *fields: tuple[str, str]) -> DataFrame:
         rows = defs.where(F.col("value").rlike(pattern))
@@ -51,13 +60,16 @@ def read_trace(spark: SparkSession, path: str, trace_id: int = 1, processes: lis
     procs = found(r'^DP([0-9A-Fa-f]+)NM"([^"]*)"(?:PT([0-9A-Fa-f]+))?', ("process", "long"), ("name", "string"), ("parent", "long"))
     functions = found(r'^DF([0-9A-Fa-f]+)G([0-9A-Fa-f]+)NM"([^"]*)"', ("token", "int"), ("grp", "int"), ("name", "string")).select("trace_id", "token", "name", "grp")
     groups = found(r'^DFG([0-9A-Fa-f]+)NM"([^"]*)"', ("grp", "int"), ("name", "string"))
+    defined_once(procs, "process")
+    defined_once(functions, "token")
+    defined_once(groups, "grp")
     wanted = streams if not processes else streams.where(F.col("process").isin(processes))
     names = [f"{base}.{r.stream:x}.events" for r in wanted.select("stream").distinct().orderBy("stream").collect()]
     if not names:
         raise ValueError("no such processes in this trace")
     seq = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     value = F.col("value")
-    raw = _lines(spark, names).select(
+    raw = number_lines(spark, names).select(
         "file",
         "line",
         "value",
@@ -81,44 +93,94 @@ def read_trace(spark: SparkSession, path: str, trace_id: int = 1, processes: lis
 
 def unified_events(events: DataFrame, unifier: DataFrame) -> DataFrame:
     """events with unified functions; enters of unknown tokens are an error when the rows are read."""
-    known = events.join(F.broadcast(unifier), ["trace_id", "token"], "left")
+    known = events.join(unifier, ["trace_id", "token"], "left")
     missing = (F.col("kind") == "E") & F.col("function").isNull()
     return known.withColumn("function", F.when(missing, F.raise_error(F.concat(F.lit("unknown function token "), F.col("token").cast("string"))).cast("int")).otherwise(F.col("function")))
 
 
-def write_trace(calls: DataFrame, names: DataFrame, path: str) -> None:
-    """Calls as a trace: functions numbered anew from 1 by id, time counting 1, 2, 3, ... within each process.
+def event_lines(calls: DataFrame, tokens: DataFrame) -> DataFrame:
+    """process, t, line: enters and leaves of calls with `path`, in order, at times 1, 2, 3, ... within each process.
 
-    Event lines are put in order by Spark, one file a process; names: function, name.
+    After a call come the leaves of all calls that end before the next one begins: those on its path from its own depth
+    up to the depth of the next. tokens: function, token.
+    """
+    order = Window.partitionBy("process").orderBy("t_begin", "call_id")
+    depth = F.size("path")
+    left = F.greatest(depth - F.coalesce(F.lead(depth).over(order), F.lit(1)) + 1, F.lit(0))
+    steps = calls.select("process", "function", F.row_number().over(order).alias("i"), F.concat(F.array(F.lit("E")), F.array_repeat(F.lit("L"), left)).alias("kinds"))
+    steps = steps.join(tokens, "function").select("process", "i", "token", F.posexplode("kinds").alias("k", "kind"))
+    timed = steps.withColumn("t", F.row_number().over(Window.partitionBy("process").orderBy("i", "k")).cast("long"))
+    what = F.when(F.col("kind") == "E", F.concat(F.lit("E"), F.lower(F.hex("token")))).otherwise("L")
+    return timed.select("process", "t", F.concat(F.lower(F.hex("t")), F.lit("\n"), what).alias("line"))
+
+
+def write_trace(calls: DataFrame, names: DataFrame, path: str, processes: DataFrame | None = None) -> None:
+    """Calls with `path` as a trace: functions numbered anew from 1 by id, time counting 1, 2, 3, ... within each process.
+
+    names: function, name; processes: process, name. Event files are written by Spark, one a process, and then given
+    their names; only definitions pass through the driver.
     """
     spark = calls.sparkSession
-    used = calls.select("function").distinct().join(names, "function", "left").withColumn("token", F.row_number().over(Window.orderBy("function"))).cache()
-    enter = calls.select("process", F.col("call_id").alias("at"), F.lit("E").alias("kind"), "function", "depth", "t_begin", "t_end", "call_id")
-    end = calls.select("process", "call_id", "function", "depth")
-    # A call ends after its last descendant: order leaves by the call that follows in enter order.
-    order = Window.partitionBy("process").orderBy("call_id")
-    nexts = end.withColumn("i", F.row_number().over(order))
-    last = nexts.alias("c").join(nexts.alias("d"), (F.col("c.process") == F.col("d.process")) & (F.col("d.i") > F.col("c.i")) & (F.col("d.depth") <= F.col("c.depth")), "left").groupBy("c.process", "c.call_id", "c.function", "c.depth").agg(F.min("d.call_id").alias("before"))
-    far = F.lit(2**62)
-    events = enter.select("process", "function", F.col("call_id").alias("key"), F.lit(1).alias("late"), F.lit(0).alias("deep"), "kind").unionByName(
-        last.select("process", "function", F.coalesce("before", far).alias("key"), F.lit(0).alias("late"), (-F.col("depth")).alias("deep"), F.lit("L").alias("kind"))
-    )
-    numbered = events.join(F.broadcast(used.select("function", "token")), "function").withColumn("t", F.row_number().over(Window.partitionBy("process").orderBy("key", "late", "deep")))
-    line = F.concat(F.lower(F.hex("t")), F.lit("\n"), "kind", F.lower(F.hex("token")))
-    body = numbered.groupBy("process").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", line.alias("s")))), lambda x: x.s), "\n").alias("s"))
-    texts = [(r.process, r.s) for r in body.select("process", F.concat(F.lit("*"), F.lower(F.hex("process")), F.lit("\n"), "s", F.lit("\n")).alias("s")).orderBy("process").toLocalIterator()]
+    used = calls.select("function").distinct().join(names, "function", "left").withColumn("token", F.row_number().over(Window.orderBy("function")))
+    rows = used.orderBy("token").collect()
+    tokens = spark.createDataFrame([(r.function, r.token) for r in rows], "function int, token long")
+    own = calls.select("process").distinct()
+    own = own.join(processes.select("process", "name"), "process", "left") if processes is not None else own.withColumn("name", F.lit(None).cast("string"))
+    ids = own.orderBy("process").collect()
     base = path.removesuffix(".otf")
-    defs = ["DTR1"] + [f'DP{p:x}NM"Process {p}"' for p, _ in texts] + ['DFG1NM"Functions"'] + [f'DF{r.token:x}G1NM"{r.name or r.function}"' for r in used.orderBy("token").collect()]
-    _put(spark, f"{base}.otf", "".join(f"{p:x}:{p:x}\n" for p, _ in texts))
+    head = own.select("process", F.lit(0).cast("long").alias("t"), F.concat(F.lit("0\n*"), F.lower(F.hex("process"))).alias("line"))
+    body = event_lines(calls, tokens).unionByName(head)
+    folder = f"{base}.parts"
+    body.repartition("process").sortWithinPartitions("process", "t").select(F.col("process").alias("p"), F.col("line").alias("value")).write.mode("overwrite").partitionBy("p").text(folder)
+    for r in ids:
+        _rename(spark, f"{folder}/p={r.process}", f"{base}.{r.process:x}.events")
+    _delete(spark, folder)
+    defs = ["DTR1"] + [f'DP{r.process:x}NM"{r.name or f"Process {r.process}"}"' for r in ids] + ['DFG3e8NM"Application"'] + [f'DF{r.token:x}G3e8NM"{r.name or r.function}"' for r in rows]
+    _put(spark, f"{base}.otf", "".join(f"{r.process:x}:{r.process:x}\n" for r in ids))
     _put(spark, f"{base}.0.def", "\n".join(defs) + "\n")
-    for p, s in texts:
-        _put(spark, f"{base}.{p:x}.events", s)
+
+
+def extract_long(paths: DataFrame, p: int, q: int, names: DataFrame, path: str, least: int = 10_000, processes: DataFrame | None = None) -> list[str]:
+    """Writes a trace for each pair of matched nodes of two processes with at least `least` children together.
+
+    It holds the calls below both nodes; its name tells the processes, the number of the match and the children.
+    """
+    spark, base = paths.sparkSession, path.removesuffix(".otf2").removesuffix(".otf")
+    p, q = sorted((p, q))
+    trees = seqdiff.tree_sequences(paths)
+    found = seqdiff.long_match_pairs(trees, spark.createDataFrame([(p, q)], "p long, q long"), least).orderBy("number").collect()
+    numbered = paths.where(F.col("process").isin(p, q)).withColumn("i", F.row_number().over(Window.partitionBy("process").orderBy("t_begin", "call_id")))
+    out = []
+    for r in found:
+        below = ((F.col("process") == p) & F.col("i").between(*r.calls_p)) | ((F.col("process") == q) & F.col("i").between(*r.calls_q))
+        calls = numbered.where(below).withColumn("path", F.slice("path", len(r.path) + 1, F.size("path")))
+        out.append(f"{base}-extract-p{p}-p{q}-{r.number}-{r.children_p}-{r.children_q}.otf")
+        write_trace(calls, names, out[-1], processes)
+    return out
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _rename(spark: SparkSession, folder: str, target: str) -> None:
+    """The one part file of a folder becomes `target`."""
+    at, fs = _path(spark, folder)
+    part = next(s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("part-"))
+    to, _ = _path(spark, target)
+    fs.delete(to, False)
+    fs.rename(part, to)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at, fs = _path(spark, path)
+    fs.delete(at, True)
 
 
 def _put(spark: SparkSession, path: str, content: str) -> None:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    target, fs = _path(spark, path)
+    out = fs.create(target, True)
     try:
         out.write(bytearray(content.encode()))
     finally:

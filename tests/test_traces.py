@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from stackloom.operators import calltree, context, lattice, profiles, render, seqdiff, similarity, stack, unifier
 from stackloom.sources import otf1
+from stackloom.sources import traces as open_traces
 from tests import traces
 
 
@@ -151,3 +152,84 @@ def test_written_trace_reads_back(spark, tmp_path):
     assert render.similarity_lines(similarity.compare(calls, "scm")).first().line == "1.00 0.71"
     assert render.tikz(render.rectangles(calls)).count() == calls.count()
     assert render.named(profiles.call_list(calls), names).where(F.col("function") == "F1").count() == 2
+
+
+PRINTED = """=== OTF2-PRINT ===
+
+=== Content of OTF2 global definitions ===
+
+STRING                     0  "main"
+STRING                     1  "MPI_Send"
+STRING                     2  "Master thread"
+STRING                     3  "MPI Rank 0"
+STRING                     4  "cuda kernel"
+LOCATION_GROUP             0  Name: "MPI Rank 0" <3>, Type: PROCESS, Parent: "node" <0>
+LOCATION                   0  Name: "Master thread" <2>, Type: CPU_THREAD, # Events: 6, Group: "MPI Rank 0" <0>
+LOCATION          4294967296  Name: "Master thread" <2>, Type: GPU, # Events: 2, Group: "MPI Rank 0" <0>
+LOCATION                   7  Name: "Master thread" <2>, Type: METRIC, # Events: 2, Group: "MPI Rank 0" <0>
+REGION                     0  Name: "main" <0> (Aka. "main" <0>), Descr.: "" <0>, Role: FUNCTION, Paradigm: COMPILER, File: "a.c" <0>
+REGION                     1  Name: "MPI_Send" <1>, Role: POINT2POINT, Paradigm: MPI
+REGION                     2  Name: <4>, Role: FUNCTION, Paradigm: CUDA
+
+=== Events ===
+
+ENTER                      0                   10  Region: "main" <0>
+METRIC                     7                   11  Metric: 0, 1 Value: ("x" <0>; UINT64; 5)
+ENTER                      7                   11  Region: "main" <0>
+ENTER                      0                   12  Region: "MPI_Send" <1>
+ENTER             4294967296                   12  Region: <2>
+LEAVE                      0                   15  Region: "MPI_Send" <1>
+LEAVE             4294967296                   19  Region: <2>
+LEAVE                      0                   20  Region: "main" <0>
+"""
+
+
+def test_printed_trace(spark, tmp_path):
+    """Names by string and group, groups by paradigm, metric locations left out, ids defined twice refused."""
+    path = tmp_path / "p.txt"
+    path.write_text(PRINTED)
+    trace = open_traces.open_trace(spark, str(path))
+    assert {(r.process, r.name) for r in trace.processes.collect()} == {(0, "Master thread:MPI Rank 0"), (1 << 32, "Master thread:MPI Rank 0")}
+    assert {(r.token, r.name, r.grp) for r in trace.functions.collect()} == {(0, "main", 1), (1, "MPI_Send", 2), (2, "cuda kernel", 5)}
+    assert {r.name for r in trace.groups.collect()} == {"Application", "MPI", "OpenMP", "Pthreads", "CUDA"}
+    assert {(r.grp, tuple(r.tokens)) for r in open_traces.group_members(trace.functions).collect()} == {(1, (0,)), (2, (1,)), (5, (2,))}
+    calls = stack.calls_from_events(otf1.unified_events(trace.events, unifier.unify(trace.functions)))
+    assert {(r.process, r.function, r.caller, r.t_begin, r.t_end, r.exclusive) for r in calls.collect()} == {(0, 1, 0, 10, 20, 7), (0, 2, 1, 12, 15, 3), (1 << 32, 3, 0, 12, 19, 7)}
+    assert open_traces.open_trace(spark, str(path), processes=[0]).events.select("process").distinct().count() == 1
+    path.write_text(PRINTED.replace("REGION                     2 ", "REGION                     1 "))
+    with pytest.raises(ValueError, match="already been defined"):
+        open_traces.open_trace(spark, str(path))
+    path.write_text("hello\n")
+    with pytest.raises(ValueError, match="neither"):
+        open_traces.open_trace(spark, str(path))
+    with pytest.raises(ValueError, match="opened"):
+        open_traces.open_trace(spark, str(tmp_path / "none"))
+
+
+def test_long_event_files_are_split(spark, tmp_path):
+    """Lines keep their order across the splits of a file."""
+    n = 4000
+    text = "*1\n" + "".join(f"{2 * i + 1:x}\nE1\n{2 * i + 2:x}\nL\n" for i in range(n))
+    path = traces.write(tmp_path, "long", {1: text})
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3k")
+    try:
+        trace, calls = calls_of(spark, path)
+        assert trace.events.rdd.getNumPartitions() >= 1 and calls.where("inclusive = 1 and t_begin = 2 * (t_begin div 2) + 1").count() == n
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_extraction(spark, tmp_path):
+    """Matched nodes with many children are written with what lies below them, as traces of their own."""
+    a, b = [(1, (2, (5,), (5,), (5, (6,))), (3,))], [(1, (2, (5,), (5,)), (4,))]
+    _, calls = calls_of(spark, traces.write(tmp_path, "x", {1: traces.event_lines(a, 1), 2: traces.event_lines(b, 2)}))
+    calls = stack.call_paths(calls).cache()
+    names = spark.createDataFrame([(f, f"F{f}") for f in range(1, 16)], "function int, name string")
+    found = otf1.extract_long(calls, 2, 1, names, str(tmp_path / "x.otf"), 5)
+    assert [f.rpartition("/")[2] for f in found] == ["x-extract-p1-p2-1-3-2.otf"]
+    trace, again = calls_of(spark, found[0])
+    assert {r.name for r in trace.functions.collect()} == {"F5", "F6"}
+    tours = {r.process: r.seq for r in seqdiff.flat_sequences(stack.call_paths(again)).collect()}
+    assert tours == {1: [1, 1, 1, 2, 1], 2: [1, 1]}
+    assert len(otf1.extract_long(calls, 1, 2, names, str(tmp_path / "x.otf"), 4)) == 2

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+# The small traces, contexts and expected results below are known cases that any implementation must meet.
+
 #: Similarity fixtures: a node is (function, children...).
 SIMILAR = {
     "a": ([(1, (3, (2, (4, (5,)), (5,))), (2, (4, (5,)), (5,)))], [(1, (2, (4, (5,)), (5,)))]),
