@@ -21,9 +21,17 @@ def intents(context: DataFrame) -> DataFrame:
     return context.groupBy("object").agg(F.sort_array(F.collect_set("attr")).alias("intent"))
 
 
+def distinct_intents(context: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(first, intent and n of each group of objects with equal attributes; object, first). Groups of any size stay rows."""
+    own = checkpointed(intents(context))
+    groups = checkpointed(own.groupBy("intent").agg(F.min("object").alias("first"), F.count(F.lit(1)).alias("n")))
+    members = own.join(groups.select("intent", "first"), "intent").select("object", "first")
+    return groups, members
+
+
 def equality_groups(context: DataFrame) -> DataFrame:
-    """Objects with equal attributes: intent, sorted objects, least object, in order of the least object."""
-    return intents(context).groupBy("intent").agg(F.sort_array(F.collect_list("object")).alias("objects"), F.min("object").alias("first")).orderBy("first")
+    """For display: intent, sorted objects, least object."""
+    return intents(context).groupBy("intent").agg(F.sort_array(F.collect_list("object")).alias("objects"), F.min("object").alias("first"))
 
 
 def transitive(context: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import checkpointed
-from .context import equality_groups, intents
+from .context import distinct_intents, equality_groups, intents
 
 
 def _node_id(intent: str = "intent"):
@@ -46,22 +46,23 @@ def concepts(context: DataFrame) -> DataFrame:
     merged = rows.groupBy("intent").agg(
         F.sort_array(F.flatten(F.collect_list("objects"))).alias("objects"), F.sort_array(F.flatten(F.collect_list("reduced"))).alias("reduced"), F.max("is_min").alias("is_min"), F.max("is_max").alias("is_max")
     )
-    return merged.select(_node_id().alias("node"), "intent", "reduced", "objects", "is_min", "is_max")
+    return checkpointed(merged.select(_node_id().alias("node"), "intent", "reduced", "objects", "is_min", "is_max"))
 
 
 def edges(nodes: DataFrame) -> DataFrame:
     """The covering relation: (lower, upper) with lower a proper subset and nothing between.
 
-    Containment is an equi-join on attributes: a set lies in another if it shares all its own.
+    Containment is an equi-join on attributes: a set lies in another if it shares all its own. Of all sets above one, a
+    set is a cover if none of the others lies in it: pairs that chains of two steps lead to are taken out by an anti join.
     """
     sized = checkpointed(nodes.select("node", "intent", F.size("intent").alias("size")))
     member = sized.select("node", "size", F.explode("intent").alias("attr"))
     met = member.alias("x").join(member.alias("y"), "attr").where("x.size < y.size").groupBy(F.col("x.node").alias("lower"), F.col("y.node").alias("upper"), F.col("x.size").alias("size")).agg(F.count(F.lit(1)).alias("shared"))
     inside = met.where("shared = size").select("lower", "upper")
-    empty = sized.where("size = 0").select(F.col("node").alias("lower")).crossJoin(sized.where("size > 0").select(F.col("node").alias("upper")))
+    empty = sized.where("size = 0").select(F.col("node").alias("lower")).join(sized.where("size > 0").select(F.col("node").alias("upper")))
     below = checkpointed(inside.union(empty))
-    longer = below.select("lower", F.col("upper").alias("m")).join(below.select(F.col("lower").alias("m"), "upper"), "m").select("lower", "upper").distinct()
-    return below.join(longer, ["lower", "upper"], "left_anti")
+    longer = below.alias("x").join(below.alias("y"), F.col("x.upper") == F.col("y.lower")).select(F.col("x.lower").alias("lower"), F.col("y.upper").alias("upper"))
+    return checkpointed(below.join(longer, ["lower", "upper"], "left_anti"))
 
 
 def reachable(edge: DataFrame) -> DataFrame:
@@ -102,9 +103,25 @@ def pair_statistics(nodes: DataFrame) -> DataFrame:
     )
 
 
+def pair_totals(nodes: DataFrame) -> DataFrame:
+    """Distinct callers, callees and functions of all nodes' own pairs."""
+    own = nodes.select(F.explode("reduced").alias("p"))
+    every = own.select(F.explode(F.array(F.struct(F.lit(True).alias("calls"), F.col("p.from").alias("f")), F.struct(F.lit(False).alias("calls"), F.col("p.to").alias("f")))).alias("x")).select("x.*")
+    return every.agg(F.countDistinct(F.when(F.col("calls"), F.col("f"))).alias("callers"), F.countDistinct(F.when(~F.col("calls"), F.col("f"))).alias("callees"), F.countDistinct("f").alias("functions"))
+
+
+def all_objects(nodes: DataFrame, edge: DataFrame) -> DataFrame:
+    """node, object: every object whose attributes include the node's, its own ones and those of all nodes above."""
+    above = reachable(edge).select(F.col("lower").alias("node"), F.col("upper").alias("from"))
+    each = above.unionByName(nodes.select("node", F.col("node").alias("from")))
+    own = nodes.select(F.col("node").alias("from"), F.explode("objects").alias("object"))
+    return each.join(own, "from").select("node", "object")
+
+
 def group_matrix(context: DataFrame, metric: str = "simple") -> DataFrame:
     """Similarity of equality groups by their first objects: each pair once, or both ways for subsumption."""
-    groups = equality_groups(context).select(F.col("first").alias("g"), "intent", F.size("intent").alias("n"))
+    groups, _ = distinct_intents(context)
+    groups = groups.select(F.col("first").alias("g"), "intent", F.size("intent").alias("n"))
     member = groups.select("g", F.explode("intent").alias("attr"))
     shared = member.alias("x").join(member.alias("y"), "attr").groupBy(F.col("x.g").alias("a"), F.col("y.g").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     size = groups.select("g", "n")
@@ -115,36 +132,60 @@ def group_matrix(context: DataFrame, metric: str = "simple") -> DataFrame:
 
 
 def threshold_groups(context: DataFrame, threshold: float) -> DataFrame:
-    """Leader clustering of equality groups in order of their least object: (cluster, sorted objects).
+    """Leader clustering of equality groups in order of their least object: (cluster, object).
 
     A group joins the cluster whose members are most similar to it on average, weighed by their objects, the first
-    among equals; below the threshold it opens a new one. The loop is sequential over equality groups, of which there
-    are few; sets stay on the executor that runs it.
+    among equals; below the threshold it opens a new one. Similarities to earlier groups are computed by joins; only
+    they pass, in order, through the one task that the sequence needs, which holds a cluster number a group and a
+    weight a cluster, but no sets and no objects.
     """
-    groups = equality_groups(context).select(F.lit(0).alias("all"), "first", F.transform("intent", lambda x: F.to_json(F.struct(x.alias("v")))).alias("intent"), F.size("objects").alias("n"))
+    groups, members = distinct_intents(context)
+    kind = context.schema["object"].dataType.simpleString()
+    entry = groups.select(F.col("first").alias("g"), "n", F.size("intent").alias("size"), F.explode("intent").alias("attr"))
+    x, y = (entry.select("attr", F.col("g").alias(g), F.col("n").alias(f"n_{g}"), F.col("size").alias(f"size_{g}")) for g in "ab")
+    met = x.join(y, "attr").where(F.col("a") > F.col("b")).groupBy("a", "b", "n_a", "n_b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("c"))
+    earlier = met.select("a", F.col("n_a").alias("n"), "b", (F.col("n_b") * F.col("c") / (F.col("size_a") + F.col("size_b") - F.col("c"))).alias("weighed"))
+    alone = groups.select(F.col("first").alias("a"), "n", F.lit(None).cast(kind).alias("b"), F.lit(0.0).alias("weighed"))
 
     def cluster(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts), ignore_index=True) if parts else pd.DataFrame()
-        clusters: list[list[tuple[frozenset, int]]] = []
-        out = []
-        for r in rows.sort_values("first").itertuples() if len(rows) else ():
-            own, best, at = frozenset(r.intent), -1.0, -1
-            for k, members in enumerate(clusters):
-                weight = sum(n for _, n in members)
-                mean = sum(n * (len(own & m) / len(own | m) if own | m else 1.0) for m, n in members) / weight
-                if mean > best:
-                    best, at = mean, k
-            if best < threshold:
-                clusters.append([])
-                at = len(clusters) - 1
-            clusters[at].append((own, int(r.n)))
-            out.append((r.first, at))
-        yield pd.DataFrame(out, columns=["first", "cluster"])
-
-    kind = context.schema["object"].dataType.simpleString()
-    placed = groups.repartition(1).mapInPandas(cluster, f"first {kind}, cluster int")
-    members = equality_groups(context).select("first", F.explode("objects").alias("object"))
-    return members.join(placed, "first").groupBy("cluster").agg(F.sort_array(F.collect_list("object")).alias("objects")).orderBy("cluster")
+        of: dict = {}
+        weight: list[int] = []
+        held = None
+
+        def place(rows: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for first, own in rows.groupby("a", sort=False):
+                n, known = int(own.n.iloc[0]), own[own.b.notna()]
+                sums: dict[int, float] = {}
+                for b, v in zip(known.b, known.weighed, strict=True):
+                    sums[of[b]] = sums.get(of[b], 0.0) + v
+                best, at = max(((v / weight[k], -k) for k, v in sums.items()), default=(0.0 if weight else -1.0, 0))
+                at = -at
+                if best < threshold:
+                    at = len(weight)
+                    weight.append(0)
+                weight[at] += n
+                of[first] = at
+                out.append((first, at))
+            return pd.DataFrame(out, columns=["first", "cluster"])
+
+        for part in parts:
+            rows = part if held is None else pd.concat([held, part], ignore_index=True)
+            last = rows.a == rows.a.iloc[-1] if len(rows) else None
+            if len(rows):
+                held = rows[last]
+                yield place(rows[~last])
+        if held is not None:
+            yield place(held)
+
+    rows = checkpointed(earlier.unionByName(alone))
+    placed = rows.repartition(1).sortWithinPartitions("a", "b").mapInPandas(cluster, f"first {kind}, cluster int")
+    return members.join(placed, "first").select("cluster", "object")
+
+
+def grouped_objects(clusters: DataFrame) -> DataFrame:
+    """For display: cluster and its sorted objects."""
+    return clusters.groupBy("cluster").agg(F.sort_array(F.collect_list("object")).alias("objects"))
 
 
 def brute_force_nodes(sets: dict[int, set]) -> set[frozenset]:
@@ -160,4 +201,4 @@ def brute_force_nodes(sets: dict[int, set]) -> set[frozenset]:
     return {c for c in closed if c in (every, least) or c in rows or reduced[c]}
 
 
-__all__ = ["brute_force_nodes", "concepts", "edges", "full_lattice", "group_matrix", "intents", "pair_statistics", "reachable", "threshold_groups"]
+__all__ = ["all_objects", "brute_force_nodes", "concepts", "edges", "full_lattice", "group_matrix", "grouped_objects", "intents", "pair_statistics", "pair_totals", "reachable", "threshold_groups"]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measure import folded, measures
+from ..plans.session import checkpointed
 
 
 def _times() -> dict:
@@ -68,17 +69,16 @@ def profile(calls: DataFrame, keys: list[str], processes: DataFrame | None = Non
     Every process counts for every key, with zeros where it has none. Zeros are added as counts of a weight, not as
     rows: keys times processes are never materialised.
     """
-    per = calls.groupBy("process", *keys).agg(F.count(F.lit(1)).alias("invocations"), F.sum("exclusive").alias("exclusive"), F.sum("inclusive").alias("inclusive"))
-    everyone = (processes if processes is not None else calls).select("process").distinct().agg(F.count(F.lit(1)).alias("everyone"))
+    per = checkpointed(calls.groupBy("process", *keys).agg(F.count(F.lit(1)).alias("invocations"), F.sum("exclusive").alias("exclusive"), F.sum("inclusive").alias("inclusive")))
+    everyone = (processes if processes is not None else per).select("process").distinct().count()
     return _filled(per, keys, everyone, {"inv": "invocations", "exc": "exclusive", "inc": "inclusive"})
 
 
-def _filled(per: DataFrame, keys: list[str], everyone: DataFrame, values: dict[str, str]) -> DataFrame:
+def _filled(per: DataFrame, keys: list[str], everyone: int, values: dict[str, str]) -> DataFrame:
     long = per.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("which"), F.col(v).cast("long").alias("v")) for k, v in values.items()])).alias("x"))
-    counted = long.groupBy(*keys, "x.which", "x.v").agg(F.count(F.lit(1)).alias("c"))
-    present = counted.groupBy(*keys, "which").agg(F.sum("c").alias("there"))
-    one = F.broadcast(everyone)
-    zeros = present.crossJoin(one).where("everyone > there").select(*keys, "which", F.lit(0).cast("long").alias("v"), (F.col("everyone") - F.col("there")).alias("c"))
+    counted = checkpointed(long.groupBy(*keys, "x.which", "x.v").agg(F.count(F.lit(1)).alias("c")))
+    missing = F.lit(everyone) - F.sum("c")
+    zeros = counted.groupBy(*keys, "which").agg(missing.alias("c")).where("c > 0").select(*keys, "which", F.lit(0).cast("long").alias("v"), "c")
     merged = counted.unionByName(zeros).groupBy(*keys, "which", "v").agg(F.sum("c").alias("c"))
     return folded(merged, keys, list(values))
 

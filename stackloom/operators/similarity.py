@@ -1,7 +1,9 @@
 """Similarity of processes. Every metric gives (p, q, value) for all ordered pairs, the process with itself included.
 
-Set metrics work on groups of processes with equal sets and expand to processes at the end, so the quadratic part is
-in the number of distinct sets. Two empty sets have similarity 1.
+Metrics work on groups of processes with equal sets (or equal weights) and expand to processes at the end, so the
+quadratic part is in the number of distinct sets; members are joined, never held as arrays. Two empty sets have
+similarity 1. The full matrix grows with the square of the groups by its nature; `alike_groups` is the form for many
+processes, with a threshold, group pairs and membership.
 """
 
 from __future__ import annotations
@@ -11,18 +13,44 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .context import equality_groups, function_context, pair_context, transitive
+from .context import distinct_intents, function_context, pair_context, transitive
+
+
+def alike_groups(context: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b, value of groups with equal sets whose Jaccard coefficient is `least` or more, a > b; object, first).
+
+    The form for many objects: pairs come from shared attributes between sets whose sizes allow the threshold, so no
+    pair without one is looked at, and copies are not expanded.
+    """
+    groups, members = distinct_intents(context)
+    member = groups.select(F.col("first").alias("g"), F.size("intent").alias("n"), F.explode("intent").alias("attr"))
+    x, y = (member.select("attr", F.col("g").alias(g), F.col("n").alias(f"n{g}")) for g in "ab")
+    near = (F.col("a") > F.col("b")) & (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb"))
+    shared = x.join(y, "attr").where(near).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    value = F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
+    return shared.select("a", "b", value.alias("value")).where(F.col("value") >= least), members
+
+
+def _expanded(scored: DataFrame, members: DataFrame) -> DataFrame:
+    """Values of groups (gp, gq) for all pairs of their members."""
+    p = members.select(F.col("object").alias("p"), F.col("first").alias("gp"))
+    q = members.select(F.col("object").alias("q"), F.col("first").alias("gq"))
+    return scored.join(p, "gp").join(q, "gq").select("p", "q", "value")
+
+
+def _all_pairs(groups: DataFrame, shared: DataFrame, value: Column) -> DataFrame:
+    """gp, gq, value for all ordered pairs of groups; groups: g and columns that become ..p and ..q beside those of shared."""
+    side = lambda s: groups.select(*[F.col(c).alias(f"{c}{s}") for c in groups.columns])
+    return side("p").crossJoin(side("q")).join(shared, ["gp", "gq"], "left").select("gp", "gq", value.alias("value"))
 
 
 def _pairs_of_sets(context: DataFrame, value: Callable[[Column, Column, Column], Column], objects: DataFrame | None = None) -> DataFrame:
-    """value(shared, size of p's set, size of q's set) for all ordered pairs."""
-    groups = equality_groups(context).select(F.col("first").alias("g"), "intent", "objects", F.size("intent").alias("size"))
-    member = groups.select("g", "size", F.explode("intent").alias("attr"))
+    """value(shared, size of p's set, size of q's set) for all ordered pairs; the full matrix is what is asked for here."""
+    groups, members = distinct_intents(context)
+    sizes = groups.select(F.col("first").alias("g"), F.size("intent").alias("n"))
+    member = groups.select(F.col("first").alias("g"), F.explode("intent").alias("attr"))
     shared = member.alias("x").join(member.alias("y"), "attr").groupBy(F.col("x.g").alias("gp"), F.col("y.g").alias("gq")).agg(F.count(F.lit(1)).alias("shared"))
-    sizes = groups.select("g", "size", "objects")
-    every = sizes.select(F.col("g").alias("gp"), F.col("size").alias("np"), F.col("objects").alias("ps")).crossJoin(sizes.select(F.col("g").alias("gq"), F.col("size").alias("nq"), F.col("objects").alias("qs")))
-    scored = every.join(shared, ["gp", "gq"], "left").withColumn("value", value(F.coalesce("shared", F.lit(0)), F.col("np"), F.col("nq")))
-    out = scored.select(F.explode("ps").alias("p"), "qs", "value").select("p", F.explode("qs").alias("q"), "value")
+    out = _expanded(_all_pairs(sizes, shared, value(F.coalesce("shared", F.lit(0)), F.col("np"), F.col("nq"))), members)
     return out if objects is None else _with_empty(out, context, objects)
 
 
@@ -43,14 +71,19 @@ def subsumption(context: DataFrame, objects: DataFrame | None = None) -> DataFra
     return _pairs_of_sets(context, lambda c, n, m: c / m, objects)
 
 
-def _weighted(weights: DataFrame, both: Column, value: Callable[[Column, Column, Column], Column]) -> DataFrame:
-    """weights: object, attr, w. value(sum of `both` over shared attributes, total of p, total of q)."""
-    totals = weights.groupBy("object").agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("size"))
-    x, y = weights.select(F.col("object").alias("p"), "attr", F.col("w").alias("wp")), weights.select(F.col("object").alias("q"), "attr", F.col("w").alias("wq"))
-    shared = x.join(y, "attr").groupBy("p", "q").agg(F.sum(both).alias("met"), F.count(F.lit(1)).alias("shared"))
-    every = totals.select(F.col("object").alias("p"), F.col("total").alias("tp"), F.col("size").alias("np")).crossJoin(totals.select(F.col("object").alias("q"), F.col("total").alias("tq"), F.col("size").alias("nq")))
+def _weighted(weights: DataFrame, both: Column, value: Callable[[Column, Column], Column]) -> DataFrame:
+    """weights: object, attr, w. value(sum of `both` over shared attributes, number of them) for all ordered pairs.
+
+    Objects with equal weights are compared once; totals (tp, tq) and sizes (np, nq) are at hand for `value`.
+    """
+    vectors, members = distinct_intents(weights.select("object", F.struct("attr", "w").alias("attr")))
+    vectors = vectors.select(F.col("first").alias("g"), "intent")
+    totals = vectors.select("g", F.aggregate("intent", F.lit(0).cast("long"), lambda s, x: s + x["w"]).alias("t"), F.size("intent").alias("n"))
+    entry = vectors.select("g", F.explode("intent").alias("e"))
+    x, y = (entry.select(F.col("g").alias(f"g{s}"), F.col("e.attr").alias("attr"), F.col("e.w").alias(f"w{s}")) for s in "pq")
+    shared = x.join(y, "attr").groupBy("gp", "gq").agg(F.sum(both).alias("met"), F.count(F.lit(1)).alias("shared"))
     zero = F.lit(0)
-    return every.join(shared, ["p", "q"], "left").select("p", "q", value(F.coalesce("met", zero), F.coalesce("shared", zero), F.lit(0)).alias("value"))
+    return _expanded(_all_pairs(totals, shared, value(F.coalesce("met", zero), F.coalesce("shared", zero))), members)
 
 
 def simple_call_matrix(calls: DataFrame) -> DataFrame:
@@ -58,6 +91,16 @@ def simple_call_matrix(calls: DataFrame) -> DataFrame:
     return jaccard(pair_context(calls))
 
 
+def simple_compressed(calls: DataFrame) -> DataFrame:
+    """The same coefficient read off a lattice: pairs of groups with equal sets, expanded to their processes."""
+    context = pair_context(calls)
+    groups, members = distinct_intents(context)
+    sides = groups.select(F.col("first").alias("g"), "intent")
+    x, y = (sides.select(F.col("g").alias(f"g{s}"), F.col("intent").alias(f"set_{s}")) for s in "pq")
+    value = F.size(F.array_intersect("set_p", "set_q")) / F.size(F.array_union("set_p", "set_q"))
+    return _expanded(x.crossJoin(y).select("gp", "gq", value.alias("value")), members)
+
+
 def simple_functions(calls: DataFrame) -> DataFrame:
     """Jaccard coefficient of the sets of functions."""
     return jaccard(function_context(calls))
@@ -71,7 +114,7 @@ def subsumption_call_matrix(calls: DataFrame) -> DataFrame:
 def invocation_count_sensitive(calls: DataFrame) -> DataFrame:
     """Pairs weighed by how close their invocation counts are, over the union of pairs."""
     w = calls.groupBy(F.col("process").alias("object"), F.struct("caller", "function").alias("attr")).agg(F.count(F.lit(1)).alias("w"))
-    return _weighted(w, F.least("wp", "wq") / F.greatest("wp", "wq"), lambda met, shared, _: met / (F.col("np") + F.col("nq") - shared))
+    return _weighted(w, F.least("wp", "wq") / F.greatest("wp", "wq"), lambda met, shared: met / (F.col("np") + F.col("nq") - shared))
 
 
 def _tree_edges(paths: DataFrame) -> DataFrame:
@@ -83,7 +126,7 @@ def simple_call_tree(paths: DataFrame) -> DataFrame:
     parent = F.when(F.size("path") > 1, F.element_at("path", -2)).otherwise(0)
     w = _tree_edges(paths).groupBy(F.col("process").alias("object"), F.struct(parent.alias("a"), F.element_at("path", -1).alias("b")).alias("attr")).agg(F.count(F.lit(1)).alias("w"))
     w = w.withColumn("w", F.when(F.col("attr.a") == 0, F.lit(1)).otherwise(F.col("w")).cast("long"))
-    return _weighted(w, F.least("wp", "wq"), lambda met, shared, _: met / (F.col("tp") + F.col("tq") - met))
+    return _weighted(w, F.least("wp", "wq"), lambda met, shared: met / (F.col("tp") + F.col("tq") - met))
 
 
 def subsumption_call_tree(paths: DataFrame) -> DataFrame:
@@ -92,13 +135,13 @@ def subsumption_call_tree(paths: DataFrame) -> DataFrame:
     nodes = _tree_edges(paths).select("process", above.alias("a"), F.element_at("path", -1).alias("b"))
     w = nodes.groupBy(F.col("process").alias("object"), F.struct("a", "b").alias("attr")).agg(F.count(F.lit(1)).alias("w"))
     # The sum of the larger weights over all pairs is tp + tq less the smaller ones of shared pairs.
-    return _weighted(w, F.least("wp", "wq"), lambda met, shared, _: F.col("tp") / (F.col("tp") + F.col("tq") - met))
+    return _weighted(w, F.least("wp", "wq"), lambda met, shared: F.col("tp") / (F.col("tp") + F.col("tq") - met))
 
 
 #: Metrics by name. Those on call trees take calls with paths.
 METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "scm": simple_call_matrix,
-    "sccm": simple_call_matrix,
+    "sccm": simple_compressed,
     "uccm": subsumption_call_matrix,
     "icscm": invocation_count_sensitive,
     "sct": simple_call_tree,

@@ -18,7 +18,7 @@ def calls_from_events(events: DataFrame, unclosed: str = "drop") -> DataFrame:
     """events: trace_id, process, line (order within the process), ts, kind E or L, function.
 
     A leave closes the deepest open call; leaves without an open call are dropped. Calls that are never left are
-    dropped, or with unclosed="clamp" end with the process's last event.
+    dropped, and what they called moves up to the root; with unclosed="clamp" they end with the process's last event.
     """
     seq = Window.partitionBy("trace_id", "process").orderBy("line")
     to_here = seq.rowsBetween(Window.unboundedPreceding, 0)
@@ -32,14 +32,17 @@ def calls_from_events(events: DataFrame, unclosed: str = "drop") -> DataFrame:
     placed = live.withColumn("depth", F.when(F.col("kind") == "E", level).otherwise(level + 1)).withColumn("last_ts", F.max("ts").over(whole))
     same = Window.partitionBy("trace_id", "process", "depth").orderBy("line")
     closed = placed.withColumn("t_end", F.lead("ts").over(same)).where("kind = 'E'")
-    closed = closed.withColumn("t_end", F.coalesce("t_end", "last_ts")) if unclosed == "clamp" else closed.where("t_end is not null")
+    if unclosed == "clamp":
+        closed = closed.withColumn("t_end", F.coalesce("t_end", "last_ts")).withColumn("open", F.lit(0))
+    else:  # calls that stay open begin outside all calls that follow them, which move up by as many levels
+        closed = closed.withColumn("open", F.coalesce(F.sum(F.col("t_end").isNull().cast("int")).over(seq.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
     # Each call stands on its own level and on the level above; the last one there before a call is its parent.
     both = closed.withColumn("on", F.explode(F.array(F.struct(F.col("depth").alias("level"), F.lit(True).alias("own")), F.struct((F.col("depth") - 1).alias("level"), F.lit(False).alias("own")))))
     upper = Window.partitionBy("trace_id", "process", "on.level").orderBy("line", F.col("on.own").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    parent = F.last(F.when(F.col("on.own"), F.struct("line", "function")), ignorenulls=True).over(upper)
-    found = both.withColumn("parent", parent).where("not on.own")
+    parent = F.last(F.when(F.col("on.own"), F.struct("line", "function", "t_end")), ignorenulls=True).over(upper)
+    found = both.withColumn("parent", parent).where("not on.own and t_end is not null").withColumn("parent", F.when(F.col("parent.t_end").isNotNull() & (F.col("depth") > 1), F.col("parent")))
     calls = found.select(
-        "trace_id", "process", F.col("line").alias("call_id"), F.col("parent.line").alias("parent_call_id"), "depth", "function",
+        "trace_id", "process", F.col("line").alias("call_id"), F.col("parent.line").alias("parent_call_id"), (F.col("depth") - F.col("open")).alias("depth"), "function",
         F.coalesce("parent.function", F.lit(ROOT)).alias("caller"), F.col("ts").alias("t_begin"), "t_end", (F.col("t_end") - F.col("ts")).alias("inclusive"),
     )
     return with_exclusive(calls)
@@ -52,21 +55,25 @@ def with_exclusive(calls: DataFrame) -> DataFrame:
 
 
 def call_paths(calls: DataFrame) -> DataFrame:
-    """calls with `path`, the functions from the outermost call down to it; one join a level."""
-    key = ["trace_id", "process"]
-    done = calls.where("parent_call_id is null").withColumn("path", F.array("function"))
-    level = checkpointed(done)
-    parts = [level]
-    while True:
-        up = level.select(*key, F.col("call_id").alias("parent_call_id"), F.col("path").alias("above"))
-        level = checkpointed(calls.join(up, [*key, "parent_call_id"]).withColumn("path", F.concat("above", F.array("function"))).select(*level.columns))
-        if level.isEmpty():
-            break
-        parts.append(level)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """calls with `path`, the functions from the outermost call down to it.
+
+    Every call starts with its own function and a pointer to its parent; a round puts in front what the pointer's call
+    has so far and takes over its pointer, so the rounds grow with the logarithm of the depth.
+    """
+    key = ["trace_id", "process", "call_id"]
+    state = checkpointed(calls.select(*key, F.col("parent_call_id").alias("up"), F.array("function").alias("path")))
+    while not state.where("up is not null").isEmpty():
+        above = state.select("trace_id", "process", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"))
+        joined = state.join(above, ["trace_id", "process", "up"], "left")
+        state = checkpointed(joined.select(*key, F.col("next").alias("up"), F.when(F.col("above").isNotNull(), F.concat("above", "path")).otherwise(F.col("path")).alias("path")))
+    return calls.join(state.drop("up"), key)
+
+
+def merged(one: DataFrame, other: DataFrame) -> DataFrame:
+    """The calls of two runs that share no process; a shared one is an error."""
+    if shared := one.select("process").distinct().join(other.select("process").distinct(), "process", "left_semi").first():
+        raise ValueError(f"process {shared[0]} is in both")
+    return one.unionByName(other)
 
 
 def select_processes(calls: DataFrame, chosen: list[int | tuple[int, int]] | None = None) -> DataFrame:

@@ -60,8 +60,10 @@ CLOSED = CALLS + """, d AS (SELECT DISTINCT process, caller AS a, function AS b
 c AS (SELECT process, a, b FROM d UNION SELECT c.process, c.a, d.b FROM c JOIN d ON c.process = d.process AND c.b = d.a)
 """
 SUPPLIERS = """
-WITH RECURSIVE ctx AS (
-  SELECT DISTINCT l_suppkey AS object, p_brand AS attr FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49 AND l_returnflag = 'R'
+WITH RECURSIVE delivered AS (
+  SELECT l_suppkey AS object, p_brand AS attr, sum(CAST(l_quantity AS BIGINT)) AS q FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL
+), ctx AS (
+  SELECT object, attr FROM (SELECT *, sum(q) OVER (PARTITION BY attr) AS s, count(*) OVER (PARTITION BY attr) AS n FROM delivered) WHERE 5 * q * n > 6 * s
 ), intents AS (SELECT object, list_sort(list(attr)) AS intent FROM ctx GROUP BY ALL),
 attrs AS (SELECT DISTINCT attr FROM ctx),
 attr_intent AS (
@@ -91,7 +93,113 @@ SELECT a.process AS p, b.process AS q, {value} AS value FROM tot a CROSS JOIN to
     )
 
 
+def lcs(segments: str) -> str:
+    """Tables of longest common subsequences, row by row, of segments (p, q, part, a, b), and their last entries as `lengths`."""
+    return f""", seg AS ({segments}),
+lcs AS (
+  SELECT p, q, part, a, b, 0 AS i, list_transform(range(len(b) + 1), lambda x: CAST(0 AS BIGINT)) AS line FROM seg
+  UNION ALL SELECT p, q, part, a, b, i + 1, list_prepend(CAST(0 AS BIGINT), list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN a[i + 1] = b[k] THEN line[k] + 1 ELSE line[k + 1] END))))
+  FROM lcs WHERE i < len(a)
+), lengths AS (SELECT p, q, CAST(sum(line[-1]) AS INTEGER) AS score FROM lcs WHERE i = len(a) GROUP BY p, q)
+"""
+
+
+TOURS = CALLS + """, s AS (
+  SELECT process, i, path, depth, greatest(coalesce(lead(depth) OVER (PARTITION BY process ORDER BY i), 1) - 1, 1) AS back_to FROM paths
+), parts AS (SELECT process, i, list_concat([path[-1]], list_reverse(path[back_to:depth - 1])) AS part FROM s),
+tours AS (SELECT process, flatten(list(part ORDER BY i)) AS seq FROM parts GROUP BY process),
+pairs AS (SELECT x.process AS p, y.process AS q, x.seq AS a, y.seq AS b FROM tours x JOIN tours y ON y.process = x.process + 1)
+"""
+
+#: A stack machine over enters (41 click, 42 view, 43 signup: functions 1 to 3) and leaves, one row at a time.
+STACK = """
+WITH RECURSIVE e AS (
+  SELECT user_id AS process, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS line, epoch_us(ts) AS t,
+    list_position(['click', 'view', 'signup'], event_type) AS f FROM events WHERE event_type IN ('signup', 'view', 'click', 'purchase', 'error')
+), ends AS (SELECT process, max(line) AS n, max(t) AS last_t FROM e GROUP BY ALL),
+run AS (
+  SELECT process, CAST(0 AS BIGINT) AS line, CAST([] AS BIGINT[]) AS stack, CAST([] AS BIGINT[]) AS gone FROM ends
+  UNION ALL SELECT run.process, e.line, CASE WHEN e.f IS NOT NULL THEN list_append(stack, e.line) ELSE stack[:-2] END,
+    CASE WHEN e.f IS NULL AND len(stack) > 0 THEN stack ELSE CAST([] AS BIGINT[]) END
+  FROM run JOIN e ON e.process = run.process AND e.line = run.line + 1
+), open_ AS (SELECT process, stack AS still, last_t FROM run JOIN ends USING (process) WHERE line = n),
+done AS (SELECT process, gone[-1] AS call_id, gone AS chain, line AS ended FROM run WHERE len(gone) > 0)
+"""
+
+
+def stack_calls(chain: str, unclosed: str = "") -> str:
+    return (
+        STACK
+        + f""", met AS (
+  SELECT d.process, d.call_id, {chain} AS chain, x.t AS t_end FROM done d JOIN open_ o USING (process) JOIN e x ON x.process = d.process AND x.line = d.ended {unclosed}
+), c0 AS (
+  SELECT b.process, b.call_id, CASE WHEN len(chain) > 1 THEN chain[-2] END AS parent_call_id, CAST(len(chain) AS INTEGER) AS depth, CAST(e.f AS INTEGER) AS function, chain,
+    CAST(coalesce(p.f, 0) AS INTEGER) AS caller, e.t AS t_begin, b.t_end, b.t_end - e.t AS inclusive
+  FROM met b JOIN e ON e.process = b.process AND e.line = b.call_id LEFT JOIN e p ON p.process = b.process AND p.line = CASE WHEN len(chain) > 1 THEN chain[-2] END
+), below AS (SELECT process, parent_call_id AS call_id, sum(inclusive) AS s FROM c0 WHERE parent_call_id IS NOT NULL GROUP BY ALL),
+calls AS (SELECT c0.*, CAST(inclusive - coalesce(s, 0) AS BIGINT) AS exclusive FROM c0 LEFT JOIN below USING (process, call_id))
+"""
+    )
+
+
+DROPPED = stack_calls("list_filter(d.chain, lambda x: NOT list_contains(o.still, x))")
+CLAMPED = stack_calls("d.chain", "UNION ALL SELECT process, still[k], still[:k], last_t FROM (SELECT process, still, last_t, unnest(range(1, len(still) + 1)) AS k FROM open_)")
+_CALL = "process, call_id, parent_call_id, depth, function, caller, t_begin, t_end, inclusive, exclusive"
+_SCORES = "SELECT p, q, score, CAST(least(len(a), len(b)) AS INTEGER) AS achievable, CAST(greatest(len(a), len(b)) AS INTEGER) AS most FROM pairs"
+
+
 ORACLES: dict[str, str] = {
+    "stack_calls": DROPPED + f"SELECT {_CALL}, (SELECT string_agg(e.f, '>' ORDER BY e.line) FROM e WHERE e.process = calls.process AND list_contains(calls.chain, e.line)) AS path FROM calls",
+    "stack_calls_clamped": CLAMPED + f"SELECT {_CALL} FROM calls",
+    "selected_processes": DROPPED + "SELECT process, count(*) AS calls, CAST(sum(exclusive) AS BIGINT) AS exclusive FROM calls WHERE process = 2 OR process BETWEEN 4 AND 9 GROUP BY process",
+    "flat_score": TOURS + lcs("SELECT p, q, 0 AS part, a, b FROM pairs") + _SCORES + " JOIN lengths USING (p, q)",
+    "anchored_diff": TOURS + lcs("SELECT p, q, 0 AS part, a[:len(a) // 2] AS a, b[:len(b) // 2] AS b FROM pairs UNION ALL SELECT p, q, 1, a[len(a) // 2 + 2:], b[len(b) // 2 + 2:] FROM pairs")
+    + """SELECT p, q, CAST(score + e AS INTEGER) AS score, CAST(score + e + least(len(a), len(b)) - score - e AS INTEGER) AS achievable, CAST(greatest(len(a), len(b)) AS INTEGER) AS most
+FROM (SELECT *, CASE WHEN a[len(a) // 2 + 1] = b[len(b) // 2 + 1] THEN 1 ELSE 0 END AS e FROM pairs) JOIN lengths USING (p, q)""",
+    "flat_sequences_to_depth": CALLS + """, s AS (
+  SELECT process, i, path, depth, greatest(coalesce(lead(depth) OVER (PARTITION BY process ORDER BY i), 1) - 1, 1) AS back_to FROM paths WHERE depth <= 2
+), parts AS (SELECT process, i, list_concat([path[-1]], list_reverse(path[back_to:depth - 1])) AS part FROM s)
+SELECT process, array_to_string(flatten(list(part ORDER BY i)), ' ') AS seq FROM parts GROUP BY process""",
+    "trace_lines": CALLS + """, s AS (SELECT process, i, function, depth, greatest(depth - coalesce(lead(depth) OVER (PARTITION BY process ORDER BY i), 1) + 1, 0) AS n FROM paths),
+steps AS (SELECT process, i, function, unnest(range(0, n + 1)) AS k FROM s),
+timed AS (SELECT *, row_number() OVER (PARTITION BY process ORDER BY i, k) AS t FROM steps)
+SELECT process, t, lower(to_hex(t)) || ' ' || CASE WHEN k = 0 THEN 'E' || lower(to_hex(function + 9)) ELSE 'L' END AS line FROM timed""",
+    "threshold_groups": PAIR_SETS + """, s AS (SELECT p, list_sort(list(caller || '-' || callee)) AS intent FROM m GROUP BY p),
+g AS (SELECT intent, min(p) AS o, count(*) AS n, CAST(row_number() OVER (ORDER BY min(p)) AS BIGINT) AS k FROM s GROUP BY intent),
+v AS (SELECT a.k, list(b.n * len(list_intersect(a.intent, b.intent))::DOUBLE / len(list_distinct(a.intent || b.intent)) ORDER BY b.k) AS js, list(b.n ORDER BY b.k) AS ns FROM g a JOIN g b ON a.k >= b.k GROUP BY a.k),
+st AS (
+  SELECT CAST(1 AS BIGINT) AS k, [CAST(0 AS BIGINT)] AS assign
+  UNION ALL SELECT k + 1, list_append(assign, CASE WHEN list_max(means) >= 0.9 THEN list_position(means, list_max(means)) - 1 ELSE len(means) END) FROM (
+    SELECT st.k, assign, list_transform(range(0, list_max(assign) + 1), lambda c: list_sum(list_transform(list_filter(range(1, st.k + 1), lambda j: assign[j] = c), lambda j: js[j])) / list_sum(list_transform(list_filter(range(1, st.k + 1), lambda j: assign[j] = c), lambda j: ns[j]))) AS means
+    FROM st JOIN v ON v.k = st.k + 1)
+), last AS (SELECT assign FROM st ORDER BY k DESC LIMIT 1)
+SELECT CAST(assign[g.k] AS INTEGER) AS cluster, s.p AS object FROM g JOIN s USING (intent) CROSS JOIN last""",
+    "dot_lines": SUPPLIERS + """, named AS (SELECT *, substr(sha256(CAST(to_json(intent) AS VARCHAR)), 1, 12) AS id, array_to_string(reduced, ', ') AS r, array_to_string(objects, ', ') AS o FROM nodes)
+SELECT 0 AS ord, 'digraph {' AS line UNION ALL SELECT 3, '}'
+UNION ALL SELECT 1, '  "' || id || '" [label="' || CASE WHEN length(r) > 40 THEN substr(r, 1, 40) || '...' ELSE r END || '\\n' || CASE WHEN length(o) > 40 THEN substr(o, 1, 40) || '...' ELSE o END || '"];' FROM named
+UNION ALL SELECT 2, '  "' || x.id || '" -> "' || y.id || '";' FROM below b JOIN named x ON x.intent = b.lower JOIN named y ON y.intent = b.upper
+  WHERE NOT EXISTS (SELECT 1 FROM below p JOIN below q ON p.upper = q.lower WHERE p.lower = b.lower AND q.upper = b.upper)""",
+    "group_members": "SELECT * FROM (VALUES (1, '1,2,3'), (2, '4,5')) v(grp, functions)",
+    "unifier_dump": """WITH names AS (
+  SELECT 1 AS trace_id, 1 + row_number() OVER (ORDER BY n_nationkey) AS token, n_name AS name FROM nation
+  UNION ALL SELECT 2, 1 + row_number() OVER (ORDER BY r_regionkey), r_name FROM region
+  UNION ALL SELECT 3, 1 + row_number() OVER (ORDER BY n_nationkey DESC), n_name FROM nation
+), f AS (SELECT name, min(row(trace_id, token)) AS pos FROM names GROUP BY name), ids AS (SELECT name, row_number() OVER (ORDER BY pos) AS function FROM f)
+SELECT 0 AS ord, 'functions: { ' || string_agg(function || ' : ' || name, ', ' ORDER BY function) || ' }' AS line FROM ids
+UNION ALL SELECT CAST(trace_id AS INTEGER), 'trace ' || trace_id || ': { ' || string_agg(token || ' : ' || function, ', ' ORDER BY token) || ' }' FROM names JOIN ids USING (name) GROUP BY trace_id
+ORDER BY ord""",
+    "sim_compressed": PAIR_SETS + """, s AS (SELECT x.p, y.p AS q, count(*) AS c FROM m x JOIN m y USING (caller, callee) GROUP BY ALL)
+SELECT a.p, b.p AS q, coalesce(c, 0)::DOUBLE / (a.n + b.n - coalesce(c, 0)) AS value FROM n a CROSS JOIN n b LEFT JOIN s ON s.p = a.p AND s.q = b.p""",
+    "alike_groups": PAIR_SETS + """, s AS (SELECT p, list_sort(list(caller || '-' || callee)) AS intent FROM m GROUP BY p), g AS (SELECT intent, min(p) AS o, count(*) AS k FROM s GROUP BY intent),
+v AS (SELECT a.o AS a, b.o AS b, a.k AS members_a, len(list_intersect(a.intent, b.intent))::DOUBLE / len(list_distinct(a.intent || b.intent)) AS value FROM g a JOIN g b ON a.o > b.o)
+SELECT a, b, members_a, value FROM v WHERE value >= 0.75""",
+    "pair_totals": PAIR_SETS + "SELECT count(DISTINCT caller) AS callers, count(DISTINCT callee) AS callees, (SELECT count(*) FROM (SELECT caller FROM m UNION SELECT callee FROM m)) AS functions FROM m",
+    "lattice_objects": SUPPLIERS + "SELECT array_to_string(n.intent, ',') AS intent, i.object FROM nodes n JOIN intents i ON list_has_all(i.intent, n.intent)",
+    "box_plot": _named(profile("function", "function"), "SELECT * FROM calls").replace("\nSELECT function", ", stats AS (\nSELECT function")
+    + """), top AS (SELECT max(exc_p98)::DOUBLE AS t FROM stats)
+SELECT function, round(exc_p2 / t, 9) AS low, round(exc_p25 / t, 9) AS box_low, round(exc_median / t, 9) AS line, round(exc_p75 / t, 9) AS box_high, round(exc_p98 / t, 9) AS high FROM stats CROSS JOIN top""",
+    "timing_roll_up": """WITH r AS (SELECT event_id % 7 AS procs, 'total' AS part, value AS s FROM events UNION ALL SELECT event_id % 7, 'loading', value / 2 FROM events)
+SELECT procs, part, count(*) AS runs, min(s) AS min, round(avg(s), 6) AS avg, (list_sort(list(s)))[count(*) // 2 + 1] AS med, max(s) AS max FROM r GROUP BY procs, part""",
     "calls_nested": CALLS + "SELECT process, call_id, parent_call_id, CAST(depth AS INTEGER) AS depth, function, caller, t_begin, t_end, inclusive, exclusive, array_to_string(path, '>') AS path FROM paths",
     "call_list_stats": CALLS + f"SELECT process, function, {TIMES} FROM calls GROUP BY process, function",
     "call_matrix_stats": CALLS + f"SELECT process, caller, function, {TIMES} FROM calls GROUP BY process, caller, function",

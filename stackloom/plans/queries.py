@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import runs
 from ..functions.measure import flat
-from ..operators import calltree, context, lattice, profiles, render, seqdiff, similarity, unifier
-from ..sources import tables
+from ..operators import calltree, context, lattice, profiles, render, seqdiff, similarity, stack, unifier
+from ..sources import otf1, tables, traces
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -221,15 +222,15 @@ def lattice_group_subsumption(spark, sf_dir):
 def lattice_metrics(spark, sf_dir):
     ctx = _suppliers(spark, sf_dir)
     counted = ctx.agg(F.countDistinct("attr").alias("attributes"), F.countDistinct("object").alias("objects"))
-    groups = context.equality_groups(ctx).agg(F.count(F.lit(1)).alias("groups"))
+    groups = context.distinct_intents(ctx)[0].agg(F.count(F.lit(1)).alias("groups"))
     return counted.crossJoin(groups).crossJoin(lattice.concepts(ctx).agg(F.count(F.lit(1)).alias("nodes")))
 
 
 @query
 def long_sequences(spark, sf_dir):
-    """Matched nodes of neighbouring processes with at least ten children together."""
+    """Matched nodes of neighbouring processes with at least ten children together (calls here nest into short lists)."""
     long = seqdiff.long_match_pairs(seqdiff.tree_sequences(_calls(spark, sf_dir, True)), _neighbours(spark, sf_dir), 10)
-    return long.select("p", "q", _joined(F.col("path").cast("array<string>"), ">").alias("path"), "children_p", "children_q")
+    return long.select("p", "q", "number", _joined(F.col("path").cast("array<string>"), ">").alias("path"), "children_p", "children_q")
 
 
 @query
@@ -245,7 +246,7 @@ def pair_statistics(spark, sf_dir):
 
 @query
 def threshold_groups(spark, sf_dir):
-    return lattice.threshold_groups(context.pair_context(_calls(spark, sf_dir)), 0.9).select("cluster", _joined(F.col("objects").cast("array<string>")).alias("objects"))
+    return lattice.threshold_groups(context.pair_context(_calls(spark, sf_dir)), 0.9)
 
 
 @query
@@ -294,12 +295,144 @@ def flat_diff(spark, sf_dir):
 @query
 def tree_diff(spark, sf_dir):
     diff = seqdiff.diff_trees(seqdiff.tree_sequences(_calls(spark, sf_dir, True)), _neighbours(spark, sf_dir))
-    return diff.select("p", "q", F.size("rows").alias("rows"), "score", "achievable", "most")
+    rows = diff.select("p", "q", F.explode("rows").alias("r")).select("p", "q", "r.*")
+    return rows.select("p", "q", _joined(F.col("pos_path").cast("array<string>"), ".").alias("place"), "op", "function")
+
+
+@query
+def tree_score(spark, sf_dir):
+    diff = seqdiff.diff_trees(seqdiff.tree_sequences(_calls(spark, sf_dir, True)), _neighbours(spark, sf_dir))
+    return diff.select("p", "q", "score", "achievable", "most")
+
+
+@query
+def flat_score(spark, sf_dir):
+    diff = seqdiff.diff_pairs(seqdiff.flat_sequences(_calls(spark, sf_dir, True)), _neighbours(spark, sf_dir))
+    return diff.select("p", "q", "score", "achievable", "most")
+
+
+@query
+def anchored_diff(spark, sf_dir):
+    """Scores with the middles of both sequences aligned by force."""
+    middle = lambda a, b: F.array(F.struct(F.floor(F.size(a) / 2).cast("int").alias("p"), F.floor(F.size(b) / 2).cast("int").alias("q")))
+    diff = seqdiff.diff_pairs(seqdiff.flat_sequences(_calls(spark, sf_dir, True)), _neighbours(spark, sf_dir), middle)
+    return diff.select("p", "q", "score", "achievable", "most")
+
+
+@query
+def flat_sequences_to_depth(spark, sf_dir):
+    limited = seqdiff.flat_sequences(_calls(spark, sf_dir, True), 2)
+    return limited.select("process", _joined(F.col("seq").cast("array<string>"), " ").alias("seq"))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event table as a trace: signup, view and click enter functions of those names, purchase and error leave.
+
+    Tokens are raw and go through the unifier, as those of a trace file do.
+    """
+    kind = F.col("event_type")
+    rows = _read(spark, sf_dir, "events").where(kind.isin("signup", "view", "click", "purchase", "error"))
+    enter = kind.isin("signup", "view", "click")
+    line = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    token = F.when(enter, F.array_position(F.array(F.lit("click"), F.lit("view"), F.lit("signup")), kind).cast("int") + 40)
+    raw = rows.select(F.lit(1).alias("trace_id"), F.col("user_id").alias("process"), line.cast("long").alias("line"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.when(enter, "E").otherwise("L").alias("kind"), token.alias("token"))
+    return otf1.unified_events(raw, unifier.unify(_tokens(spark)))
+
+
+def _tokens(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(1, 41, "click"), (1, 42, "view"), (1, 43, "signup")], "trace_id int, token int, name string")
+
+
+def _stack(spark: SparkSession, sf_dir: str, unclosed: str = "drop") -> DataFrame:
+    return stack.calls_from_events(_events(spark, sf_dir), unclosed)
+
+
+_CALL = ("process", "call_id", "parent_call_id", "depth", "function", "caller", "t_begin", "t_end", "inclusive", "exclusive")
+
+
+@query
+def stack_calls(spark, sf_dir):
+    """Calls rebuilt from enters and leaves, with their paths; stray leaves and calls without a leave are dropped."""
+    return stack.call_paths(_stack(spark, sf_dir)).select(*_CALL, _path())
+
+
+@query
+def stack_calls_clamped(spark, sf_dir):
+    """The same with open calls ended by the process's last event."""
+    return _stack(spark, sf_dir, "clamp").select(*_CALL)
+
+
+@query
+def selected_processes(spark, sf_dir):
+    chosen = stack.select_processes(_stack(spark, sf_dir), [2, (4, 9)])
+    return chosen.groupBy("process").agg(F.count(F.lit(1)).alias("calls"), F.sum("exclusive").alias("exclusive"))
+
+
+@query
+def trace_lines(spark, sf_dir):
+    """The event files that the trace writer makes of the nested calls."""
+    tokens = tables.functions(spark).select(F.col("token").alias("function"), (F.col("token") + 9).cast("long").alias("token"))
+    return otf1.event_lines(_calls(spark, sf_dir, True), tokens).select("process", "t", F.replace("line", F.lit("\n"), F.lit(" ")).alias("line"))
+
+
+@query
+def group_members(spark, sf_dir):
+    members = traces.group_members(tables.functions(spark))
+    return members.select("grp", _joined(F.col("tokens").cast("array<string>")).alias("functions"))
+
+
+@query
+def unifier_dump(spark, sf_dir):
+    names = _names(spark, sf_dir)
+    ids = unifier.unify(names)
+    return render.unifier_lines(unifier.unified_names(names, ids), ids)
+
+
+@query
+def sim_compressed(spark, sf_dir):
+    return similarity.compare(_calls(spark, sf_dir), "sccm")
+
+
+@query
+def alike_groups(spark, sf_dir):
+    pairs, members = similarity.alike_groups(context.pair_context(_calls(spark, sf_dir)), 0.75)
+    size = members.groupBy(F.col("first").alias("a")).agg(F.count(F.lit(1)).alias("members_a"))
+    return pairs.join(size, "a").select("a", "b", "members_a", "value")
+
+
+@query
+def pair_totals(spark, sf_dir):
+    own = context.intents(context.pair_context(_calls(spark, sf_dir))).select(F.col("intent").alias("reduced"))
+    return lattice.pair_totals(own)
+
+
+@query
+def lattice_objects(spark, sf_dir):
+    nodes = _nodes(spark, sf_dir)
+    every = lattice.all_objects(nodes, lattice.edges(nodes))
+    return every.join(nodes.select("node", _joined("intent").alias("intent")), "node").select("intent", "object")
+
+
+@query
+def box_plot(spark, sf_dir):
+    return render.boxes(profiles.profile(_calls(spark, sf_dir), ["function"]), ["function"], "exc")
+
+
+@query
+def colours(spark, sf_dir):
+    return render.colours(tables.functions(spark).select(F.col("token").alias("function"), "name"))
+
+
+@query
+def timing_roll_up(spark, sf_dir):
+    """Durations of events as runs: user as configuration, event type as part; and whether counts agree."""
+    rows = _read(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 7).alias("procs"), F.col("value").alias("total"), (F.col("value") / 2).alias("loading"))
+    return runs.roll_up(rows, ["procs"], ["total", "loading"]).withColumn("avg", F.round("avg", 6))
 
 
 @query
 def tikz_rectangles(spark, sf_dir):
-    return render.rectangles(_calls(spark, sf_dir, True))
+    return render.rectangles(_calls(spark, sf_dir, True)).drop("function")
 
 
 @query

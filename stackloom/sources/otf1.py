@@ -128,10 +128,11 @@ def write_trace(calls: DataFrame, names: DataFrame, path: str, processes: DataFr
     own = own.join(processes.select("process", "name"), "process", "left") if processes is not None else own.withColumn("name", F.lit(None).cast("string"))
     ids = own.orderBy("process").collect()
     base = path.removesuffix(".otf")
-    head = own.select("process", F.lit(0).cast("long").alias("t"), F.concat(F.lit("0\n*"), F.lower(F.hex("process"))).alias("line"))
-    body = event_lines(calls, tokens).unionByName(head)
+    head = F.when(F.col("t") == 1, F.concat(F.lit("0\n*"), F.lower(F.hex("process")), F.lit("\n"))).otherwise("")
+    body = event_lines(calls, tokens).withColumn("line", F.concat(head, "line"))
     folder = f"{base}.parts"
-    body.repartition("process").sortWithinPartitions("process", "t").select(F.col("process").alias("p"), F.col("line").alias("value")).write.mode("overwrite").partitionBy("p").text(folder)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    body.repartition(parts, "process").sortWithinPartitions("process", "t").select(F.col("process").alias("p"), F.col("line").alias("value")).write.mode("overwrite").partitionBy("p").text(folder)
     for r in ids:
         _rename(spark, f"{folder}/p={r.process}", f"{base}.{r.process:x}.events")
     _delete(spark, folder)
@@ -167,7 +168,7 @@ def _path(spark: SparkSession, path: str):
 def _rename(spark: SparkSession, folder: str, target: str) -> None:
     """The one part file of a folder becomes `target`."""
     at, fs = _path(spark, folder)
-    part = next(s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("part-"))
+    (part,) = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("part-")]
     to, _ = _path(spark, target)
     fs.delete(to, False)
     fs.rename(part, to)

@@ -8,7 +8,16 @@ def test_tools(spark, tmp_path, capsys):
     run = lambda *words: (cli.run(cli.parser().parse_args([*words[:1], *words[1:], path]), spark), capsys.readouterr().out)[1].splitlines()
     assert run("call-list", "-p") == ["1 Process 1", "2 Process 2"]
     assert run("call-matrix", "--group", "0.9") == ["1", "2"]
-    assert run("call-matrix", "--simple-similarity") == ["0.71"]
+    assert run("call-matrix", "--simple-similarity") == ["#group: processes", "  1: 1", "  2: 2", "", "#group x group", "0.71"]
+    assert run("call-matrix", "--compressed-txt")[-1].startswith("all: callers 5, callees 5, both 6")
+    assert any("root function -> F1" in x for x in run("call-matrix", "--compressed-txt2"))
+    assert any("all objects: 1, 2" in x for x in run("call-list", "--compressed-txt"))
+    assert any("F1 -> F2" in x for x in run("profile", "-m", "-n")) and any("F1 -> F2 -> F4" in x for x in run("profile", "-t", "-n"))
+    assert run("profile", "-f")[0] == "1000 Application" and run("profile", "-f")[1].startswith("\t1 F1")
+    assert run("call-list", "-u")[0].startswith("functions: { 1 : F1")
+    assert run("diff", "--tree-diff")[0] == "=1" and run("diff", "--extract", "--least", "2")[0].endswith("t-extract-p1-p2-1-1-1.otf")
+    assert run("tikz")[0].startswith("\\definecolor{1}{RGB}{") and any("1: F1" in x for x in run("call-tree", "--dot", "-n"))
+    run("call-matrix", "-%2", "--simple-similarity")
     assert run("similarity", "--metric", "scm") == ["1.00 0.71", "0.71 1.00"]
     assert any("F3" in x for x in run("call-list", "-n"))
     assert run("diff", "--flat-score")[0].startswith("0 ")

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from stackloom.functions import runs
 from stackloom.operators import calltree, context, lattice, profiles, render, seqdiff, similarity, stack, unifier
 from stackloom.sources import otf1
 from stackloom.sources import traces as open_traces
@@ -44,6 +45,8 @@ def test_stack_defects(spark):
     assert {g[:4] for g in got} >= {(1, 0, 1, 4), (2, 1, 2, 3)} and not any(g[0] == 3 for g in got)
     clamped = {(r.function, r.t_begin, r.t_end) for r in stack.calls_from_events(events, "clamp").collect()}
     assert (3, 6, 9) in clamped and (4, 7, 9) in clamped
+    # A call below one that stays open moves up to the root, and takes no earlier call for its parent.
+    assert next(tuple(r) for r in stack.calls_from_events(events).where("function = 4").select("parent_call_id", "depth", "caller").collect()) == (None, 1, 0)
 
 
 @pytest.fixture(scope="module")
@@ -101,7 +104,8 @@ def test_lattices(spark):
         assert len(found) == nodes and found == lattice.brute_force_nodes({o: set(a) for o, a in rows.items()}), name
     last = lattice.concepts(ctx).collect()
     assert sum(not r.reduced for r in last) >= 4
-    assert {tuple(r.objects) for r in lattice.threshold_groups(spark.createDataFrame([(o, a) for o, attrs in traces.CONTEXTS["d"][0].items() for a in attrs], "object long, attr int"), 0.9).collect()} == {(1,), (2, 4), (3, 5)}
+    groups = lattice.threshold_groups(spark.createDataFrame([(o, a) for o, attrs in traces.CONTEXTS["d"][0].items() for a in attrs], "object long, attr int"), 0.9)
+    assert {tuple(r.objects) for r in lattice.grouped_objects(groups).collect()} == {(1,), (2, 4), (3, 5)}
 
 
 def test_lattice_edges_and_full(spark):
@@ -233,3 +237,39 @@ def test_extraction(spark, tmp_path):
     tours = {r.process: r.seq for r in seqdiff.flat_sequences(stack.call_paths(again)).collect()}
     assert tours == {1: [1, 1, 1, 2, 1], 2: [1, 1]}
     assert len(otf1.extract_long(calls, 1, 2, names, str(tmp_path / "x.otf"), 4)) == 2
+
+
+def test_leader_clustering_by_brute_force(spark):
+    r = random.Random(9)
+    for threshold in (0.3, 0.6, 0.9):
+        rows = {o: frozenset(r.sample(range(8), r.randint(1, 6))) for o in range(60)}
+        groups: dict = {}
+        for o, s in rows.items():
+            groups.setdefault(s, []).append(o)
+        clusters: list = []
+        for s, objects in sorted(groups.items(), key=lambda x: min(x[1])):
+            means = [sum(len(o) * len(s & m) / len(s | m) for m, o in c) / sum(len(o) for _, o in c) for c in clusters]
+            best = max(means, default=-1)
+            if best < threshold:
+                clusters.append([])
+                means.append(best := 2)
+            clusters[means.index(best)].append((s, objects))
+        want = {o: k for k, c in enumerate(clusters) for _, objects in c for o in objects}
+        ctx = spark.createDataFrame([(o, a) for o, s in rows.items() for a in s], "object long, attr int")
+        assert {x.object: x.cluster for x in lattice.threshold_groups(ctx, threshold).collect()} == want
+
+
+def test_checksum_and_merging(spark, similar):
+    assert render.checksum(b"123456789") == 0x906E  # the check value of this CRC
+    one, two = similar.where("process < 20"), similar.where("process >= 20")
+    assert stack.merged(one, two).count() == similar.count()
+    with pytest.raises(ValueError, match="in both"):
+        stack.merged(one, similar)
+
+
+def test_timing_roll_up(spark):
+    rows = [(4, s, 7, 9, 5, 3) for s in (0.5, 0.1, 0.9, 0.3, 0.7)] + [(8, 1.0, 7, 9, 5, 3), (8, 2.0, 7, 9, 6, 3)]
+    df = spark.createDataFrame(rows, "procs int, total double, attributes int, nodes_with_empty int, nodes int, groups int")
+    got = {r.procs: (r.runs, r.min, r.med, r.max) for r in runs.roll_up(df, ["procs"], ["total"]).collect()}
+    assert got == {4: (5, 0.1, 0.5, 0.9), 8: (2, 1.0, 2.0, 2.0)}
+    assert [(r.procs, r.wrong) for r in runs.disagreeing(df, ["procs"]).collect()] == [(8, ["nodes"])]
