@@ -161,16 +161,14 @@ def _digest(part: pa.RecordBatch, tests: TestSuffixes | Iterable[TestSuffixes])
         np.add.at(edge, at + test.lengths[which], -1)
         firsts = np.concatenate(([0], np.flatnonzero(test.tokens == 0) + 1))
         where = np.searchsorted(words.at, at, "right") - 1
-        best: dict[int, dict] = {}
-        for d, w, a, k in zip(where.tolist(), which.tolist(), (at - words.at[where]).tolist(), length.tolist(), strict=True):
-            i = int(test.items[w])
+        item, place = test.items[which], at - words.at[where]
+        start = test.starts[which] - firsts[item] if len(which) else which
+        order = np.lexsort((start, place, -length, item, where))  # of each text and item, the longest match first, then the foremost
+        head = np.append(True, (where[order][1:] != where[order][:-1]) | (item[order][1:] != item[order][:-1])) if len(order) else np.zeros(0, bool)
+        top = order[head]
+        for d, i, s, a, k in zip(*(x[top].tolist() for x in (where, item, start, place, length)), strict=True):
             items[d].add(test.ids[i])
-            own = best.setdefault(d, {})
-            old = own.get(i)
-            if old is None or (k, -a) > (old["n_words"], -old["doc_word"]):
-                own[i] = {"item_id": test.ids[i], "item_word": int(test.starts[w] - firsts[i]), "doc_word": a, "n_words": k}
-        for d, own in best.items():
-            longest[d] += [own[i] for i in sorted(own)]
+            longest[d].append({"item_id": test.ids[i], "item_word": s, "doc_word": a, "n_words": k})
     hit = np.cumsum(edge[:-1]) > 0
     heads = np.zeros(len(words), bool)
     heads[words.at[:-1][words.at[:-1] < len(words)]] = True

@@ -65,6 +65,6 @@ def whole_groups(batches: Iterable[pa.RecordBatch], key: str = "bucket", most: i
         yield pa.Table.from_batches(held)
 
 
-def buckets_for(spark, least: int = 256) -> int:
+def buckets_for(partitions: int, least: int = 256) -> int:
     """Buckets to scatter into: a few for each shuffle partition."""
-    return max(least, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, 2 * partitions)

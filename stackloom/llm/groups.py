@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .schema import column
 
 GROUP_BYTES, MOST_BYTES, LEAST_GROUPS = 4 << 20, 32 << 20, 384
+#: Text that a shuffle partition has at most, on average; beyond, there are more partitions than the session sets.
+PARTITION_BYTES = 128 << 20
 
 
 def row_keys(doc_id: Column, text: Column) -> tuple[Column, Column]:
@@ -25,18 +27,20 @@ def row_keys(doc_id: Column, text: Column) -> tuple[Column, Column]:
 
 
 def deal(docs: DataFrame, keep: tuple[str, ...], bytes_each: int | None = None) -> tuple[DataFrame, int]:
-    """(rows grp, rid, rid2, keep..., text in groups of about bytes_each; number of groups).
+    """(rows grp, rid, rid2, keep..., text in groups of about bytes_each; number of shuffle partitions for them).
 
     Groups have 4 MB of text, and up to 32 MB where a shuffle partition would hold many of them: the larger a group,
     the more of its keys share a packed row, and the fewer times a common key is sent.
     """
     text = F.col("text").cast("string")
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    share = total // (16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    set_ = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(set_, -(-total // PARTITION_BYTES))
+    share = total // (16 * partitions)
     groups = max(LEAST_GROUPS, -(-total // (bytes_each or min(MOST_BYTES, max(GROUP_BYTES, share)))))
     rid, rid2 = row_keys(F.col("doc_id"), text)
     dealt = docs.select(F.pmod(F.xxhash64(rid, F.lit("deal")), F.lit(groups)).cast("int").alias("grp"), rid.alias("rid"), rid2.alias("rid2"), *[column(c).alias(f"k_{i}") for i, c in enumerate(keep)], text.alias("text"))
-    return dealt, groups
+    return (dealt.repartition(partitions, "grp") if partitions > set_ else dealt), partitions
 
 
 def in_order(table: pa.Table) -> pa.Table:

@@ -316,11 +316,11 @@ SCHEMA = "n_tokens long, n_known long, base_score double, score double"
 def score_texts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), remainder: int = 1) -> tuple[DataFrame, Vocabulary]:
     """(keep, n_tokens, n_known, base_score and score of every text; totals). Texts of doc_id held out are not learned from."""
     spark = docs.sparkSession
-    partitions, buckets = int(spark.conf.get("spark.sql.shuffle.partitions")), buckets_for(spark)
     text = F.col("text").cast("string").alias("text")
     learned = ~held_out(F.col("doc_id"), remainder)
     carried = docs.select("doc_id", "text", *[column(c).alias(f"kept_{i}") for i, c in enumerate(keep)], learned.alias("learned"))
-    dealt, _ = deal(carried, (*[f"kept_{i}" for i in range(len(keep))], "learned"))
+    dealt, partitions = deal(carried, (*[f"kept_{i}" for i in range(len(keep))], "learned"))
+    buckets = buckets_for(partitions)
     learn = f"k_{len(keep)}"
     texts = dealt.groupBy("grp")
 

@@ -362,12 +362,11 @@ def link_texts(
     sid and comp are null for empty sets. sets: makes other sets than k-word shingles from texts, as `shingles` does.
     banded: sets are partitioned by length, and meet only within a band of lengths and with its neighbour.
     """
-    spark = docs.sparkSession
-    partitions, buckets = int(spark.conf.get("spark.sql.shuffle.partitions")), buckets_for(spark)
-    bits = max(8, (buckets - 1).bit_length())
     t = Threshold(least, of)
     fields = (*keep, *(["doc_id"] if "doc_id" not in keep else []))
-    dealt, _ = deal(docs, fields)
+    dealt, partitions = deal(docs, fields)
+    buckets = buckets_for(partitions)
+    bits = max(8, (buckets - 1).bit_length())
     id_at = f"k_{fields.index('doc_id')}"
     texts = dealt.groupBy("grp")
 

@@ -79,9 +79,8 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), window:
     A word goes if it lies in a window whose word sequence also starts anywhere else. What stays of the text keeps its
     own white space; kept_sha256 is of the kept words joined by single spaces.
     """
-    spark = docs.sparkSession
-    partitions, buckets = int(spark.conf.get("spark.sql.shuffle.partitions")), buckets_for(spark)
-    dealt, _ = deal(docs, keep)
+    dealt, partitions = deal(docs, keep)
+    buckets = buckets_for(partitions)
     period, cover = cover_for(window)
     short = window - period + 1
 

@@ -33,3 +33,20 @@ def test_planted_cases(spark, tmp_path):
     assert all(out[i].text == before[i] for i in range(150) if i in out) and out[330].ids == []
     assert out[0].__fields__ == ["doc_id", "text", "rid", "n_chars", "ids", "n_tokens"]
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_odd_tables(spark, tmp_path):
+    """Empty tables, null ids and texts, repeated rows and clashing columns."""
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text, "a", "s"), (1, text, "a", "s"), (None, text, "b", "t"), (None, None, "c", "u"), (None, None, "c", "u"), (2, "", "d", "v"), (3, "short text", "e", "w"), (3, "other short text", "e", "w")]
+    schema = "doc_id long, text string, score string, items string"
+    for name, docs in (("some", rows), ("none", [])):
+        spark.createDataFrame(docs, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "some"))
+    got = sorted((repr(r.doc_id), repr(r.text), r.score, r.items) for r in out.collect())
+    # Of the three equal texts the one with the smallest id stays; rows without words are all kept.
+    assert got == sorted((repr(d), repr(t), a, b) for d, t, a, b in [rows[0], *rows[3:]])
+    assert out.columns == ["doc_id", "text", "score", "items", "ids", "n_tokens"]
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
