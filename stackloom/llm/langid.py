@@ -79,8 +79,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE, most: int = LANGUAGES) -> Langu
     size = checkpointed(known.groupBy("lang").agg(F.count(F.lit(1)).alias("size")))
     if (n := size.count()) > most:
         raise ValueError(f"{n} languages are labelled; at most {most} make a model")
+    # A join by shuffle would send all texts of a language to one task; the sizes are few, as just counted.
     spread = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_003)) / 1_000_003.0
-    some = known.join(size, "lang").where(spread * F.col("size") < sample).select("lang", F.col("text").cast("string").alias("text"))
+    some = known.join(F.broadcast(size), "lang").where(spread * F.col("size") < sample).select("lang", F.col("text").cast("string").alias("text"))
     counted = some.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     rows = counted.toPandas()
     names = sorted(rows["lang"].unique())
