@@ -87,7 +87,7 @@ def _lattice(args: argparse.Namespace, ctx: DataFrame, names: DataFrame) -> bool
         groups, _ = context.distinct_intents(ctx)
         counts = {"attributes": ctx.select("attr").distinct().count(), "groups": groups.count()}
         stages.over("merge")
-        counts["nodes"] = lattice.concepts(ctx).count()
+        counts["nodes_with_empty"], counts["nodes"] = lattice.full_lattice(ctx).count(), lattice.concepts(ctx).count()
         stages.over("finalize")
         lattice.group_matrix(ctx, "subsumption" if args.subsumption_similarity else "simple").write.format("noop").mode("overwrite").save()
         stages.over("similarity")

@@ -75,24 +75,31 @@ def reachable(edge: DataFrame) -> DataFrame:
     return known
 
 
-def full_lattice(context: DataFrame, most: int = 20_000) -> DataFrame:
+def full_lattice(context: DataFrame, most: int | None = None) -> DataFrame:
     """Every intersection of intents, with the union of all: the nodes before empty ones are removed.
 
-    Their number can grow exponentially with the attributes; more than `most` is an error, not a cut.
+    Round by round, the sets that are new meet the distinct intents on shared attributes; what a pair shares is its
+    intersection. There are as many rounds as intents that it takes at most to make a set. The number of sets can grow
+    exponentially with the attributes; more than `most`, if given, is an error, not a cut.
     """
-    closed = {frozenset(r.intent) for r in equality_groups(context).select("intent").toLocalIterator()}
-    every = frozenset().union(*closed) if closed else frozenset()
-    queue = list(closed)
-    while queue:
-        one = queue.pop()
-        for other in list(closed):
-            if (both := one & other) not in closed:
-                closed.add(both)
-                queue.append(both)
-                if len(closed) > most:
-                    raise ValueError(f"more than {most} nodes")
-    kind = context.schema["attr"].dataType.simpleString()
-    return context.sparkSession.createDataFrame([(sorted(x),) for x in closed | {every}], f"intent array<{kind}>")
+    groups, _ = distinct_intents(context)
+    base = checkpointed(groups.select("intent"))
+    kind = base.schema["intent"].dataType
+    n = base.count()
+    known = fresh = base
+    entry = base.select(_node_id().alias("y"), F.explode("intent").alias("attr"))
+    while not fresh.isEmpty():
+        left = fresh.select(_node_id().alias("x"), F.explode_outer("intent").alias("attr"))
+        pairs = checkpointed(left.join(entry, "attr").groupBy("x", "y").agg(F.sort_array(F.collect_list("attr")).alias("intent")))
+        found = pairs.select("intent").distinct()
+        if pairs.count() < fresh.count() * n:  # some pair shares nothing
+            found = found.union(base.sparkSession.createDataFrame([([],)], base.schema))
+        fresh = checkpointed(found.join(known, "intent", "left_anti"))
+        known = checkpointed(known.union(fresh))
+        if most is not None and known.count() > most:
+            raise ValueError(f"more than {most} nodes")
+    every = context.agg(F.sort_array(F.collect_set("attr")).cast(kind).alias("intent")).where(F.lit(n > 0))
+    return known.union(every).distinct()
 
 
 def pair_statistics(nodes: DataFrame) -> DataFrame:

@@ -254,6 +254,9 @@ SELECT a.p, b.p AS q, round(coalesce(v, 0) / (a.n + b.n - coalesce(c, 0)), 9) AS
     "equality_groups": PAIR_SETS + """, s AS (SELECT p, string_agg(caller || '-' || callee, ',' ORDER BY caller, callee) AS intent FROM m GROUP BY p)
 SELECT intent, string_agg(p, ',' ORDER BY p) AS objects, min(p) AS first FROM s GROUP BY intent""",
     "concept_nodes": SUPPLIERS + "SELECT array_to_string(intent, ',') AS intent, array_to_string(reduced, ',') AS reduced, array_to_string(objects, ',') AS objects, is_min, is_max FROM nodes",
+    "full_lattice": SUPPLIERS + """, closed AS (
+  SELECT DISTINCT intent FROM intents UNION SELECT coalesce(list_sort(list_intersect(c.intent, i.intent)), CAST([] AS VARCHAR[])) FROM closed c CROSS JOIN (SELECT DISTINCT intent FROM intents) i
+) SELECT array_to_string(intent, ',') AS intent FROM (SELECT intent FROM closed UNION SELECT list_sort(list(attr)) FROM attrs)""",
     "concept_edges": SUPPLIERS + """SELECT array_to_string(lower, ',') AS lower, array_to_string(upper, ',') AS upper FROM below b
 WHERE NOT EXISTS (SELECT 1 FROM below x JOIN below y ON x.upper = y.lower WHERE x.lower = b.lower AND y.upper = b.upper)""",
     "lattice_reachable": SUPPLIERS + "SELECT array_to_string(lower, ',') AS lower, array_to_string(upper, ',') AS upper FROM below",

@@ -120,7 +120,10 @@ def test_lattice_edges_and_full(spark):
     edges = lattice.edges(nodes).cache()
     assert {tuple(e) for e in edges.select("lower", "upper").collect()} == cover
     assert {tuple(e) for e in lattice.reachable(edges).select("lower", "upper").collect()} == below
-    assert lattice.full_lattice(ctx).count() >= len(sets)
+    closed = {frozenset(s) for s in rows.values()}
+    while new := {a & b for a in closed for b in closed} - closed:
+        closed |= new
+    assert {frozenset(x.intent) for x in lattice.full_lattice(ctx).collect()} == closed | {frozenset().union(*rows.values())}
     with pytest.raises(ValueError):
         lattice.full_lattice(ctx, 1)
     assert render.cxt(ctx).splitlines()[0] == "B"
