@@ -148,7 +148,16 @@ _CALL = "process, call_id, parent_call_id, depth, function, caller, t_begin, t_e
 _SCORES = "SELECT p, q, score, CAST(least(len(a), len(b)) AS INTEGER) AS achievable, CAST(greatest(len(a), len(b)) AS INTEGER) AS most FROM pairs"
 
 
+def crc(text: str) -> str:
+    """CRC-16 of an ASCII text modulo 255, bit by bit: a byte enters with the first of its eight steps."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [CAST(ord(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    step = "CASE WHEN xor(a, x) & 1 = 1 THEN xor(xor(a, x) >> 1, 33800) ELSE xor(a, x) >> 1 END"
+    return f"CAST(xor(list_reduce(list_prepend(CAST(65535 AS BIGINT), {steps}), lambda a, x: {step}), 65535) % 255 AS INTEGER)"
+
+
 ORACLES: dict[str, str] = {
+    "colours": f"""SELECT function, {crc("name")} AS r, {crc("repeat(name, 2)")} AS g, {crc("repeat(name, 3)")} AS b
+FROM (VALUES (1, 'signup'), (2, 'view'), (3, 'click'), (4, 'purchase'), (5, 'error')) v(function, name)""",
     "stack_calls": DROPPED + f"SELECT {_CALL}, (SELECT string_agg(e.f, '>' ORDER BY e.line) FROM e WHERE e.process = calls.process AND list_contains(calls.chain, e.line)) AS path FROM calls",
     "stack_calls_clamped": CLAMPED + f"SELECT {_CALL} FROM calls",
     "selected_processes": DROPPED + "SELECT process, count(*) AS calls, CAST(sum(exclusive) AS BIGINT) AS exclusive FROM calls WHERE process = 2 OR process BETWEEN 4 AND 9 GROUP BY process",

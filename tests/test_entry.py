@@ -51,3 +51,21 @@ print(len(e.queries()), len(e.oracle_sql()), any(n.startswith("op") for n in e.q
 """
     out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120, check=True).stdout.split()
     assert out[0] == str(len(CORE)) and out[2] == "False"
+
+
+def test_shared_folder():
+    """The session's setting comes first; without one, only local mode makes a folder of its own."""
+    from types import SimpleNamespace as N
+
+    from stackloom.plans.session import shared_folder
+
+    def session(master, own=None, held=None):
+        option = N(isDefined=lambda: held is not None, get=lambda: held)
+        context = N(master=master, _jsc=N(sc=lambda: N(getCheckpointDir=lambda: option)), getConf=lambda: N(get=lambda key: None))
+        return N(sparkContext=context, conf=N(get=lambda key, default: own))
+
+    assert shared_folder(session("yarn", "hdfs:/a/", "hdfs:/b")) == "hdfs:/a" and shared_folder(session("yarn", None, "hdfs:/b")) == "hdfs:/b"
+    assert shared_folder(session("local[4]")).startswith("file:")
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            shared_folder(session(master))
