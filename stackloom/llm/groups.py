@@ -26,6 +26,11 @@ def row_keys(doc_id: Column, text: Column) -> tuple[Column, Column]:
     return F.xxhash64(none, doc_id, text), F.xxhash64(text, F.lit("second"), doc_id, none)
 
 
+def partitions_for(docs: DataFrame, total: int) -> int:
+    """Shuffle partitions for `total` bytes of text: as many as the session sets, or more."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
+
+
 def deal(docs: DataFrame, keep: tuple[str, ...], bytes_each: int | None = None) -> tuple[DataFrame, int]:
     """(rows grp, rid, rid2, keep..., text in groups of about bytes_each; number of shuffle partitions for them).
 
@@ -35,7 +40,7 @@ def deal(docs: DataFrame, keep: tuple[str, ...], bytes_each: int | None = None)
     text = F.col("text").cast("string")
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     set_ = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    partitions = max(set_, -(-total // PARTITION_BYTES))
+    partitions = partitions_for(docs, total)
     share = total // (16 * partitions)
     groups = max(LEAST_GROUPS, -(-total // (bytes_each or min(MOST_BYTES, max(GROUP_BYTES, share)))))
     rid, rid2 = row_keys(F.col("doc_id"), text)

@@ -10,7 +10,8 @@ rarest signatures, and pairs that the lengths and the places of common signature
 
 A text is also fingerprinted after an edit that replaces its end by the beginning of the next document. For that,
 documents are dealt out by ranges of doc_id; the first document of each range is also sent to the range before it, so
-each text meets its neighbour with one shuffle of the texts.
+each text meets its neighbour with one shuffle of the texts. A doc_id that many rows share, or their lack of one, is
+cut further, by ranges of the hash that orders its rows. A range is sorted by Spark and streamed, never held.
 
 Defined cases: null texts are empty; an empty text has an empty fingerprint, like only other empty ones; a text
 without words has the hash of its bytes for its only signature; equal doc_ids are ordered by a hash of their texts,
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,12 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columnar import U64, WORD_BY_ALNUM, Texts, Words, mix64, slices
-from .groups import LEAST_GROUPS
+from .groups import LEAST_GROUPS, partitions_for
 from .ngram_join import link_texts
 
 CHAIN = 2
 #: Words in a row without a common one, from which on each is an anchor.
 RUN = 8
+#: Ranges of doc_id at most, as their bounds are held by the driver and in the plan; beyond, ranges are longer.
+MOST_RANGES = 1 << 14
 
 # Common words of four languages.
 COMMON = """
@@ -193,25 +197,44 @@ def _rank(column: Column, cuts: list) -> Column:
     return F.aggregate(F.array(*[F.lit(k) for k in steps]), F.lit(0), lambda at, step: F.when(F.coalesce(F.try_element_at(array, at + step) > column, F.lit(False)), at + step).otherwise(at))
 
 
+def _range(doc_id: Column, rid: Column, bounds: dict, nulls: int) -> tuple[Column, Column, Column]:
+    """rank, parts and grp, each made from those before; grp numbers ranges in the order of rows: descending doc_id, nulls last, then rid.
+
+    bounds: values of doc_id, and how many ranges the rows with just this value fill; nulls: ranges of rows without one.
+    """
+    cuts = sorted(bounds, reverse=True)
+    rank = F.when(doc_id.isNull(), len(cuts) + 1).otherwise(_rank(doc_id, cuts))
+    parts = F.lit(1)
+    if cuts:
+        own, at = F.array(*[F.lit(bounds[c]) for c in cuts]), F.col("rank") + 1
+        here = F.try_element_at(F.array(*[F.lit(c) for c in cuts]), at) == doc_id
+        parts = F.coalesce(F.when(here, F.try_element_at(own, at)), parts)
+    parts = F.when(doc_id.isNull(), nulls).otherwise(parts)
+    part = F.least(F.floor((rid.cast("double") / 2.0**64 + 0.5) * F.col("parts")), F.col("parts") - 1)
+    grp = F.col("rank").cast("long") * (max(nulls, *bounds.values(), 1) + 1) + F.when(F.col("parts") > 1, part + 1).otherwise(0)
+    return rank.alias("rank"), parts.alias("parts"), grp.cast("long").alias("grp")
+
+
 def fingerprint_with_neighbours(docs: DataFrame) -> DataFrame:
     """doc_id and SCHEMA for every document; the neighbour is the next in descending doc_id, the first for the last."""
     spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("rid"), text.alias("text"))
-    n = docs.count()
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known"), F.sum(F.octet_length(F.col("text").cast("string"))).alias("bytes")).first()
+    n = size.n
     result = f"doc_id {kind}, {SCHEMA}"
     if not n:
         return spark.createDataFrame([], result)
-    groups = min(n, max(LEAST_GROUPS, 4 * partitions))
-    cuts = docs.select(F.percentile_approx("doc_id", [i / groups for i in range(1, groups)] or [0.5], 20 * groups)).first()[0]
-    cuts = sorted(set(cuts or []), reverse=True)
-    placed = rows.withColumn("grp", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(_rank(F.col("doc_id"), cuts)).cast("int"))
+    partitions = partitions_for(docs, size.bytes or 0)
+    ranges = min(n, MOST_RANGES, max(LEAST_GROUPS, 4 * partitions))
+    cuts = docs.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 20 * ranges)).first()[0]
+    rank, parts, grp = _range(F.col("doc_id"), F.col("rid"), Counter(cuts or []), max(1, (n - size.known) * ranges // n))
+    placed = rows.select("*", rank).select("*", parts).select("doc_id", "rid", "text", grp)
     order = F.struct(F.col("doc_id").isNotNull(), "doc_id", F.bitwise_not("rid"))
     firsts = placed.drop("text").groupBy("grp").agg(F.max_by(F.struct("doc_id", "rid"), order).alias("f")).orderBy("grp").collect()
     used = [r.grp for r in firsts]
-    halo = spark.createDataFrame([(used[i - 1], r.f.doc_id, r.f.rid) for i, r in enumerate(firsts)], f"to int, h_id {kind}, h_rid long")
+    halo = spark.createDataFrame([(used[i - 1], r.f.doc_id, r.f.rid) for i, r in enumerate(firsts)], f"to long, h_id {kind}, h_rid long")
     # One row of each first document goes to the range before; equal rows are interchangeable.
     guests = rows.join(F.broadcast(halo), F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("rid") == F.col("h_rid"))).dropDuplicates(["to"])
     sent = placed.select("grp", F.lit(False).alias("halo"), "doc_id", "rid", "text").unionByName(guests.select(F.col("to").alias("grp"), F.lit(True).alias("halo"), "doc_id", "rid", "text"))

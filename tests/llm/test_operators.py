@@ -259,6 +259,22 @@ def test_neighbours(spark, odd, none):
     assert one.near_next == 1
 
 
+def test_neighbours_of_a_hot_doc_id(spark):
+    """Half of the rows share a doc_id, a quarter has none: their ranges are cut, and each row still meets its neighbour."""
+    rows = [(5000, f"hot {i} row") for i in range(3000)] + [(None, f"none {i}") for i in range(1500)] + [(4000 + i, f"plain {i}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = spotsigs.fingerprint_with_neighbours(docs)
+    tasks = got.groupBy(F.spark_partition_id()).count().collect()
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid")).collect()
+    keyed.sort(key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.rid))
+    want = Counter()
+    for r, nxt in zip(keyed, keyed[1:] + keyed[:1], strict=True):
+        take = len(r.text) // 3
+        want[r.doc_id, hashlib.sha256((r.text[: len(r.text) - take] + nxt.text[:take]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in got.collect()) == want
+    assert len(tasks) > 2 and max(r["count"] for r in tasks) < 0.5 * len(rows)
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 2, None, "x"), (1, 2, None, "x"), (1, -1, "system", "s"), (None, 0, " ", "y"), (2, 0, "system", "alone")]
     got = chat.rotate_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
