@@ -5,7 +5,7 @@ marked). Overlapping windows of `WIDTH` words, `STRIDE` apart, cover all words o
 attention pools the states of both directions within a window, and the highest window gives the text's score.
 
 The network is fitted on the driver on a bounded sample of labelled rows: at most `positives` and `negatives` texts,
-chosen by a hash of doc_id, without those of more than `LONGEST` bytes. Sampled texts are taken whole. A text's label goes to
+chosen by a hash of doc_id, without those of more than `longest` bytes. Sampled texts are taken whole. A text's label goes to
 random windows at first, then to the one that the network ranks first (multiple instances); the highest windows of clean texts are taken up again as
 hard examples. Everything is seeded, so equal inputs give equal scores.
 
@@ -286,24 +286,24 @@ def score_texts(net: Network | float, texts: Texts) -> np.ndarray:
     return _sigmoid(np.maximum.reduceat(logit, np.searchsorted(text, np.arange(len(texts)))))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> tuple[list[str], list[int]]:
-    """At most `positives` and `negatives` labelled texts of at most LONGEST bytes outside the held-out fifth, by a hash of doc_id."""
+def training_sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, longest: int = LONGEST) -> tuple[list[str], list[int]]:
+    """At most `positives` and `negatives` labelled texts of at most `longest` bytes outside the held-out fifth, by a hash of doc_id."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id", F.lit("toxic")))
     parts = [known.where(F.col("toxic") == kind).orderBy("h", "doc_id").limit(most) for kind, most in ((1, positives), (0, negatives))]
     chosen = parts[0].unionByName(parts[1])
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    short = source.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST)
+    short = source.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)
     found = short.join(F.broadcast(chosen), "doc_id").groupBy("h").agg(F.max("toxic").alias("toxic"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
     rows = found.collect()
     rows = sorted(rows, key=lambda r: (r.h, r.text))
     return [r.text for r in rows], [int(r.toxic) for r in rows]
 
 
-def _scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...], positives: int, negatives: int) -> DataFrame:
+def _scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...], sample: tuple[int, int, int]) -> DataFrame:
     """The columns `keep` as k_0, k_1, ... and the score."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(fit(*training_sample(docs, labels, positives, negatives)))
+    sent = spark.sparkContext.broadcast(fit(*training_sample(docs, labels, *sample)))
     source = carried(docs, keep)
     fields = source.schema.fields[:-1]
 
@@ -315,12 +315,12 @@ def _scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...], positives
     return source.mapInArrow(run, with_fields(fields, "score double"))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), positives: int = POSITIVES, negatives: int = NEGATIVES) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), positives: int = POSITIVES, negatives: int = NEGATIVES, longest: int = LONGEST) -> DataFrame:
     """The columns `keep` and `score`, the probability of toxic = 1, of every text."""
-    return named(_scored(docs, labels, keep, positives, negatives), keep)
+    return named(_scored(docs, labels, keep, (positives, negatives, longest)), keep)
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, least: float = 0.5, positives: int = POSITIVES, negatives: int = NEGATIVES) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame, least: float = 0.5, positives: int = POSITIVES, negatives: int = NEGATIVES, longest: int = LONGEST) -> DataFrame:
     """The rows of docs that score below `least`, with all their columns."""
     keep = tuple(docs.columns)
-    return named(_scored(docs, labels, keep, positives, negatives).where(F.col("score") < least).drop("score"), keep)
+    return named(_scored(docs, labels, keep, (positives, negatives, longest)).where(F.col("score") < least).drop("score"), keep)

@@ -310,6 +310,8 @@ def test_training_sample_is_bounded(spark):
     assert sum(kinds) == 6 and len(kinds) == 14
     got, kinds = toxicity.training_sample(docs, labels)
     assert Counter(kinds) == Counter(i % 2 for i in known) and ("again" in got) == (7 in known) and max(map(len, got)) < 100
+    short, kinds = toxicity.training_sample(docs, labels, longest=21)
+    assert len(kinds) == sum(i < 10 for i in known) and max(map(len, short)) <= 21 < max(map(len, got))
 
 
 def test_one_word_items(spark):
