@@ -29,6 +29,12 @@ def distinct_intents(context: DataFrame) -> tuple[DataFrame, DataFrame]:
     return groups, members
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows (attr, ...) with `at`, the number of the attribute from 0 in order."""
+    every = rows.agg(F.sort_array(F.collect_set("attr")).alias("every"))
+    return rows.join(every.select(F.posexplode("every").alias("at", "attr")), "attr")
+
+
 def equality_groups(context: DataFrame) -> DataFrame:
     """For display: intent, sorted objects, least object."""
     return intents(context).groupBy("intent").agg(F.sort_array(F.collect_list("object")).alias("objects"), F.min("object").alias("first"))

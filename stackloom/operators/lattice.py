@@ -10,12 +10,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import checkpointed
-from .context import distinct_intents, equality_groups, intents
+from .blocks import Pairs, crossed, packed, widened
+from .context import distinct_intents, equality_groups, intents, numbered
 
 
 def _node_id(intent: str = "intent"):
@@ -49,20 +52,84 @@ def concepts(context: DataFrame) -> DataFrame:
     return checkpointed(merged.select(_node_id().alias("node"), "intent", "reduced", "objects", "is_min", "is_max"))
 
 
-def edges(nodes: DataFrame) -> DataFrame:
-    """The covering relation: (lower, upper) with lower a proper subset and nothing between.
+def _placed(nodes: DataFrame) -> DataFrame:
+    """node, at (numbers of its attributes), size."""
+    own = numbered(nodes.select("node", F.explode("intent").alias("attr"))).groupBy("node").agg(F.collect_list("at").alias("at"))
+    at = F.coalesce("at", F.array().cast("array<int>"))
+    return nodes.select("node").join(own, "node", "left").select("node", at.alias("at"), F.size(at).alias("size"))
+
+
+def _above(sets: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Which sets contain one of `least`; both are rows of bits."""
+    out = np.zeros(len(sets), bool)
+    step = max(1, (1 << 20) // max(1, sets.size))
+    for i in range(0, len(least), step):
+        some = least[i : i + step]
+        out |= ((sets[:, None] & some) == some).all(2).any(1)
+    return out
+
+
+def _contained(lower: DataFrame, upper: DataFrame, proper: bool, covers: bool = False) -> DataFrame:
+    """(lower, upper): labels of the rows (label, at, size) of lower and of the rows of upper whose sets contain theirs.
 
-    Containment is an equi-join on attributes: a set lies in another if it shares all its own. Of all sets above one, a
-    set is a cover if none of the others lies in it: pairs that chains of two steps lead to are taken out by an anti join.
+    With covers, upper's sets are distinct and pairs are left out that a third set lies between. Upper rows come by
+    size, so a set that contains a cover found before, or a smaller one of its own batch, is none. A block holds the
+    bits of its sets and of their covers so far.
     """
-    sized = checkpointed(nodes.select("node", "intent", F.size("intent").alias("size")))
-    member = sized.select("node", "size", F.explode("intent").alias("attr"))
-    met = member.alias("x").join(member.alias("y"), "attr").where("x.size < y.size").groupBy(F.col("x.node").alias("lower"), F.col("y.node").alias("upper"), F.col("x.size").alias("size")).agg(F.count(F.lit(1)).alias("shared"))
-    inside = met.where("shared = size").select("lower", "upper")
-    empty = sized.where("size = 0").select(F.col("node").alias("lower")).join(sized.where("size > 0").select(F.col("node").alias("upper")))
-    below = checkpointed(inside.union(empty))
-    longer = below.alias("x").join(below.alias("y"), F.col("x.upper") == F.col("y.lower")).select(F.col("x.lower").alias("lower"), F.col("y.upper").alias("upper"))
-    return checkpointed(below.join(longer, ["lower", "upper"], "left_anti"))
+
+    def body(left: pa.RecordBatch, right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = packed(left["at"])
+        size = left["size"].to_numpy()
+        found = [low[:0]] * len(low)
+        for batch in right:
+            up = packed(batch["at"])
+            words = max(low.shape[1], up.shape[1])
+            low, up = widened(low, words), widened(up, words)
+            first = np.ascontiguousarray(up[:, 0])
+            sizes = batch["size"].to_numpy()
+            starts = np.searchsorted(sizes, size, "right" if proper else "left")
+            pairs = Pairs(["lower", "upper"], left["label"], batch["label"])
+            for i, (row, start) in enumerate(zip(low, starts, strict=True)):
+                hits = start + np.flatnonzero((first[start:] & row[0]) == row[0])
+                for k in range(1, words):
+                    if row[k] and len(hits):
+                        hits = hits[(up[hits, k] & row[k]) == row[k]]
+                if covers and len(hits):
+                    known = widened(found[i], words)
+                    hits = hits[~_above(up[hits], known)]
+                    new = []
+                    while len(hits):
+                        n = np.searchsorted(sizes[hits], sizes[hits[0]], "right")
+                        new.append(hits[:n])
+                        hits = hits[n:]
+                        hits = hits[~_above(up[hits], up[new[-1]])]
+                    hits = np.concatenate(new) if new else hits
+                    found[i] = np.concatenate([known, up[hits]])
+                if len(hits):
+                    yield from pairs.add(i, hits)
+            yield from pairs.rest()
+
+    kind = lambda df: df.schema["label"].dataType.simpleString()
+    return crossed(lower, upper, ["size"], body, f"lower {kind(lower)}, upper {kind(upper)}")
+
+
+def _labelled(nodes: DataFrame, label: Column | None) -> DataFrame:
+    named = nodes.select("node", (F.col("node") if label is None else label).alias("label"))
+    return checkpointed(_placed(nodes).join(named, "node").select("label", "at", "size"))
+
+
+def covers(nodes: DataFrame, label: Column | None = None) -> DataFrame:
+    """The covering relation: (lower, upper) with lower a proper subset and nothing between; nodes by a column or by id.
+
+    Blocks of nodes are compared with all nodes as bits. No pair is shuffled; only covers leave the tasks.
+    """
+    own = _labelled(nodes, label)
+    return _contained(own, own, True, True)
+
+
+def edges(nodes: DataFrame) -> DataFrame:
+    """The covering relation by node, kept for several uses."""
+    return checkpointed(covers(nodes))
 
 
 def reachable(edge: DataFrame) -> DataFrame:
@@ -208,4 +275,4 @@ def brute_force_nodes(sets: dict[int, set]) -> set[frozenset]:
     return {c for c in closed if c in (every, least) or c in rows or reduced[c]}
 
 
-__all__ = ["all_objects", "brute_force_nodes", "concepts", "edges", "full_lattice", "group_matrix", "grouped_objects", "intents", "pair_statistics", "pair_totals", "reachable", "threshold_groups"]
+__all__ = ["all_objects", "brute_force_nodes", "concepts", "covers", "edges", "full_lattice", "group_matrix", "grouped_objects", "intents", "pair_statistics", "pair_totals", "reachable", "threshold_groups"]
