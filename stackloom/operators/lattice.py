@@ -132,6 +132,12 @@ def edges(nodes: DataFrame) -> DataFrame:
     return checkpointed(covers(nodes))
 
 
+def contained(nodes: DataFrame, label: Column | None = None) -> DataFrame:
+    """(lower, upper) of all nodes that lie below one another: what `reachable` makes of the covering relation, without it."""
+    own = _labelled(nodes, label)
+    return _contained(own, own, True)
+
+
 def reachable(edge: DataFrame) -> DataFrame:
     """(lower, upper) of all nodes that lie below one another, from the covering relation."""
     known = fresh = checkpointed(edge.select("lower", "upper").distinct())
@@ -275,4 +281,4 @@ def brute_force_nodes(sets: dict[int, set]) -> set[frozenset]:
     return {c for c in closed if c in (every, least) or c in rows or reduced[c]}
 
 
-__all__ = ["all_objects", "brute_force_nodes", "concepts", "covers", "edges", "full_lattice", "group_matrix", "grouped_objects", "intents", "pair_statistics", "pair_totals", "reachable", "threshold_groups"]
+__all__ = ["all_objects", "brute_force_nodes", "concepts", "contained", "covers", "edges", "full_lattice", "group_matrix", "grouped_objects", "intents", "pair_statistics", "pair_totals", "reachable", "threshold_groups"]

@@ -210,8 +210,7 @@ def concept_edges(spark, sf_dir):
 
 @query
 def lattice_reachable(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir)
-    return _shown_edges(nodes, lattice.reachable(lattice.edges(nodes)))
+    return lattice.contained(_nodes(spark, sf_dir), _joined("intent"))
 
 
 @query

@@ -46,3 +46,11 @@ def test_dot_of_many_nodes(spark, many, monkeypatch):
     rows, moved = shuffled(spark, lambda: render.lattice_dot(nodes, lattice.edges(nodes)).where("ord = 2").collect())
     assert sorted(r.line for r in rows) == sorted(f'  "{x[:12]}" -> "{y[:12]}";' for x, y in covering(sets)[1])
     assert moved < 60 * len(sets)
+
+
+def test_contained_of_many_nodes(spark, many, monkeypatch):
+    monkeypatch.setattr(blocks, "ROWS", 150)
+    _, nodes, sets, _ = many
+    rows, moved = shuffled(spark, lambda: lattice.contained(nodes).collect())
+    assert {tuple(r) for r in rows} == covering(sets)[0] and len(rows) == len({tuple(r) for r in rows})
+    assert moved < 40 * len(sets)
