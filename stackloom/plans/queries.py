@@ -197,15 +197,9 @@ def full_lattice(spark, sf_dir):
     return lattice.full_lattice(_suppliers(spark, sf_dir)).select(_joined("intent").alias("intent"))
 
 
-def _shown_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    name = lambda side: nodes.select(F.col("node").alias(f"{side}_node"), _joined("intent").alias(side))
-    return edges.select(F.col("lower").alias("lower_node"), F.col("upper").alias("upper_node")).join(name("lower"), "lower_node").join(name("upper"), "upper_node").select("lower", "upper")
-
-
 @query
 def concept_edges(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir)
-    return _shown_edges(nodes, lattice.edges(nodes))
+    return lattice.covers(_nodes(spark, sf_dir), _joined("intent"))
 
 
 @query

@@ -48,6 +48,15 @@ def test_dot_of_many_nodes(spark, many, monkeypatch):
     assert moved < 60 * len(sets)
 
 
+def test_covers_of_many_nodes(spark, many, monkeypatch):
+    _, nodes, sets, _ = many
+    for size in (100_000, 150):
+        monkeypatch.setattr(blocks, "ROWS", size)
+        rows, moved = shuffled(spark, lambda: lattice.edges(nodes).collect())
+        assert {tuple(r) for r in rows} == covering(sets)[1] and len(rows) == len({tuple(r) for r in rows})
+        assert moved < 40 * len(sets) < len(sets) ** 2 / 8
+
+
 def test_contained_of_many_nodes(spark, many, monkeypatch):
     monkeypatch.setattr(blocks, "ROWS", 150)
     _, nodes, sets, _ = many
