@@ -190,12 +190,13 @@ def pair_totals(nodes: DataFrame) -> DataFrame:
     return every.agg(F.countDistinct(F.when(F.col("calls"), F.col("f"))).alias("callers"), F.countDistinct(F.when(~F.col("calls"), F.col("f"))).alias("callees"), F.countDistinct("f").alias("functions"))
 
 
-def all_objects(nodes: DataFrame, edge: DataFrame) -> DataFrame:
+def all_objects(nodes: DataFrame, label: Column | None = None) -> DataFrame:
     """node, object: every object whose attributes include the node's, its own ones and those of all nodes above."""
-    above = reachable(edge).select(F.col("lower").alias("node"), F.col("upper").alias("from"))
-    each = above.unionByName(nodes.select("node", F.col("node").alias("from")))
-    own = nodes.select(F.col("node").alias("from"), F.explode("objects").alias("object"))
-    return each.join(own, "from").select("node", "object")
+    placed = checkpointed(_placed(nodes))
+    shown = nodes.select("node", (F.col("node") if label is None else label).alias("label"))
+    objects = nodes.select("node", F.explode("objects").alias("label"))
+    side = lambda names: placed.join(names, "node").select("label", "at", "size")
+    return _contained(checkpointed(side(shown)), side(objects), False).select(F.col("lower").alias("node"), F.col("upper").alias("object"))
 
 
 def group_matrix(context: DataFrame, metric: str = "simple") -> DataFrame:

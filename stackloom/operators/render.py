@@ -122,7 +122,7 @@ def lattice_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """By node: reduced attributes, own objects, all objects of the node and of those above it, direct neighbours."""
     up = edges.groupBy(F.col("lower").alias("node")).agg(F.sort_array(F.collect_list("upper")).alias("supersets"))
     down = edges.groupBy(F.col("upper").alias("node")).agg(F.sort_array(F.collect_list("lower")).alias("subsets"))
-    every = lattice.all_objects(nodes, edges).groupBy("node").agg(F.sort_array(F.collect_set("object")).alias("all_objects"))
+    every = lattice.all_objects(nodes).groupBy("node").agg(F.sort_array(F.collect_set("object")).alias("all_objects"))
     rows = nodes.join(up, "node", "left").join(down, "node", "left").join(every, "node", "left")
     return rows.select("node", "reduced", "objects", "all_objects", "subsets", "supersets", "is_min", "is_max").orderBy("node")
 

@@ -407,9 +407,7 @@ def pair_totals(spark, sf_dir):
 
 @query
 def lattice_objects(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir)
-    every = lattice.all_objects(nodes, lattice.edges(nodes))
-    return every.join(nodes.select("node", _joined("intent").alias("intent")), "node").select("intent", "object")
+    return lattice.all_objects(_nodes(spark, sf_dir), _joined("intent")).withColumnRenamed("node", "intent")
 
 
 @query

@@ -63,3 +63,11 @@ def test_contained_of_many_nodes(spark, many, monkeypatch):
     rows, moved = shuffled(spark, lambda: lattice.contained(nodes).collect())
     assert {tuple(r) for r in rows} == covering(sets)[0] and len(rows) == len({tuple(r) for r in rows})
     assert moved < 40 * len(sets)
+
+
+def test_objects_of_many_nodes(spark, many, monkeypatch):
+    monkeypatch.setattr(blocks, "ROWS", 150)
+    _, nodes, sets, own = many
+    rows, moved = shuffled(spark, lambda: lattice.all_objects(nodes).collect())
+    assert sorted(map(tuple, rows)) == sorted((n, o) for n, s in sets.items() for o, attrs in own.items() if s <= attrs)
+    assert moved < 40 * len(sets)
