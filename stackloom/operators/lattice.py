@@ -148,31 +148,104 @@ def reachable(edge: DataFrame) -> DataFrame:
     return known
 
 
+def _closed_sets(rows: np.ndarray, first: int) -> Iterator[np.ndarray]:
+    """Every intersection of rows whose least column is `first`, once, as rows of booleans; all rows have that column.
+
+    Close-by-one: a set grows by a column and by all that the rows with both have in common; if that brings in a smaller
+    column, the set comes up elsewhere.
+    """
+    every = np.arange(rows.shape[1])
+    start = rows.all(0)
+    if start[:first].any():
+        return
+    yield start[None]
+    rows = rows.astype(np.float32 if len(rows) < 1 << 24 else np.float64)  # counts are exact
+    stack = [(rows, start, first)]
+    while stack:
+        own, held, at = stack.pop()
+        own = own[own[:, at] > 0]
+        counts = own.sum(0)
+        nexts = every[at + 1 :][((counts > 0) & ~held)[at + 1 :]]
+        if not len(nexts):
+            continue
+        sets = (own[:, nexts].T @ own) == counts[nexts, None]
+        new = ~(sets & ~held & (every < nexts[:, None])).any(1)
+        sets, nexts = sets[new], nexts[new]
+        if len(sets):
+            yield sets
+        stack += [(own, s, k) for s, k in zip(sets, nexts, strict=True) if counts[k] > 1]
+
+
 def full_lattice(context: DataFrame, most: int | None = None) -> DataFrame:
     """Every intersection of intents, with the union of all: the nodes before empty ones are removed.
 
-    Round by round, the sets that are new meet the distinct intents on shared attributes; what a pair shares is its
-    intersection. There are as many rounds as intents that it takes at most to make a set. The number of sets can grow
-    exponentially with the attributes; more than `most`, if given, is an error, not a cut.
+    Attributes are numbered, rare ones first. The distinct intents with an attribute go to one group, which finds the
+    intersections whose least attribute it is, each once and in a walk that holds one branch; so neither pairs nor sets
+    meet in a shuffle. The number of sets can grow exponentially with the attributes; more than `most`, if given, is an
+    error, not a cut.
     """
-    groups, _ = distinct_intents(context)
-    base = checkpointed(groups.select("intent"))
-    kind = base.schema["intent"].dataType
-    n = base.count()
-    known = fresh = base
-    entry = base.select(_node_id().alias("y"), F.explode("intent").alias("attr"))
-    while not fresh.isEmpty():
-        left = fresh.select(_node_id().alias("x"), F.explode_outer("intent").alias("attr"))
-        pairs = checkpointed(left.join(entry, "attr").groupBy("x", "y").agg(F.sort_array(F.collect_list("attr")).alias("intent")))
-        found = pairs.select("intent").distinct()
-        if pairs.count() < fresh.count() * n:  # some pair shares nothing
-            found = found.union(base.sparkSession.createDataFrame([([],)], base.schema))
-        fresh = checkpointed(found.join(known, "intent", "left_anti"))
-        known = checkpointed(known.union(fresh))
-        if most is not None and known.count() > most:
+    spark = context.sparkSession
+    groups = distinct_intents(context)[0].select("intent")
+    n = groups.count()
+    owned = groups.select(_node_id().alias("node"), F.explode("intent").alias("attr"))
+    owners = owned.groupBy("attr").agg(F.count(F.lit(1)).alias("owners"))
+    rare = F.transform(F.sort_array(F.collect_list(F.when(F.col("owners") < n, F.struct("owners", "attr")))), lambda x: x["attr"])
+    ends = checkpointed(owners.agg(F.sort_array(F.collect_list("attr")).alias("every"), F.sort_array(F.collect_list(F.when(F.col("owners") == n, F.col("attr")))).alias("common"), rare.alias("rest")))
+    parts = max(64, spark.sparkContext.defaultParallelism)
+    rows = owned.join(ends.select(F.posexplode("rest").alias("at", "attr")), "attr").groupBy("node").agg(F.collect_list("at").alias("at"))
+    each = rows.select(F.explode("at").alias("first"), "at").repartitionById(parts, F.col("first") % parts).sortWithinPartitions("first")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first, lists in _runs(batches):
+            flat = lists.flatten().to_numpy()
+            columns, at = np.unique(flat, return_inverse=True)
+            own = np.zeros((len(lists), len(columns)), bool)
+            own[np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), at] = True
+            held, size, total = [], 0, 0
+            for some in _closed_sets(own, int(np.searchsorted(columns, first))):
+                held.append(some)
+                size, total = size + len(some), total + len(some)
+                if most is not None and total > most:
+                    break  # the count below makes an error of it
+                if size >= 8192:
+                    yield _lists(np.concatenate(held), columns)
+                    held, size = [], 0
+            if held:
+                yield _lists(np.concatenate(held), columns)
+
+    named = F.sort_array(F.concat("common", F.transform("at", lambda i: F.get("rest", i))))
+    found = each.mapInArrow(sets, "at array<int>").crossJoin(F.broadcast(ends)).select(named.alias("intent"))
+    whole = groups.crossJoin(F.broadcast(ends)).where(F.size("intent") == F.size("every")).isEmpty()
+    out = found.union(ends.where(F.lit(n > 0)).select("common"))
+    out = out.union(ends.where(F.lit(n > 0 and whole)).select("every"))
+    if most is not None:
+        out = checkpointed(out)
+        if out.count() > most:
             raise ValueError(f"more than {most} nodes")
-    every = context.agg(F.sort_array(F.collect_set("attr")).cast(kind).alias("intent")).where(F.lit(n > 0))
-    return known.union(every).distinct()
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.ListArray]]:
+    """first and all lists `at` of rows sorted by it."""
+    key, held = None, []
+    for batch in batches:
+        firsts = batch["first"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(firsts)) + 1), len(firsts)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b:
+                continue
+            if held and firsts[a] != key:
+                yield key, pa.concat_arrays(held)
+                held = []
+            key = int(firsts[a])
+            held.append(batch["at"][a:b])
+    if held:
+        yield key, pa.concat_arrays(held)
+
+
+def _lists(sets: np.ndarray, columns: np.ndarray) -> pa.RecordBatch:
+    offsets = np.concatenate([[0], sets.sum(1).cumsum()]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, columns[np.nonzero(sets)[1]].astype(np.int32))], names=["at"])
 
 
 def pair_statistics(nodes: DataFrame) -> DataFrame:

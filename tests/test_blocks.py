@@ -71,3 +71,26 @@ def test_objects_of_many_nodes(spark, many, monkeypatch):
     rows, moved = shuffled(spark, lambda: lattice.all_objects(nodes).collect())
     assert sorted(map(tuple, rows)) == sorted((n, o) for n, s in sets.items() for o, attrs in own.items() if s <= attrs)
     assert moved < 40 * len(sets)
+
+
+def test_full_lattice_of_many_sets(spark, many):
+    ctx, _, _, own = many
+    base = set(own.values())
+    closed = fresh = base
+    while fresh:
+        fresh = {x & y for x in fresh for y in base} - closed
+        closed = closed | fresh
+    rows, moved = shuffled(spark, lambda: lattice.full_lattice(ctx).collect())
+    assert len(rows) == len({tuple(r.intent) for r in rows}) and {frozenset(r.intent) for r in rows} == closed | {frozenset().union(*base)}
+    assert all(r.intent == sorted(r.intent) for r in rows)
+    assert moved < 60 * len(own)
+    with pytest.raises(ValueError, match="more than"):
+        lattice.full_lattice(ctx, len(rows) - 1)
+    assert lattice.full_lattice(ctx, len(rows)).count() == len(rows)
+
+
+def test_full_lattice_with_common_attributes(spark):
+    """Sets that all share an attribute, one of which has all; and a single set."""
+    for rows, want in (({1: [1, 2], 2: [1, 3], 3: [1, 2, 3]}, [[1], [1, 2], [1, 2, 3], [1, 3]]), ({1: [4, 5]}, [[4, 5]]), ({1: [1], 2: [2]}, [[], [1], [1, 2], [2]])):
+        ctx = spark.createDataFrame([(o, a) for o, attrs in rows.items() for a in attrs], "object long, attr int")
+        assert sorted(r.intent for r in lattice.full_lattice(ctx).collect()) == want
