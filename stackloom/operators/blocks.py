@@ -22,10 +22,13 @@ EMIT = 1 << 16
 Body = Callable[[pa.RecordBatch, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def crossed(left: DataFrame, right: DataFrame, order: list[str], body: Body, schema: str) -> DataFrame:
-    """body(a block of left, all of right sorted by `order` in batches) of every block. left is read twice."""
+def crossed(left: DataFrame, right: DataFrame, order: list[str], body: Body, schema: str, least: int | None = None) -> DataFrame:
+    """body(a block of left, all of right sorted by `order` in batches) of every block. left is read twice.
+
+    least: left rows of a block, where a row stands for much work.
+    """
     parallel = left.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, min(-(-left.count() // ROWS), max(BLOCKS, parallel)))
+    blocks = max(1, min(-(-left.count() // (least or ROWS)), max(BLOCKS, parallel)))
     to = "__block"
     a = left.select(F.struct(*left.columns).alias("__left"), F.pmod(F.xxhash64(*left.columns), F.lit(blocks)).cast("int").alias(to))
     b = right.select(F.struct(*right.columns).alias("__right"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias(to))

@@ -8,12 +8,16 @@ processes, with a threshold, group pairs and membership.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .context import distinct_intents, function_context, pair_context, transitive
+from ..plans.session import checkpointed
+from .blocks import EMIT, crossed
+from .context import distinct_intents, function_context, numbered, pair_context, transitive
 
 
 def alike_groups(context: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
@@ -32,10 +36,13 @@ def alike_groups(context: DataFrame, least: float) -> tuple[DataFrame, DataFrame
 
 
 def _expanded(scored: DataFrame, members: DataFrame) -> DataFrame:
-    """Values of groups (gp, gq) for all pairs of their members."""
+    """Values of groups (gp, gq) for all pairs of their members.
+
+    Members, a row an object, are broadcast: the rows to be made are the square of theirs and must not be shuffled.
+    """
     p = members.select(F.col("object").alias("p"), F.col("first").alias("gp"))
     q = members.select(F.col("object").alias("q"), F.col("first").alias("gq"))
-    return scored.join(p, "gp").join(q, "gq").select("p", "q", "value")
+    return scored.join(F.broadcast(p), "gp").join(F.broadcast(q), "gq").select("p", "q", "value")
 
 
 def _all_pairs(groups: DataFrame, shared: DataFrame, value: Column) -> DataFrame:
@@ -71,19 +78,56 @@ def subsumption(context: DataFrame, objects: DataFrame | None = None) -> DataFra
     return _pairs_of_sets(context, lambda c, n, m: c / m, objects)
 
 
-def _weighted(weights: DataFrame, both: Column, value: Callable[[Column, Column], Column]) -> DataFrame:
-    """weights: object, attr, w. value(sum of `both` over shared attributes, number of them) for all ordered pairs.
+Sums = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _weighted(weights: DataFrame, both: list[Sums], value: Callable[..., np.ndarray]) -> DataFrame:
+    """weights: object, attr, w (1 or more). Values of all ordered pairs from sums over attributes.
 
-    Objects with equal weights are compared once; totals (tp, tq) and sizes (np, nq) are at hand for `value`.
+    Each of `both` maps weights of p and q (0 for none) to a term that is 0 if one of them is; value gets the sums of
+    the terms, then p's and q's totals and numbers of attributes. Objects with equal weights are compared once, in
+    blocks, so that no pair is shuffled.
     """
     vectors, members = distinct_intents(weights.select("object", F.struct("attr", "w").alias("attr")))
-    vectors = vectors.select(F.col("first").alias("g"), "intent")
-    totals = vectors.select("g", F.aggregate("intent", F.lit(0).cast("long"), lambda s, x: s + x["w"]).alias("t"), F.size("intent").alias("n"))
-    entry = vectors.select("g", F.explode("intent").alias("e"))
-    x, y = (entry.select(F.col("g").alias(f"g{s}"), F.col("e.attr").alias("attr"), F.col("e.w").alias(f"w{s}")) for s in "pq")
-    shared = x.join(y, "attr").groupBy("gp", "gq").agg(F.sum(both).alias("met"), F.count(F.lit(1)).alias("shared"))
-    zero = F.lit(0)
-    return _expanded(_all_pairs(totals, shared, value(F.coalesce("met", zero), F.coalesce("shared", zero))), members)
+    entry = numbered(vectors.select(F.col("first").alias("g"), F.explode("intent").alias("e")).select("g", "e.attr", "e.w"))
+    own = checkpointed(entry.groupBy("g").agg(F.collect_list(F.struct("at", F.col("w").cast("long").alias("w"))).alias("e")).select("g", "e.at", "e.w"))
+    kind = own.schema["g"].dataType.simpleString()
+
+    def body(left: pa.RecordBatch, right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unique(left["at"].flatten().to_numpy())
+        held, *of_p = _dense(left, known)
+        of_p = [x[:, None] for x in of_p]
+        for batch in right:
+            for at in range(0, len(batch), 256):
+                part = batch[at : at + 256]
+                met, *of_q = _dense(part, known)
+                sums = [np.zeros((len(left), len(part))) for _ in both]
+                for k in range(len(known)):
+                    p, q = np.flatnonzero(held[k]), np.flatnonzero(met[k])
+                    few = len(p) * len(q) * 8 < len(left) * len(part)
+                    for total, term in zip(sums, both, strict=True):
+                        if few:
+                            total[np.ix_(p, q)] += term(held[k][p, None], met[k][q])
+                        else:
+                            total += term(held[k][:, None], met[k])
+                scores = value(*sums, *(x for pair in zip(of_p, of_q, strict=True) for x in pair))
+                for i in range(0, len(left), EMIT // 256):
+                    some = scores[i : i + EMIT // 256]
+                    p, q = np.repeat(np.arange(i, i + len(some)), len(part)), np.tile(np.arange(len(part)), len(some))
+                    yield pa.RecordBatch.from_arrays([left["g"].take(pa.array(p)), part["g"].take(pa.array(q)), pa.array(some.ravel())], names=["gp", "gq", "value"])
+
+    return _expanded(crossed(own, own, [], body, f"gp {kind}, gq {kind}, value double", 32), members)
+
+
+def _dense(rows: pa.RecordBatch, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights by known attribute and row; totals and numbers of all attributes by row."""
+    size = np.diff(rows["at"].offsets.to_numpy())
+    row, at, w = np.repeat(np.arange(len(rows)), size), rows["at"].flatten().to_numpy(), rows["w"].flatten().to_numpy()
+    k = np.minimum(np.searchsorted(known, at), len(known) - 1)
+    ours = known[k] == at
+    out = np.zeros((len(known), len(rows)))
+    out[k[ours], row[ours]] = w[ours]
+    return out, np.bincount(row, w, len(rows)), size.astype(float)
 
 
 def simple_call_matrix(calls: DataFrame) -> DataFrame:
@@ -114,7 +158,8 @@ def subsumption_call_matrix(calls: DataFrame) -> DataFrame:
 def invocation_count_sensitive(calls: DataFrame) -> DataFrame:
     """Pairs weighed by how close their invocation counts are, over the union of pairs."""
     w = calls.groupBy(F.col("process").alias("object"), F.struct("caller", "function").alias("attr")).agg(F.count(F.lit(1)).alias("w"))
-    return _weighted(w, F.least("wp", "wq") / F.greatest("wp", "wq"), lambda met, shared: met / (F.col("np") + F.col("nq") - shared))
+    alike = lambda a, b: np.minimum(a, b) / np.maximum(np.maximum(a, b), 1)
+    return _weighted(w, [alike, lambda a, b: (a > 0) & (b > 0)], lambda met, shared, tp, tq, np_, nq: met / (np_ + nq - shared))
 
 
 def _tree_edges(paths: DataFrame) -> DataFrame:
@@ -126,7 +171,7 @@ def simple_call_tree(paths: DataFrame) -> DataFrame:
     parent = F.when(F.size("path") > 1, F.element_at("path", -2)).otherwise(0)
     w = _tree_edges(paths).groupBy(F.col("process").alias("object"), F.struct(parent.alias("a"), F.element_at("path", -1).alias("b")).alias("attr")).agg(F.count(F.lit(1)).alias("w"))
     w = w.withColumn("w", F.when(F.col("attr.a") == 0, F.lit(1)).otherwise(F.col("w")).cast("long"))
-    return _weighted(w, F.least("wp", "wq"), lambda met, shared: met / (F.col("tp") + F.col("tq") - met))
+    return _weighted(w, [np.minimum], lambda met, tp, tq, np_, nq: met / (tp + tq - met))
 
 
 def subsumption_call_tree(paths: DataFrame) -> DataFrame:
@@ -135,7 +180,7 @@ def subsumption_call_tree(paths: DataFrame) -> DataFrame:
     nodes = _tree_edges(paths).select("process", above.alias("a"), F.element_at("path", -1).alias("b"))
     w = nodes.groupBy(F.col("process").alias("object"), F.struct("a", "b").alias("attr")).agg(F.count(F.lit(1)).alias("w"))
     # The sum of the larger weights over all pairs is tp + tq less the smaller ones of shared pairs.
-    return _weighted(w, F.least("wp", "wq"), lambda met, shared: F.col("tp") / (F.col("tp") + F.col("tq") - met))
+    return _weighted(w, [np.minimum], lambda met, tp, tq, np_, nq: tp / (tp + tq - met))
 
 
 #: Metrics by name. Those on call trees take calls with paths.

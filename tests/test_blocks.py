@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from stackloom.operators import blocks, lattice, render
+from stackloom.operators import blocks, lattice, render, similarity
 
 
 def shuffled(spark, action):
@@ -94,3 +95,15 @@ def test_full_lattice_with_common_attributes(spark):
     for rows, want in (({1: [1, 2], 2: [1, 3], 3: [1, 2, 3]}, [[1], [1, 2], [1, 2, 3], [1, 3]]), ({1: [4, 5]}, [[4, 5]]), ({1: [1], 2: [2]}, [[], [1], [1, 2], [2]])):
         ctx = spark.createDataFrame([(o, a) for o, attrs in rows.items() for a in attrs], "object long, attr int")
         assert sorted(r.intent for r in lattice.full_lattice(ctx).collect()) == want
+
+
+def test_matrix_of_many_vectors(spark):
+    """Each pair from its definition, copies and strangers included."""
+    dice = random.Random(5)
+    rows = {o: {a: dice.randrange(1, 9) for a in dice.sample(range(12), dice.randrange(1, 6))} for o in range(300)} | {o: {50: 2} for o in range(300, 304)}
+    w = spark.createDataFrame([(o, a, n) for o, own in rows.items() for a, n in own.items()], "object long, attr int, w long").cache()
+    want = {(p, q): sum(x.values()) / (sum(x.values()) + sum(y.values()) - sum(min(n, y.get(a, 0)) for a, n in x.items())) for p, x in rows.items() for q, y in rows.items()}
+    score = lambda met, tp, tq, np_, nq: tp / (tp + tq - met)
+    found, moved = shuffled(spark, lambda: similarity._weighted(w, [np.minimum], score).collect())
+    assert len(found) == len(want) and {(r.p, r.q): r.value for r in found} == want
+    assert moved < 50 * len(rows) < len(want) / 4
