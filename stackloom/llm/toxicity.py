@@ -17,6 +17,8 @@ column is returned as <name>_kept.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -47,7 +49,7 @@ class Inputs:
     def __init__(self, texts: Texts):
         words = Words(texts, WORD_BY_ALNUM, True)
         self.at = words.at
-        self.word = (words.hashes() >> U64(64 - WORD_BITS)).astype(np.int32)
+        self.word = (words.hashes() >> U64(64 - WORD_BITS)).astype(np.uint16)
         data = texts.bytes
         inside = np.zeros(len(data) + 4, bool)
         inside[1:-3] = WORD_BY_ALNUM[LOWER][data]
@@ -65,23 +67,27 @@ class Inputs:
         after = np.where(last[p], 0, padded[p + 1])
         beyond = np.where(last[p] | last[p + 1], 0, padded[np.minimum(p + 2, len(padded) - 1)])
         code = (before << 24 | padded[p] << 16 | after << 8 | beyond).astype(np.uint32)
-        self.gram = ((code * np.uint32(2654435761)) >> np.uint32(32 - GRAM_BITS)).astype(np.int32)
+        self.gram = ((code * np.uint32(2654435761)) >> np.uint32(32 - GRAM_BITS)).astype(np.uint16)
         self.gram_at = np.concatenate(([0], np.cumsum(words.ends - words.starts)))
 
     @staticmethod
-    def of_many(texts: Texts, most: int = BLOCK) -> Inputs:
-        """Built from pieces of about `most` bytes, which keeps the temporary arrays small."""
-        parts, row = [], 0
+    def of_many(texts: Texts, most: int = BLOCK >> 2) -> Inputs:
+        """Built from pieces of about `most` bytes, which keeps the temporary arrays small; no piece is held beside the whole."""
+        out = object.__new__(Inputs)
+        room, n_words, n_grams, row = len(texts.bytes), 0, 0, 0
+        out.at = np.zeros(len(texts) + 1, np.int64)
+        # Room for the most that there can be; what stays unused is never touched, and so takes no memory.
+        out.word, out.gram = np.empty((room + len(texts)) // 2 + 1, np.uint16), np.empty(room, np.uint16)
+        out.gram_at = np.zeros(len(out.word) + 1, np.uint32 if room < 1 << 32 else np.int64)
         while row < len(texts):
             end = min(len(texts), max(row + 1, int(np.searchsorted(texts.offsets, texts.offsets[row] + most))))
-            parts.append(Inputs(texts.rows(row, end)))
-            row = end
-        out = parts[0]
-        if len(parts) > 1:
-            out.word, out.gram = np.concatenate([p.word for p in parts]), np.concatenate([p.gram for p in parts])
-            for k in ("at", "gram_at"):
-                sizes = np.concatenate([np.diff(getattr(p, k)) for p in parts])
-                setattr(out, k, np.concatenate(([0], np.cumsum(sizes))))
+            part = Inputs(texts.rows(row, end))
+            words, grams = n_words + len(part.word), n_grams + len(part.gram)
+            out.at[row + 1 : end + 1] = part.at[1:] + n_words
+            out.word[n_words:words], out.gram[n_grams:grams] = part.word, part.gram
+            out.gram_at[n_words + 1 : words + 1] = part.gram_at[1:] + n_grams
+            n_words, n_grams, row = words, grams, end
+        out.word, out.gram, out.gram_at = out.word[:n_words], out.gram[:n_grams], out.gram_at[: n_words + 1]
         return out
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,8 +124,9 @@ class Network:
             grams, at = inputs.gram, inputs.gram_at
             own = inputs.word
         else:
-            sizes = inputs.gram_at[words + 1] - inputs.gram_at[words]
-            grams, at, own = inputs.gram[_ragged(inputs.gram_at[words], sizes)], np.concatenate(([0], np.cumsum(sizes))), inputs.word[words]
+            starts = inputs.gram_at[words].astype(np.int64)
+            sizes = inputs.gram_at[words + 1] - starts
+            grams, at, own = inputs.gram[_ragged(starts, sizes)], np.concatenate(([0], np.cumsum(sizes))), inputs.word[words]
         if not len(own):
             return np.zeros((0, 2 * DIM), np.float32)
         mean = np.add.reduceat(self.p["gram"][grams], at[:-1], axis=0) / np.diff(at)[:, None].astype(np.float32)
@@ -220,20 +227,21 @@ class Network:
         x, mask, live = self.window_inputs(inputs, first, size)
         prob = _sigmoid(self.logits(x, mask, cache))
         g, d_x = self.gradients(cache, ((prob - y) / len(y)).astype(np.float32))
-        rows, sizes = d_x[mask], inputs.gram_at[live + 1] - inputs.gram_at[live]
+        starts = inputs.gram_at[live].astype(np.int64)
+        rows, sizes = d_x[mask], inputs.gram_at[live + 1] - starts
         g["word"] = (inputs.word[live], rows[:, :DIM])
-        g["gram"] = (inputs.gram[_ragged(inputs.gram_at[live], sizes)], np.repeat(rows[:, DIM:] / np.maximum(sizes, 1)[:, None], sizes, 0))
+        g["gram"] = (inputs.gram[_ragged(starts, sizes)], np.repeat(rows[:, DIM:] / np.maximum(sizes, 1)[:, None], sizes, 0))
         self.step(g, rate)
         return float(-np.mean(np.log(np.where(y > 0.5, prob, 1 - prob) + 1e-9)))
 
 
-def fit(texts: list[str | None], toxic: list[int], steps: int = STEPS, seed: int = 7) -> Network | float:
+def fit(texts: list[str | None] | pa.Array | pa.ChunkedArray, toxic: list[int], steps: int = STEPS, seed: int = 7) -> Network | float:
     """A network, or the share of toxic texts if only one kind is there."""
     y = np.array(toxic, np.float32)
     if len(set(toxic)) < 2:
         return float(y.mean()) if len(y) else 0.0
     r, net = np.random.default_rng(seed), Network(seed)
-    inputs = Inputs.of_many(Texts(pa.array(texts, pa.large_string())))
+    inputs = Inputs.of_many(Texts(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts))
     text, first, size = inputs.windows()
     at = np.searchsorted(text, np.arange(len(y) + 1))
     classes = [np.flatnonzero(y == 0), np.flatnonzero(y == 1)]
@@ -241,7 +249,7 @@ def fit(texts: list[str | None], toxic: list[int], steps: int = STEPS, seed: int
     for step in range(steps):
         if step and step % (steps // 3) == 0:  # the highest window of each clean text
             own = np.flatnonzero(y[text] == 0)
-            logit = net.score_windows(inputs, first[own], size[own], together=False)
+            logit = net.score_windows(inputs, first[own], size[own], 512, together=False)
             order = np.lexsort((logit, text[own]))
             top = order[np.append(text[own][order][1:] != text[own][order][:-1], True)]
             hard = own[top[np.argsort(-logit[top])[: max(32, len(top) // 4)]]]
@@ -258,7 +266,7 @@ def fit(texts: list[str | None], toxic: list[int], steps: int = STEPS, seed: int
             more = r.choice(hard, 32)
             some, label = np.concatenate((some, more)), np.concatenate((label, np.zeros(32, np.float32)))
         net.train_on(inputs, first[some], size[some], label, 0.05 if step < steps * 2 // 3 else 0.02)
-    logit = np.maximum.reduceat(net.score_windows(inputs, first, size, together=False), at[:-1])
+    logit = np.maximum.reduceat(net.score_windows(inputs, first, size, 512, together=False), at[:-1])
     net.p["bo"] = net.p["bo"] - np.float32(threshold(logit, y))
     return net
 
@@ -286,7 +294,7 @@ def score_texts(net: Network | float, texts: Texts) -> np.ndarray:
     return _sigmoid(np.maximum.reduceat(logit, np.searchsorted(text, np.arange(len(texts)))))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, longest: int = LONGEST) -> tuple[list[str], list[int]]:
+def _sample(docs: DataFrame, labels: DataFrame, positives: int, negatives: int, longest: int) -> tuple[pa.ChunkedArray, list[int]]:
     """At most `positives` and `negatives` labelled texts of at most `longest` bytes outside the held-out fifth, by a hash of doc_id."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id", F.lit("toxic")))
@@ -295,15 +303,33 @@ def training_sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIV
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     short = source.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)
     found = short.join(F.broadcast(chosen), "doc_id").groupBy("h").agg(F.max("toxic").alias("toxic"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    rows = found.collect()
-    rows = sorted(rows, key=lambda r: (r.h, r.text))
-    return [r.text for r in rows], [int(r.toxic) for r in rows]
+    rows = found.select("h", F.col("toxic").cast("int").alias("toxic"), "text").toArrow().sort_by("h")  # one run of bytes, not an object for each text
+    return rows.column("text"), rows.column("toxic").to_pylist()
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES, longest: int = LONGEST) -> tuple[list[str], list[int]]:
+    """The texts that the network learns from and whether they are toxic, by a hash of doc_id."""
+    texts, toxic = _sample(docs, labels, positives, negatives, longest)
+    return texts.to_pylist(), toxic
+
+
+def _give_back() -> None:
+    """What freed arrays leave in the allocators goes back to the system; else the driver keeps it as long as it lives."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, sample: tuple[int, int, int]) -> Network | float:
+    net = fit(*_sample(docs, labels, *sample))
+    _give_back()
+    return net
 
 
 def _scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...], sample: tuple[int, int, int]) -> DataFrame:
     """The columns `keep` as k_0, k_1, ... and the score."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(fit(*training_sample(docs, labels, *sample)))
+    sent = spark.sparkContext.broadcast(_fitted(docs, labels, sample))
     source = carried(docs, keep)
     fields = source.schema.fields[:-1]
 

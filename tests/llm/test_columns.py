@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -448,3 +449,18 @@ def test_toxicity_learns_words():
     assert np.mean((score[:60] >= 0.5) == np.array([y for _, y in new])) > 0.95 and ((0 <= score) & (score <= 1)).all()
     assert toxicity.fit([], []) == 0 and toxicity.fit(["a"], [1]) == 1
     assert toxicity.threshold(np.array([0.0, 1, 5, 6]), np.array([0, 0, 1, 1])) == pytest.approx(1 + 4 * toxicity.MARGIN)
+
+
+def test_inputs_of_many_texts_stay_small():
+    """Pieces give the same as the whole; what the driver holds for the network is at most ten bytes a byte of text."""
+    odd = texts("", "A b", None, "x" * 50, "日本 Text, a-b", " ", "one two three four", "")
+    whole, cut = toxicity.Inputs(odd), toxicity.Inputs.of_many(odd, most=4)
+    assert all(np.array_equal(getattr(whole, k), getattr(cut, k)) for k in ("at", "word", "gram", "gram_at"))
+    r = np.random.default_rng(5)
+    some = texts(*[" ".join(f"w{x}" for x in r.integers(0, 10**6, 500)) for _ in range(2400)])
+    tracemalloc.start()
+    try:
+        toxicity.Inputs.of_many(some)
+        assert tracemalloc.get_traced_memory()[1] < 10 * len(some.bytes)
+    finally:
+        tracemalloc.stop()

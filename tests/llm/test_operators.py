@@ -6,6 +6,8 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -314,6 +316,18 @@ def test_training_sample_is_bounded(spark):
     assert len(kinds) == sum(i < 10 for i in known) and max(map(len, short)) <= 21 < max(map(len, got))
 
 
+def test_training_sample_is_one_run_of_bytes(spark):
+    """The driver learns from an Arrow column, without an object for each text; its network is that of a list."""
+    docs = spark.createDataFrame([(i, f"text {i} bad" if i % 2 else f"text {i} ü") for i in range(40)] + [(1, None), (3, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    column, kinds = toxicity._sample(docs, labels, 20, 20, 100)
+    assert isinstance(column, pa.ChunkedArray) and (column.to_pylist(), kinds) == toxicity.training_sample(docs, labels, 20, 20, 100)
+    one, other = toxicity.fit(column, kinds, steps=6), toxicity.fit(column.to_pylist(), kinds, steps=6)
+    assert all(np.array_equal(one.p[k], other.p[k]) for k in one.p)
+    column, kinds = toxicity._sample(docs, labels.limit(0), 20, 20, 100)
+    assert toxicity.fit(column, kinds) == 0
+
+
 def test_one_word_items(spark):
     """An item of one word that makes up a long text: every word is hit, and the longest match is the first one."""
     docs = spark.createDataFrame([(1, "x " * 60_000), (2, "y x z x")], "doc_id long, text string")
